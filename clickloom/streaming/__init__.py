@@ -1,0 +1,6 @@
+"""Reserved for streaming entry points.
+
+The workload reads bounded, day-partitioned files only: there are no watermarks, event-time windows
+or keyed state to express, so nothing lives here. A new day is one more batch run of
+``clickloom.plans.prepare``.
+"""
