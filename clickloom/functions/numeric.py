@@ -53,3 +53,8 @@ def activation(x: Column, name: str) -> Column:
     if name not in _ACTIVATIONS:
         raise ValueError(f"unknown activation {name!r}; known: {', '.join(sorted(_ACTIVATIONS))}")
     return _ACTIVATIONS[name](x.cast("double"))
+
+
+def embedding_width(size: Column) -> Column:
+    """Empirical embedding width of a column with ``size`` ids."""
+    return F.pow(F.lit(2.0), F.ceil(F.log(F.pow(size.cast("double"), F.lit(0.25))))).cast("bigint")

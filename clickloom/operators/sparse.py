@@ -128,11 +128,12 @@ def deep_input(
         return base.select(row_id, F.concat(*[F.col(dense[s.name]) for s in slots]).alias(out))
 
     number = {slot.name: i for i, slot in enumerate(embedded)}
-    tagged = [
-        F.transform(column_ids(spec, columns[s.name], method), lambda i, n=n: F.struct(F.lit(n).alias("slot"), i.alias("idx")))
-        for n, s in enumerate(embedded)
-    ]
-    pairs = rows.select(row_id, F.inline(F.concat(*tagged)))
+
+    def tagged(slot) -> Column:
+        ids = column_ids(spec, columns[slot.name], method)
+        return F.transform(ids, lambda i: F.struct(F.lit(number[slot.name]).alias("slot"), i.alias("idx")))
+
+    pairs = rows.select(row_id, F.inline(F.concat(*[tagged(s) for s in embedded])))
     table = reduce(
         DataFrame.unionByName,
         [tables[s.name].select(F.lit(number[s.name]).alias("slot"), "idx", "vector") for s in embedded],
