@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clickloom.functions.arrays import let
+
 SEPARATOR = "\u0001"
 
 
@@ -60,9 +62,10 @@ def cross_hash_tokens(members: list[Column], size: int, method: str = "xxhash64"
     """One bucket per combination of the members' tokens (arrays of strings)."""
 
     def extend(combined: Column, tokens: Column) -> Column:
-        return F.flatten(
-            F.transform(combined, lambda left: F.transform(tokens, lambda right: F.concat(left, F.lit(SEPARATOR), right)))
-        )
+        def joined(values: Column, left: Column) -> Column:
+            return F.transform(values, lambda right: F.concat(left, F.lit(SEPARATOR), right))
+
+        return let(tokens, lambda values: F.flatten(F.transform(combined, lambda left: joined(values, left))))
 
     return hash_bucket_tokens(reduce(extend, members), size, method)
 
@@ -74,6 +77,9 @@ def one_hot(id_: Column, size: int) -> Column:
 
 def multi_hot(ids: Column, size: int) -> Column:
     """Counts per id; ids outside [0, size) are ignored."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(ids, lambda x: x == i)).cast("double")
-    )
+    positions = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def count(found: Column, i: Column) -> Column:
+        return F.size(F.filter(found, lambda x: x == i)).cast("double")
+
+    return let(ids, lambda found: F.transform(positions, lambda i: count(found, i)))

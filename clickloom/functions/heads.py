@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clickloom.functions.arrays import let
 from clickloom.functions.numeric import sigmoid
 
 
@@ -37,14 +38,19 @@ def binary_class(logit: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda z: F.exp(z - top))
-    return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
+        return let(total, lambda t: F.transform(powers, lambda e: e / t))
+
+    def powers(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    return let(logits, lambda z: let(powers(z), shares))
 
 
 def argmax(scores: Column) -> Column:
     """Position of the largest score, the first one on ties."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return let(scores, lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def log_loss(logit: Column, label: Column, weight: Column | None = None) -> Column:

@@ -6,9 +6,14 @@ height rather than its pixel count. Heights, widths and offsets may be columns o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from clickloom.functions.arrays import let
 from clickloom.functions.categorical import hash_text
 
 # Channel means in 0..255, red green blue, and their blue green red order for rescaled input.
@@ -34,40 +39,41 @@ def bytes_of(pixels: Column) -> Column:
 
 
 def pixels_of(data: Column) -> Column:
-    """The unsigned bytes of a binary value as an array of integers."""
-    text = F.hex(data)
-    positions = F.sequence(F.lit(1), F.octet_length(data))
-    # A hex pair is one byte; its value is the position of each digit in the digit list.
-    return F.transform(
-        positions,
-        lambda i: (
-            (F.instr(F.lit("0123456789ABCDEF"), F.substring(text, 2 * i - 1, F.lit(1))) - 1) * 16
-            + F.instr(F.lit("0123456789ABCDEF"), F.substring(text, 2 * i, F.lit(1)))
-            - 1
-        ).cast("int"),
-    )
+    """The unsigned bytes of a binary value as an array of integers, decoded per Arrow batch."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def decode(values: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        joined = b"".join(value for value in values.to_pylist() if value is not None)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(joined, np.uint8).astype(np.int32)))
+
+    return decode(data)
 
 
 def chw_to_hwc(pixels: Column, height, width, channels: int) -> Column:
     """Reorder depth-major pixels so that the channels of a pixel are adjacent."""
     plane = _int(height) * _int(width)
-    return F.transform(
-        F.sequence(F.lit(0), plane * channels - 1),
-        lambda k: F.get(pixels, (k % channels) * plane + F.floor(k / channels).cast("int")),
+    positions = F.sequence(F.lit(0), plane * channels - 1)
+    return let(
+        pixels,
+        lambda image: F.transform(
+            positions, lambda k: F.get(image, (k % channels) * plane + F.floor(k / channels).cast("int"))
+        ),
     )
 
 
 def crop(pixels: Column, width, channels: int, top, left, new_height, new_width) -> Column:
     """The window of the given size whose first pixel is (top, left)."""
     stride = _int(width) * channels
-    return F.flatten(
-        F.transform(
-            _rows(new_height),
-            lambda y: F.slice(
-                pixels, (y + _int(top)) * stride + _int(left) * channels + 1, _int(new_width) * channels
-            ),
+    first = _int(top) * stride + _int(left) * channels + 1
+
+    def window(image: Column, start: Column) -> Column:
+        return F.flatten(
+            F.transform(_rows(new_height), lambda y: F.slice(image, start + y * stride, _int(new_width) * channels))
         )
-    )
+
+    return let(pixels, lambda image: let(first, lambda start: window(image, start)))
 
 
 def checked_crop(pixels: Column, height, width, channels: int, top, left, new_height, new_width) -> Column:
@@ -107,43 +113,51 @@ def crop_or_pad(pixels: Column, height: int, width: int, channels: int, new_heig
     def zeros(count: int) -> Column:
         return F.array_repeat(F.lit(0.0), count * channels)
 
-    def row(y: Column) -> Column:
-        pixels_of_row = F.slice(inner, (y - top) * cut_w * channels + 1, cut_w * channels)
+    def row(kept: Column, y: Column) -> Column:
+        pixels_of_row = F.slice(kept, (y - top) * cut_w * channels + 1, cut_w * channels)
         inside = (y >= top) & (y < top + cut_h)
         return F.when(inside, F.concat(zeros(left), pixels_of_row, zeros(right))).otherwise(zeros(new_width))
 
-    return F.flatten(F.transform(_rows(new_height), row))
+    return let(inner, lambda kept: F.flatten(F.transform(_rows(new_height), lambda y: row(kept, y))))
 
 
 def flip(pixels: Column, height, width, channels: int) -> Column:
     """Mirror left and right, keeping the channel order of every pixel."""
 
-    def row(y: Column) -> Column:
+    def row(image: Column, y: Column) -> Column:
         start = y * _int(width) * channels
         if channels == 1:
-            return F.reverse(F.slice(pixels, start + 1, _int(width)))
+            return F.reverse(F.slice(image, start + 1, _int(width)))
         return F.flatten(
             F.transform(
                 F.reverse(F.sequence(F.lit(0), _int(width) - 1)),
-                lambda x: F.slice(pixels, start + x * channels + 1, F.lit(channels)),
+                lambda x: F.slice(image, start + x * channels + 1, F.lit(channels)),
             )
         )
 
-    return F.flatten(F.transform(_rows(height), row))
+    return let(pixels, lambda image: F.flatten(F.transform(_rows(height), lambda y: row(image, y))))
 
 
 def random_flip(pixels: Column, height, width, channels: int, row_id: Column, seed: int) -> Column:
-    return F.when(draw(seed, "flip", row_id, 2) == 1, flip(pixels, height, width, channels)).otherwise(pixels)
+    chosen = draw(seed, "flip", row_id, 2) == 1
+    return let(pixels, lambda image: F.when(chosen, flip(image, height, width, channels)).otherwise(image))
 
 
 def standardize(pixels: Column) -> Column:
     """Zero mean and unit deviation, with the deviation at least 1/sqrt(number of values)."""
-    n = F.size(pixels).cast("double")
-    total = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    mean = total / n
-    squares = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    deviation = F.greatest(F.sqrt(squares / n), 1 / F.sqrt(n))
-    return F.transform(pixels, lambda x: (x - mean) / deviation)
+
+    def total(values: Column, term) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + term(x.cast("double")))
+
+    def scaled(image: Column, mean: Column) -> Column:
+        n = F.size(image).cast("double")
+        spread = F.sqrt(total(image, lambda x: (x - mean) * (x - mean)) / n)
+        floor = 1 / F.sqrt(n)
+        return let(F.greatest(spread, floor), lambda deviation: F.transform(image, lambda x: (x - mean) / deviation))
+
+    return let(
+        pixels, lambda image: let(total(image, lambda x: x) / F.size(image), lambda mean: scaled(image, mean))
+    )
 
 
 def mean_subtract(pixels: Column, means: tuple[float, ...]) -> Column:
@@ -157,11 +171,12 @@ def channel_reorder(pixels: Column, order: tuple[int, ...], factor: float, means
     n = len(order)
     source = F.array(*[F.lit(o) for o in order])
     shift = F.array(*[F.lit(float(m)) for m in means])
-    return F.transform(
-        pixels,
-        lambda _, i: F.get(pixels, i - i % n + F.get(source, i % n)).cast("double") * F.lit(float(factor))
-        - F.get(shift, i % n),
-    )
+
+    def value(image: Column, i: Column) -> Column:
+        taken = F.get(image, i - i % n + F.get(source, i % n)).cast("double")
+        return taken * F.lit(float(factor)) - F.get(shift, i % n)
+
+    return let(pixels, lambda image: F.transform(image, lambda _, i: value(image, i)))
 
 
 def linear_rescale(pixels: Column, divisor: float = 128.0) -> Column:

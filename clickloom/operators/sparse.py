@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import categorical as cat
+from clickloom.functions.arrays import let
 from clickloom.functions.clean import split_multivalue
 from clickloom.functions.numeric import scale
 from clickloom.operators.lookup import bounded_lookup
@@ -55,14 +56,14 @@ def wide_pairs(spec: ModelSpec, method: str = "xxhash64") -> Column:
     """
     columns = {c.name: c for c in [*spec.features, *spec.crosses]}
 
+    def pair(ids: Column, i: Column, offset: int) -> Column:
+        repeats = F.size(F.filter(ids, lambda other: other == i))
+        return F.struct((i + F.lit(offset).cast("bigint")).alias("idx"), repeats.cast("double").alias("value"))
+
     def counted(slot) -> Column:
-        ids = column_ids(spec, columns[slot.name], method)
-        return F.transform(
-            F.array_distinct(ids),
-            lambda i: F.struct(
-                (i + F.lit(slot.offset).cast("bigint")).alias("idx"),
-                F.size(F.filter(ids, lambda other: other == i)).cast("double").alias("value"),
-            ),
+        return let(
+            column_ids(spec, columns[slot.name], method),
+            lambda ids: F.transform(F.array_distinct(ids), lambda i: pair(ids, i, slot.offset)),
         )
 
     return F.concat(*[counted(slot) for slot in spec.wide_slots()])

@@ -1,0 +1,90 @@
+"""Sinks: each query writes, reads back and returns what is there."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from clickloom.operators import ftrl, sampling
+from clickloom.queries.base import EVENT_SPEC, LOG, impressions, md5_sql, query, rounded
+from clickloom.queries.models import MAX_IDS, _examples, _ftrl_sql
+from clickloom.session import scratch_path
+from clickloom.sinks import logs as log_sinks
+from clickloom.sinks.models import export_model, load_model
+from clickloom.sources import logs
+
+FIELDS = ["clk", "event_id", "dt", "user_id", "hour", "k", "event_type", "value"]
+KEEP = 0.5
+KEEP_SQL = f"(clk = 1 OR {md5_sql("'0:' || event_id")} % 1000000 < {int(KEEP * 1_000_000)})"
+
+
+def _decoded(raw):
+    return raw.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("clk").cast("int").alias("clk"),
+        "dt",
+        F.col("user_id").alias("user_id"),
+        F.col("hour").cast("int").alias("hour"),
+        F.col("k").alias("k"),
+        F.col("value").cast("double").alias("value"),
+    )
+
+
+ALL_ROWS = "SELECT event_id, clk, dt, user_id, hour, k, value"
+
+
+@query("write_tsv", f"WITH {LOG} {ALL_ROWS} FROM log WHERE {KEEP_SQL}")
+def write_tsv(spark, sf_dir):
+    """Down-sampled rows in two files, written twice: the second write replaces the first."""
+    path = scratch_path(spark, "tsv")
+    log = impressions(spark, sf_dir).select(*FIELDS)
+    log_sinks.write_tsv(log, path)
+    log_sinks.write_tsv(sampling.downsample(log, "clk", "event_id", KEEP), path, files=2)
+    return _decoded(logs.scan_days(spark, path, [""], FIELDS, "{day}"))
+
+
+@query("write_days", f"WITH {LOG} {ALL_ROWS} FROM log WHERE dt <> '20240103' OR clk = 1")
+def write_days(spark, sf_dir):
+    """One directory per day; one day is written again with its positives only."""
+    base = scratch_path(spark, "days")
+    log = impressions(spark, sf_dir).select(*FIELDS).withColumn("day", F.col("dt"))
+    log_sinks.write_days(log, base, "day")
+    log_sinks.write_days(log.where("dt = '20240103' AND clk = 1"), base, "day")
+    days = spark.read.schema(logs.text_schema(FIELDS).add("day", "string")).csv(base, sep="\t", quote="")
+    return _decoded(days.where(F.col("day") == F.col("dt")))
+
+
+@query("export_day", f"WITH {LOG} SELECT dt, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files FROM log GROUP BY dt")
+def export_day(spark, sf_dir):
+    """One merged file per day."""
+    base = scratch_path(spark, "export")
+    log = impressions(spark, sf_dir).select(*FIELDS).withColumn("day", F.col("dt"))
+    log_sinks.export_days(log, base, "day", "event_id")
+    read = logs.per_file_counts(spark.read.text(base))
+    day = F.regexp_extract("file_path", "day=([0-9]+)/", 1).alias("dt")
+    return read.groupBy(day).agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_files"))
+
+
+@query("copy_day", f"WITH {LOG} {ALL_ROWS} FROM log")
+def copy_day(spark, sf_dir):
+    source, target = scratch_path(spark, "raw"), scratch_path(spark, "copied")
+    log = impressions(spark, sf_dir).select(*FIELDS).withColumn("day", F.col("dt"))
+    log_sinks.write_days(log, source, "day")
+    days = [r[0] for r in log.select("day").distinct().orderBy("day").collect()]  # one row per day
+    log_sinks.copy_days(spark, source, target, days, FIELDS, "day={day}")
+    return _decoded(logs.scan_days(spark, target, days, FIELDS, "day={day}"))
+
+
+@query("model_export", _ftrl_sql(1).replace("round(w, 7) + 0.0 AS w FROM", "round(w, 7) + 0.0 AS w, 8 AS n_fields FROM"))
+def model_export(spark, sf_dir):
+    """The latest exported version and the number of fields in the spec stored next to it."""
+    base = scratch_path(spark, "model")
+    data = _examples(spark, sf_dir)
+    export_model(ftrl.empty_state(spark), base, 1, EVENT_SPEC)
+    export_model(ftrl.step(data, ftrl.empty_state(spark), max_ids=MAX_IDS), base, 2, EVENT_SPEC)
+    stored_spec = json.loads(spark.read.text(f"{base}/_spec/version=2").first()[0])
+    state = load_model(spark, base)
+    return state.select(
+        "idx", *[rounded(F.col(c), 7).alias(c) for c in ("z", "n", "w")], F.lit(len(stored_spec["fields"])).alias("n_fields")
+    )

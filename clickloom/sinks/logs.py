@@ -44,7 +44,7 @@ def export_days(df: DataFrame, base: str, day: str, row_id: str, rows_per_file:
     _text(writer, delimiter).save(base)
 
 
-def copy_day(
+def copy_days(
     spark: SparkSession,
     source: str,
     target: str,
@@ -53,10 +53,16 @@ def copy_day(
     directory: str = "{day}",
     delimiter: str = "\t",
 ) -> None:
-    """Copy raw day directories, one Spark job per day."""
-    for day in days:
-        raw = scan_days(spark, source, [day], fields, directory, delimiter)
-        _text(raw.write, delimiter).save(f"{target}/{directory.format(day=day)}")
+    """Copy raw day directories to ``day=<day>`` directories in one job.
+
+    The day is taken from the path, so rows need not carry it, and rows stay in the tasks that read
+    them: nothing is shuffled.
+    """
+    raw = scan_days(spark, source, days, fields, directory, delimiter)
+    before, after = (f"\\Q{part}\\E" for part in directory.split("{day}"))
+    day = F.regexp_extract(F.col("_metadata.file_path"), f"/{before}([^/]+){after}/[^/]+$", 1)
+    writer = raw.select("*", day.alias("day")).write.partitionBy("day").option("partitionOverwriteMode", "dynamic")
+    _text(writer, delimiter).save(target)
 
 
 def _text(writer, delimiter: str):
