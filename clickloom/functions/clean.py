@@ -36,7 +36,9 @@ def typed_decode(raw: DataFrame, spec: ModelSpec, with_label: bool = True) -> Da
 
 def split_multivalue(c: Column, delimiter: str = ",") -> Column:
     """Tokens of a joined field; empty tokens are dropped, so an empty field has none."""
-    return F.array_remove(F.split(c, f"\\Q{delimiter}\\E"), "")
+    several = F.array_remove(F.split(c, f"\\Q{delimiter}\\E"), "")
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(c, F.lit(delimiter)), several).when(c != "", F.array(c)).otherwise(none)
 
 
 def scalar_to_array(c: Column) -> Column:

@@ -104,7 +104,7 @@ def train(
     """
     spark = data.sparkSession
     state = empty_state(spark) if state is None else state
-    placed = data.repartition(shuffle_partitions(spark), "id").persist()
+    placed = data.repartition(shuffle_partitions(spark), "id").sortWithinPartitions("id").persist()
     hot = None
     if max_ids is None or max_ids > BROADCAST_ROWS:
         # The ids do not change between steps, so the list of hot ids (2P rows) is found once.

@@ -15,37 +15,81 @@ from clickloom.operators.lookup import bounded_lookup
 from clickloom.spec import Continuous, Cross, HashBucket, Identity, ModelSpec, Vocab
 
 
-def feature_tokens(spec: ModelSpec, name: str) -> Column:
-    """The texts a cross sees: tokens, the identity id, or the bucket of the raw number."""
-    used = spec.feature(name)
-    if isinstance(used, Continuous):
-        return F.array(cat.bucketize(F.col(name), list(used.boundaries)).cast("string"))
-    if isinstance(used, Identity):
-        return F.array(cat.identity_id(F.col(name), used.size).cast("string"))
-    return _text_tokens(spec, name)
+def _row_values(spec: ModelSpec, names: list[str]) -> Column:
+    """Per feature what its ids derive from: the tokens of a text, or the id of a number."""
 
+    def value(name: str) -> Column:
+        used = spec.feature(name)
+        if isinstance(used, Identity):
+            return cat.identity_id(F.col(name), used.size)
+        if isinstance(used, Continuous):
+            return cat.bucketize(F.col(name), list(used.boundaries)) if used.boundaries else F.lit(None).cast("bigint")
+        return _text_tokens(spec, name)
 
-def column_ids(spec: ModelSpec, column, method: str = "xxhash64") -> Column:
-    """Ids of one wide column within its own range, as an array."""
+    return F.struct(*[value(name).alias(name) for name in names])
+
+
+def _is_text(spec: ModelSpec, name: str) -> bool:
+    return isinstance(spec.feature(name), (HashBucket, Vocab))
+
+
+def _ids(spec: ModelSpec, column, values: Column, method: str) -> Column:
+    """Ids of one column from the row's values: a single id, or an array for texts and their crosses."""
     if isinstance(column, Cross):
-        return cat.cross_hash_tokens([feature_tokens(spec, m) for m in column.members], column.size, method)
+        texts = [m for m in column.members if _is_text(spec, m)]
+
+        def single(name: str) -> Column:
+            return F.get(values[name], 0) if name in texts else values[name].cast("string")
+
+        def tokens(name: str) -> Column:
+            return values[name] if name in texts else F.array(values[name].cast("string"))
+
+        one = cat.cross_hash([single(m) for m in column.members], column.size, method)
+        if not texts:
+            return one
+        # Most rows have one token per member and need no product of arrays.
+        plain = reduce(lambda a, b: a & b, [F.size(values[name]) == 1 for name in texts])
+        many = cat.cross_hash_tokens([tokens(m) for m in column.members], column.size, method)
+        return F.when(plain, F.array(one)).otherwise(many)
     if isinstance(column, HashBucket):
-        return cat.hash_bucket_tokens(_text_tokens(spec, column.name), column.size, method)
+        return cat.hash_bucket_tokens(values[column.name], column.size, method)
     if isinstance(column, Vocab):
-        return cat.vocab_id_tokens(_text_tokens(spec, column.name), list(column.values))
-    if isinstance(column, Identity):
-        return F.array(cat.identity_id(F.col(column.name), column.size))
-    return F.array(cat.bucketize(F.col(column.name), list(column.boundaries)))
+        return cat.vocab_id_tokens(values[column.name], list(column.values))
+    return values[column.name]
+
+
+def _has_many(spec: ModelSpec, column) -> bool:
+    members = column.members if isinstance(column, Cross) else (column.name,)
+    return any(_is_text(spec, m) for m in members)
+
+
+def _over_columns(spec: ModelSpec, columns: list, method: str, block) -> Column:
+    """Concatenate ``block(column, ids)`` of all columns; texts are split once per row."""
+    names = sorted({m for c in columns for m in (c.members if isinstance(c, Cross) else (c.name,))})
+    return let(
+        _row_values(spec, names), lambda values: F.concat(*[block(c, _ids(spec, c, values, method)) for c in columns])
+    )
+
+
+def column_ids(spec: ModelSpec, column, method: str = "xxhash64") -> Column:
+    """Ids of one wide column within its own range, as an array."""
+    return _over_columns(spec, [column], method, lambda c, ids: ids if _has_many(spec, c) else F.array(ids))
+
+
+def _wide_columns(spec: ModelSpec) -> tuple[list, dict[str, int]]:
+    columns = [c for c in [*spec.features, *spec.crosses] if c.size]
+    return columns, {slot.name: slot.offset for slot in spec.wide_slots()}
 
 
 def wide_ids(spec: ModelSpec, method: str = "xxhash64") -> Column:
     """All wide ids of a row in the shared id space."""
-    columns = {c.name: c for c in [*spec.features, *spec.crosses]}
+    columns, offsets = _wide_columns(spec)
 
-    def shifted(slot) -> Column:
-        return F.transform(column_ids(spec, columns[slot.name], method), lambda i: i + F.lit(slot.offset).cast("bigint"))
+    def shifted(column, ids: Column) -> Column:
+        offset = F.lit(offsets[column.name]).cast("bigint")
+        return F.transform(ids, lambda i: i + offset) if _has_many(spec, column) else F.array(ids + offset)
 
-    return F.concat(*[shifted(slot) for slot in spec.wide_slots()])
+    return _over_columns(spec, columns, method, shifted)
 
 
 def wide_pairs(spec: ModelSpec, method: str = "xxhash64") -> Column:
@@ -54,19 +98,26 @@ def wide_pairs(spec: ModelSpec, method: str = "xxhash64") -> Column:
     Columns own disjoint id ranges, so repeats are counted within each column's few ids and no
     shuffle is needed.
     """
-    columns = {c.name: c for c in [*spec.features, *spec.crosses]}
+    columns, offsets = _wide_columns(spec)
+
+    def pair(i: Column, offset: Column, value: Column) -> Column:
+        return F.struct((i + offset).alias("idx"), value.alias("value"))
+
+    def repeated(ids: Column, offset: Column) -> Column:
+        def count(i: Column) -> Column:
+            return F.size(F.filter(ids, lambda other: other == i)).cast("double")
 
-    def pair(ids: Column, i: Column, offset: int) -> Column:
-        repeats = F.size(F.filter(ids, lambda other: other == i))
-        return F.struct((i + F.lit(offset).cast("bigint")).alias("idx"), repeats.cast("double").alias("value"))
+        once = F.array(pair(F.get(ids, 0), offset, F.lit(1.0)))
+        several = F.transform(F.array_distinct(ids), lambda i: pair(i, offset, count(i)))
+        return F.when(F.size(ids) == 1, once).otherwise(several)
 
-    def counted(slot) -> Column:
-        return let(
-            column_ids(spec, columns[slot.name], method),
-            lambda ids: F.transform(F.array_distinct(ids), lambda i: pair(ids, i, slot.offset)),
-        )
+    def counted(column, ids: Column) -> Column:
+        offset = F.lit(offsets[column.name]).cast("bigint")
+        if not _has_many(spec, column):
+            return F.array(pair(ids, offset, F.lit(1.0)))
+        return let(ids, lambda found: repeated(found, offset))
 
-    return F.concat(*[counted(slot) for slot in spec.wide_slots()])
+    return _over_columns(spec, columns, method, counted)
 
 
 def wide_input(df: DataFrame, spec: ModelSpec, keep: list[str], method: str = "xxhash64") -> DataFrame:
