@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.sources.logs import scan_days
 
 ROWS_PER_FILE = 5_000_000
 
+_SLOT_FIELDS = [T.StructField("_first", T.IntegerType()), T.StructField("_files", T.IntegerType())]
+
 
 def write_tsv(df: DataFrame, path: str, files: int | None = None, delimiter: str = "\t") -> None:
     """Replace ``path`` by tab-separated text.
@@ -30,16 +33,23 @@ def write_days(df: DataFrame, base: str, day: str = "dt", delimiter: str = "\t")
 
 
 def export_days(df: DataFrame, base: str, day: str, row_id: str, rows_per_file: int = ROWS_PER_FILE, delimiter: str = "\t") -> None:
-    """One merged file per day, days in parallel.
+    """One merged file per day, days in parallel and one task per file.
 
     A day with more than ``rows_per_file`` rows gets one file per that many rows, so that no task
     has to take an unbounded day.
     """
-    counts = df.groupBy(day).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files"))
-    spread = df.join(F.broadcast(counts), day).withColumn(  # one row per day
-        "_file", F.pmod(F.xxhash64(row_id), F.col("_files")).cast("int")
-    )
-    placed = spread.repartition(F.col(day), F.col("_file")).sortWithinPartitions(day, "_file").drop("_files", "_file")
+    spark = df.sparkSession
+    n_files = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int")
+    counts = df.groupBy(day).agg(n_files.alias("n")).orderBy(day).collect()  # one row per day
+    first, slots = 0, []
+    for value, n in counts:
+        slots.append((value, first, n))
+        first += n
+    if not slots:
+        return
+    plan = spark.createDataFrame(slots, T.StructType([df.schema[day], *_SLOT_FIELDS]))
+    slot = F.col("_first") + F.pmod(F.xxhash64(row_id), F.col("_files")).cast("int")
+    placed = df.join(F.broadcast(plan), day).repartitionById(first, slot).drop("_first", "_files")
     writer = placed.write.partitionBy(day).option("partitionOverwriteMode", "dynamic")
     _text(writer, delimiter).save(base)
 
