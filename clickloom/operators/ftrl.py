@@ -41,7 +41,15 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE_SCHEMA)
 
 
-def examples(df: DataFrame, row_id: str, label: Column, ids: Column, weight: Column | None = None, bias: bool = True) -> DataFrame:
+def examples(
+    df: DataFrame,
+    row_id: str,
+    label: Column,
+    ids: Column,
+    weight: Column | None = None,
+    bias: bool = True,
+    keep: list[Column] | None = None,
+) -> DataFrame:
     """Training table (id, label, weight, ids); the bias is one more id that every example has."""
     all_ids = F.concat(F.array(F.lit(BIAS).cast("bigint")), ids) if bias else ids
     return df.select(
@@ -49,6 +57,7 @@ def examples(df: DataFrame, row_id: str, label: Column, ids: Column, weight: Col
         label.cast("double").alias("label"),
         (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"),
         all_ids.alias("ids"),
+        *(keep or []),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import ftrl
 from clickloom.operators.metrics import evaluate
-from clickloom.session import cut_lineage
+from clickloom.session import cut_lineage, scratch_path
 
 
 def evaluation(data: DataFrame, state: DataFrame, max_ids: int | None, weight: str | None = "weight") -> DataFrame:
@@ -17,6 +17,16 @@ def evaluation(data: DataFrame, state: DataFrame, max_ids: int | None, weight: s
     return evaluate(ftrl.logits(data, state, max_ids), "logit", "label", weight)
 
 
+def stage(data: DataFrame, part: str) -> DataFrame:
+    """Write the examples once, one directory per part, so that every pass reads only its part.
+
+    The ids of a row are then computed once, however often the row is trained on or evaluated.
+    """
+    path = scratch_path(data.sparkSession, "examples")
+    data.hint("rebalance", F.col(part)).write.partitionBy(part).parquet(path)
+    return data.sparkSession.read.schema(data.schema).parquet(path)
+
+
 def walk_forward(
     data: DataFrame,
     part: str,
@@ -30,6 +40,7 @@ def walk_forward(
     ``data`` is an example table with a ``part`` column (a day or a file). Returns the metrics
     (train_part, test_part, epoch, metric, value) and the final state.
     """
+    data = stage(data, part)
     parts = [r[0] for r in data.select(part).distinct().orderBy(part).collect()]  # one row per day
     if len(parts) < 2:
         raise ValueError("walk-forward needs at least two parts")
@@ -58,6 +69,7 @@ def epoch_metrics(
     ``held_out`` marks the evaluation rows. Returns metrics (epoch, part, metric, value), where the
     part ``test`` is the periodic test, and the final state.
     """
+    data = stage(data, part)
     train_rows, eval_rows = data.where(~held_out), data.where(held_out).drop(part)
     parts = [r[0] for r in train_rows.select(part).distinct().orderBy(part).collect()]  # one row per file
     results = []

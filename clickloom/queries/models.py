@@ -19,34 +19,85 @@ from clickloom.sinks.models import export_model
 # --- sparse linear model -------------------------------------------------------------------------
 
 
-def _examples(spark, sf_dir, *extra):
-    log = impressions(spark, sf_dir)
+def _examples(spark, sf_dir, *keep):
     ids = sparse.wide_ids(EVENT_SPEC, "md5")
-    data = ftrl.examples(log.withColumn("_ids", ids), "event_id", F.col("clk"), F.col("_ids"))
-    if not extra:
-        return data
-    return data.join(log.select(F.col("event_id").alias("id"), *extra), "id")
+    return ftrl.examples(impressions(spark, sf_dir), "event_id", F.col("clk"), ids, keep=list(keep))
 
 
 # The spec allows this many ids, and the bias is one more.
 MAX_IDS = EVENT_SPEC.wide_dimension + 1
 
 FTRL_INPUT = f"""WITH {LOG}, {EVENT_IDS},
-  pairs AS (SELECT event_id, clk, idx FROM ids UNION ALL SELECT event_id, clk, -1 FROM log),
+  pairs AS (SELECT event_id, clk, day, idx FROM ids UNION ALL SELECT event_id, clk, day, -1 FROM log),
   s0 AS (SELECT DISTINCT idx, 0.0::DOUBLE AS z, 0.1::DOUBLE AS n, 0.0::DOUBLE AS w FROM pairs)"""
 
 
-def _ftrl_step_sql(step: int) -> str:
-    """Common table expressions that turn state s<step-1> into s<step>."""
+def _ftrl_step_sql(step: int, rows: str = "true") -> str:
+    """Common table expressions that turn state s<step-1> into s<step> with the chosen rows."""
     return f"""p{step} AS (SELECT event_id, any_value(clk) AS clk, 1.0 / (1.0 + exp(-sum(w))) AS p
-      FROM pairs JOIN s{step - 1} USING (idx) GROUP BY event_id),
+      FROM pairs JOIN s{step - 1} USING (idx) WHERE {rows} GROUP BY event_id),
     g{step} AS (SELECT idx, sum(p - p{step}.clk) AS g FROM pairs JOIN p{step} USING (event_id) GROUP BY idx),
-    u{step} AS (SELECT idx, z + g - (sqrt(n + g * g) - sqrt(n)) / 0.1 * w AS z, n + g * g AS n
-      FROM s{step - 1} JOIN g{step} USING (idx)),
+    u{step} AS (SELECT idx, z + coalesce(g, 0.0) - (sqrt(n + coalesce(g * g, 0.0)) - sqrt(n)) / 0.1 * w AS z,
+      n + coalesce(g * g, 0.0) AS n FROM s{step - 1} LEFT JOIN g{step} USING (idx)),
     s{step} AS (SELECT idx, z, n, CASE WHEN abs(z) > 0.5
       THEN (sign(z) * 0.5 - z) / (sqrt(n) / 0.1 + 2.0) ELSE 0.0 END AS w FROM u{step})"""
 
 
+# All evaluation metrics of the rows r<name>(z, y, p), as (metric, value) rows m<name>.
+def _evaluation_sql(name, digits: int = 6) -> str:
+    metrics_ = {
+        "accuracy": "avg(CASE WHEN (z > 0) = (y = 1) THEN 1.0 ELSE 0.0 END)",
+        "accuracy_baseline": "greatest(avg(y), 1 - avg(y))",
+        "average_loss": "avg(loss)",
+        "label_mean": "avg(y)",
+        "loss": "sum(loss)",
+        "n_rows": "CAST(count(*) AS DOUBLE)",
+        "prediction_mean": "avg(p)",
+    }
+    rows = f"(SELECT *, greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z))) AS loss FROM r{name})"
+    plain = [f"SELECT '{m}' AS metric, round({e}, {digits}) AS value FROM {rows}" for m, e in metrics_.items()]
+    curves = [
+        f"SELECT 'auc', round(sum(neg * (tp - pos + tp) / 2) / (sum(pos) * sum(neg)), {digits}) FROM d{name}",
+        f"SELECT 'auc_precision_recall', round(sum(pos * (here + before) / 2) / sum(pos), {digits}) FROM d{name}",
+    ]
+    return f"""b{name} AS (SELECT least(greatest(ceil(p * 199) - 1, 0), 198) AS bin, sum(y)::DOUBLE AS pos,
+      sum(1 - y)::DOUBLE AS neg FROM r{name} GROUP BY bin),
+    c{name} AS (SELECT *, sum(pos) OVER (ORDER BY bin DESC) AS tp, sum(neg) OVER (ORDER BY bin DESC) AS fp FROM b{name}),
+    d{name} AS (SELECT *, tp / (tp + fp) AS here, CASE WHEN tp + fp - pos - neg = 0 THEN tp / (tp + fp)
+      ELSE (tp - pos) / (tp + fp - pos - neg) END AS before FROM c{name}),
+    m{name} AS ({' UNION ALL '.join([*plain, *curves])})"""
+
+
+def _scored_sql(name, state: int, rows: str) -> str:
+    return f"""r{name} AS (SELECT z, y, 1.0 / (1.0 + exp(-z)) AS p FROM (
+      SELECT sum(w) AS z, any_value(clk) AS y FROM pairs JOIN s{state} USING (idx) WHERE {rows} GROUP BY event_id))"""
+
+
+DAY_NUMBER = "datediff('day', DATE '2024-01-01', day)"
+
+
+def _walk_forward_sql(weeks: int = 5) -> str:
+    ctes, results = [FTRL_INPUT], []
+    for week in range(weeks - 1):
+        here, following = (f"{DAY_NUMBER} // 7 = {w}" for w in (week, week + 1))
+        ctes += [_ftrl_step_sql(week + 1, here), _scored_sql(week, week + 1, following), _evaluation_sql(week)]
+        results.append(f"SELECT {week} AS train_part, {week + 1} AS test_part, 1 AS epoch, metric, value FROM m{week}")
+    return f"{', '.join(ctes)} {' UNION ALL '.join(results)}"
+
+
+def _epochs_sql(epochs: int = 2, parts: int = 2, epochs_per_test: int = 2) -> str:
+    ctes, results, step = [FTRL_INPUT], [], 0
+    for epoch in range(1, epochs + 1):
+        for part in range(parts):
+            step += 1
+            ctes += [_ftrl_step_sql(step, f"{DAY_NUMBER} // 12 = {part}"), _scored_sql(step, step, f"{DAY_NUMBER} // 12 = 2")]
+            ctes.append(_evaluation_sql(step))
+            results.append(f"SELECT {epoch} AS epoch, '{part}' AS part, metric, value FROM m{step}")
+        if epoch % epochs_per_test == 0:
+            results.append(f"SELECT {epoch} AS epoch, 'test' AS part, metric, value FROM m{step}")
+    return f"{', '.join(ctes)} {' UNION ALL '.join(results)}"
+
+
 def _ftrl_sql(steps: int) -> str:
     chain = ", ".join(_ftrl_step_sql(s) for s in range(1, steps + 1))
     return f"{FTRL_INPUT}, {chain} SELECT idx, round(z, 7) + 0.0 AS z, round(n, 7) AS n, round(w, 7) + 0.0 AS w FROM s{steps}"
@@ -100,7 +151,7 @@ def wide_lr(spark, sf_dir):
     return scored.select("event_id", F.round(vector_to_array("probability")[1], 4).alias("probability"))
 
 
-@query("walk_forward")
+@query("walk_forward", _walk_forward_sql())
 def walk_forward(spark, sf_dir):
     """Train on one week, evaluate on the next."""
     week = F.floor(F.datediff(F.col("day"), F.lit("2024-01-01").cast("date")) / 7).cast("int").alias("week")
@@ -108,7 +159,7 @@ def walk_forward(spark, sf_dir):
     return results.select("train_part", "test_part", "epoch", "metric", F.round("value", 6).alias("value"))
 
 
-@query("epoch_metrics")
+@query("epoch_metrics", _epochs_sql())
 def epoch_metrics(spark, sf_dir):
     """Two epochs over two files with the last days held out."""
     part = F.floor(F.datediff(F.col("day"), F.lit("2024-01-01").cast("date")) / 12).cast("int").alias("part")
@@ -415,28 +466,12 @@ def auc_pr(spark, sf_dir):
 
 @query(
     "evaluation",
-    f"""WITH r AS (SELECT {JOINT} AS z, {LABEL} AS y, {P} AS p, {ROW_LOSS} AS loss FROM lineitem),
-    b AS (SELECT least(greatest(ceil(p * 199) - 1, 0), 198) AS bin, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM r GROUP BY bin),
-    c AS (SELECT *, sum(pos) OVER (ORDER BY bin DESC) AS tp, sum(neg) OVER (ORDER BY bin DESC) AS fp FROM b),
-    d AS (SELECT *, tp / (tp + fp) AS here, CASE WHEN tp + fp - pos - neg = 0 THEN tp / (tp + fp)
-      ELSE (tp - pos) / (tp + fp - pos - neg) END AS before FROM c),
-    m AS (SELECT avg(y) AS y, avg(p) AS p, sum(loss) AS loss, avg(loss) AS mean_loss, count(*) AS n,
-      avg(CASE WHEN (z > 0) = (y = 1) THEN 1.0 ELSE 0.0 END) AS hits FROM r)
-    SELECT 'accuracy' AS metric, round(hits, 7) AS value FROM m
-    UNION ALL SELECT 'accuracy_baseline', round(greatest(y, 1 - y), 7) FROM m
-    UNION ALL SELECT 'auc', round(sum(neg * (tp - pos + tp) / 2) / (sum(pos) * sum(neg)), 7) FROM d
-    UNION ALL SELECT 'auc_precision_recall', round(sum(pos * (here + before) / 2) / sum(pos), 7) FROM d
-    UNION ALL SELECT 'average_loss', round(mean_loss, 7) FROM m
-    UNION ALL SELECT 'label_mean', round(y, 7) FROM m
-    UNION ALL SELECT 'loss', round(loss, 4) FROM m
-    UNION ALL SELECT 'n_rows', CAST(n AS DOUBLE) FROM m
-    UNION ALL SELECT 'prediction_mean', round(p, 7) FROM m""",
+    f"WITH r0 AS (SELECT {JOINT} AS z, {LABEL} AS y, {P} AS p FROM lineitem), {_evaluation_sql(0, 4)} SELECT * FROM m0",
 )
 def evaluation(spark, sf_dir):
     """All metrics in one pass, with curves over 200 thresholds."""
     found = metrics.evaluate(_scored_lines(spark, sf_dir), "logit", "label")
-    value = F.when(F.col("metric") == "loss", rounded(F.col("value"), 4)).otherwise(rounded(F.col("value"), 7))
-    return found.select("metric", value.alias("value"))
+    return found.select("metric", rounded(F.col("value"), 4).alias("value"))
 
 
 @query(
