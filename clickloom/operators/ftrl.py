@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.categorical import hash_text
 from clickloom.functions.numeric import sigmoid
-from clickloom.operators.lookup import BROADCAST_ROWS, bounded_lookup, hot_keys
+from clickloom.operators import lookup
+from clickloom.operators.lookup import bounded_lookup
 from clickloom.session import cut_lineage, shuffle_partitions
 
 STATE_SCHEMA = "idx bigint, z double, n double, w double"
@@ -70,6 +71,16 @@ def logits(data: DataFrame, state: DataFrame, max_ids: int | None, hot: DataFram
     return data.join(summed, "id", "left").withColumn("logit", F.coalesce("logit", F.lit(0.0)))
 
 
+def score(
+    data: DataFrame, state: DataFrame, max_ids: int | None, keep: list[str], hot: DataFrame | None = None
+) -> DataFrame:
+    """Only (id, ``keep`` columns, logit): the kept columns ride along, so nothing is joined back."""
+    pairs = data.select("id", *keep, F.explode_outer("ids").alias("idx"))
+    weights = state.where(F.col("w") != 0).select("idx", "w")
+    found = bounded_lookup(pairs, weights, ["idx"], ["id"], max_ids, hot)
+    return found.groupBy("id", *keep).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("logit"))
+
+
 def gradients(data: DataFrame, state: DataFrame, max_ids: int | None, hot: DataFrame | None = None) -> DataFrame:
     """Weighted gradient sum per id of one pass over the examples."""
     error = F.col("weight") * (sigmoid(F.col("logit")) - F.col("label"))
@@ -109,20 +120,26 @@ def train(
 ) -> DataFrame:
     """``steps`` passes over the examples, each split by id hash into ``batches`` updates.
 
-    Starts from ``state`` to continue a training, or clean without one.
+    Starts from ``state`` to continue a training, or clean without one. Examples are placed by id
+    once; every step then exchanges only gradients (and, if too large to broadcast, weights).
     """
     spark = data.sparkSession
     state = empty_state(spark) if state is None else state
+    proven = max_ids is not None and max_ids <= lookup.BROADCAST_ROWS
     placed = data.repartition(shuffle_partitions(spark), "id").sortWithinPartitions("id").persist()
     hot = None
-    if max_ids is None or max_ids > BROADCAST_ROWS:
-        # The ids do not change between steps, so the list of hot ids (2P rows) is found once.
-        hot = cut_lineage(hot_keys(placed.select(F.explode("ids").alias("idx")), ["idx"]))
     try:
         for _ in range(steps):
             for batch in range(batches):
+                bound = max_ids
+                if not proven:
+                    # The penalty keeps most weights at zero: count what a lookup really needs.
+                    bound = state.where(F.col("w") != 0).count()
+                    if bound > lookup.BROADCAST_ROWS and hot is None:
+                        # Ids do not change between steps, so the hot ones (2P rows) are found once.
+                        hot = cut_lineage(lookup.hot_keys(placed.select(F.explode("ids").alias("idx")), ["idx"]))
                 part = placed if batches == 1 else placed.where(_batch_of("id", batches) == batch)
-                state = cut_lineage(step(part, state, opt, max_ids, hot))
+                state = cut_lineage(step(part, state, opt, bound, hot))
     finally:
         placed.unpersist()
     return state

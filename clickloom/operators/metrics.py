@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.heads import argmax, log_loss
 from clickloom.functions.numeric import sigmoid
 from clickloom.operators.order import range_bounds, with_running_totals
+from clickloom.session import cut_lineage
 
 THRESHOLDS = 200
 
@@ -120,6 +121,6 @@ def _running_classes(df: DataFrame, score: str, label: str) -> DataFrame:
     per_score = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
-    bounds = range_bounds(df.select(F.col(score).cast("double").alias("score")), "score")
+    stored = cut_lineage(per_score)  # read for the bounds, the range totals and the curve
     totals = {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}
-    return with_running_totals(per_score, "score", totals, bounds, descending=True)
+    return with_running_totals(stored, "score", totals, range_bounds(stored, "score"), descending=True)

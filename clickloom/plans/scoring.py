@@ -27,4 +27,4 @@ def predict(df: DataFrame, logit: str, keep: list[str]) -> DataFrame:
 def score_version(data: DataFrame, base: str, version: int | None = None, max_ids: int | None = None) -> DataFrame:
     """Predictions of an example table under one exported version."""
     state = load_model(data.sparkSession, base, version)
-    return predict(ftrl.logits(data, state, max_ids), "logit", ["id"])
+    return predict(ftrl.score(data, state, max_ids, []), "logit", ["id"])

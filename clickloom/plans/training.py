@@ -14,7 +14,8 @@ from clickloom.session import cut_lineage, scratch_path
 
 def evaluation(data: DataFrame, state: DataFrame, max_ids: int | None, weight: str | None = "weight") -> DataFrame:
     """Metrics of a state on an example table."""
-    return evaluate(ftrl.logits(data, state, max_ids), "logit", "label", weight)
+    keep = ["label"] if weight is None else ["label", weight]
+    return evaluate(ftrl.score(data, state, max_ids, keep), "logit", "label", weight)
 
 
 def stage(data: DataFrame, part: str) -> DataFrame:

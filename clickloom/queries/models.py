@@ -135,7 +135,7 @@ def wide_salted_logit(spark, sf_dir):
     """Scoring without a bound on the weight table: the lookup that salts hot ids."""
     data = _examples(spark, sf_dir)
     state = ftrl.train(data, steps=1, max_ids=MAX_IDS)
-    return ftrl.logits(data, state, None).select(F.col("id").alias("event_id"), rounded(F.col("logit"), 7).alias("logit"))
+    return ftrl.score(data, state, None, []).select(F.col("id").alias("event_id"), rounded(F.col("logit"), 7).alias("logit"))
 
 
 @query("wide_lr")

@@ -153,10 +153,16 @@ def close(got, want):
         np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-9)
 
 
-@pytest.mark.parametrize("max_ids", [200, None], ids=["broadcast", "salted"])
-def test_training_equals_the_formula(spark, clicks, max_ids, no_broadcast):
+@pytest.mark.parametrize("way", ["proven", "counted", "salted"])
+def test_training_equals_the_formula(spark, clicks, way, no_broadcast, monkeypatch):
+    if way == "salted":
+        monkeypatch.setattr("clickloom.operators.lookup.BROADCAST_ROWS", 0)
     rows = [(r["label"], r["weight"], r["ids"]) for r in clicks.collect()]
-    close(state_of(ftrl.train(clicks, steps=2, max_ids=max_ids)), numpy_ftrl(rows, 2))
+    trained = ftrl.train(clicks, steps=3, max_ids=200 if way == "proven" else None)
+    close(state_of(trained), numpy_ftrl(rows, 3))
+    scored = {r["id"]: r["logit"] for r in ftrl.score(clicks, trained, None, ["label"]).collect()}
+    joined = {r["id"]: r["logit"] for r in ftrl.logits(clicks, trained, 200).collect()}
+    assert scored == pytest.approx(joined) and len(scored) == len(rows)
 
 
 def test_resuming_equals_training_on(spark, clicks, tmp_path):
