@@ -43,9 +43,10 @@ def uniform_bounds(low: float, high: float, ranges: int) -> list[float]:
 def with_range(df: DataFrame, key: str, bounds: list[float]) -> DataFrame:
     """Add the range number of ``key``: how many bounds are at or below it."""
     if not bounds:
-        return df.withColumn(RANGE, F.lit(0.0))
+        return df.withColumn(RANGE, F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=key, outputCol=RANGE, handleInvalid="keep").transform(df)
+    ranged = Bucketizer(splits=splits, inputCol=key, outputCol=RANGE, handleInvalid="keep").transform(df)
+    return ranged.withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
 def with_running_totals(
@@ -56,7 +57,9 @@ def with_running_totals(
     order = F.desc(key) if descending else F.asc(key)
     inside = Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = _totals_before(ranged, totals, descending)
-    summed = ranged.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
+    # One range per task: a hash of the range number would put several into some tasks.
+    placed = ranged.repartitionById(len(bounds) + 2, RANGE)
+    summed = placed.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
     joined = summed.join(F.broadcast(before), RANGE, "left")  # one row per range
     return joined.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in totals}).drop(
         RANGE, *[f"_before_{name}" for name in totals]
