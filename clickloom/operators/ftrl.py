@@ -64,7 +64,7 @@ def examples(
 
 def logits(data: DataFrame, state: DataFrame, max_ids: int | None, hot: DataFrame | None = None) -> DataFrame:
     """Add the logit under the given weights to every example."""
-    pairs = data.select("id", F.explode("ids").alias("idx"))
+    pairs = _pairs(data, "id")
     weights = state.where(F.col("w") != 0).select("idx", "w")
     found = bounded_lookup(pairs, weights, ["idx"], ["id"], max_ids, hot, how="inner")
     summed = found.groupBy("id").agg(F.sum("w").alias("logit"))
@@ -75,7 +75,7 @@ def score(
     data: DataFrame, state: DataFrame, max_ids: int | None, keep: list[str], hot: DataFrame | None = None
 ) -> DataFrame:
     """Only (id, ``keep`` columns, logit): the kept columns ride along, so nothing is joined back."""
-    pairs = data.select("id", *keep, F.explode_outer("ids").alias("idx"))
+    pairs = _pairs(data, "id", *keep)
     weights = state.where(F.col("w") != 0).select("idx", "w")
     found = bounded_lookup(pairs, weights, ["idx"], ["id"], max_ids, hot)
     return found.groupBy("id", *keep).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("logit"))
@@ -84,8 +84,8 @@ def score(
 def gradients(data: DataFrame, state: DataFrame, max_ids: int | None, hot: DataFrame | None = None) -> DataFrame:
     """Weighted gradient sum per id of one pass over the examples."""
     error = F.col("weight") * (sigmoid(F.col("logit")) - F.col("label"))
-    scored = logits(data, state, max_ids, hot).select(error.alias("error"), F.explode("ids").alias("idx"))
-    return scored.groupBy("idx").agg(F.sum("error").alias("g"))
+    scored = _pairs(logits(data, state, max_ids, hot).withColumn("error", error), "error")
+    return scored.where(F.col("idx").isNotNull()).groupBy("idx").agg(F.sum("error").alias("g"))
 
 
 def update(state: DataFrame, grads: DataFrame, opt: Ftrl) -> DataFrame:
@@ -137,7 +137,7 @@ def train(
                     bound = state.where(F.col("w") != 0).count()
                     if bound > lookup.BROADCAST_ROWS and hot is None:
                         # Ids do not change between steps, so the hot ones (2P rows) are found once.
-                        hot = cut_lineage(lookup.hot_keys(placed.select(F.explode("ids").alias("idx")), ["idx"]))
+                        hot = cut_lineage(lookup.hot_keys(_pairs(placed), ["idx"]))
                 part = placed if batches == 1 else placed.where(_batch_of("id", batches) == batch)
                 state = cut_lineage(step(part, state, opt, bound, hot))
     finally:
@@ -145,5 +145,13 @@ def train(
     return state
 
 
+def _pairs(data: DataFrame, *keep: str) -> DataFrame:
+    """One row per id of an example, with a null id for an example without ids.
+
+    For a plain explode Spark adds a filter on the array, which would compute its ids once more.
+    """
+    return data.select(*keep, F.explode_outer("ids").alias("idx"))
+
+
 def _batch_of(row_id: str, batches: int) -> Column:
     return hash_text(F.col(row_id).cast("string"), "md5") % batches

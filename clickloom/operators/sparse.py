@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,114 +16,122 @@ from clickloom.operators.lookup import bounded_lookup
 from clickloom.spec import Continuous, Cross, HashBucket, Identity, ModelSpec, Vocab
 
 
-def _row_values(spec: ModelSpec, names: list[str]) -> Column:
-    """Per feature what its ids derive from: the tokens of a text, or the id of a number."""
+def _value(name: str) -> str:
+    return f"_value_{name}"
+
+
+def with_values(df: DataFrame, spec: ModelSpec, columns: list) -> DataFrame:
+    """Add per feature what ids derive from: the tokens of a text, or the id of a number.
+
+    Several ids use each of these columns, so Spark keeps them in a projection of their own and
+    splits a text once per row.
+    """
+    names = sorted({m for c in columns for m in (c.members if isinstance(c, Cross) else (c.name,))})
 
     def value(name: str) -> Column:
         used = spec.feature(name)
         if isinstance(used, Identity):
             return cat.identity_id(F.col(name), used.size)
         if isinstance(used, Continuous):
-            return cat.bucketize(F.col(name), list(used.boundaries)) if used.boundaries else F.lit(None).cast("bigint")
+            return cat.bucketize(F.col(name), list(used.boundaries))
         return _text_tokens(spec, name)
 
-    return F.struct(*[value(name).alias(name) for name in names])
+    return df.withColumns({_value(name): value(name) for name in names})
 
 
 def _is_text(spec: ModelSpec, name: str) -> bool:
     return isinstance(spec.feature(name), (HashBucket, Vocab))
 
 
-def _ids(spec: ModelSpec, column, values: Column, method: str) -> Column:
-    """Ids of one column from the row's values: a single id, or an array for texts and their crosses."""
-    if isinstance(column, Cross):
-        texts = [m for m in column.members if _is_text(spec, m)]
+def _block(
+    spec: ModelSpec, column, method: str, one: Callable[[Column], Column], many: Callable[[Column], Column]
+) -> Column:
+    """Array built from the ids of one column.
 
-        def single(name: str) -> Column:
-            return F.get(values[name], 0) if name in texts else values[name].cast("string")
-
-        def tokens(name: str) -> Column:
-            return values[name] if name in texts else F.array(values[name].cast("string"))
-
-        one = cat.cross_hash([single(m) for m in column.members], column.size, method)
-        if not texts:
-            return one
-        # Most rows have one token per member and need no product of arrays.
-        plain = reduce(lambda a, b: a & b, [F.size(values[name]) == 1 for name in texts])
-        many = cat.cross_hash_tokens([tokens(m) for m in column.members], column.size, method)
-        return F.when(plain, F.array(one)).otherwise(many)
+    ``one`` builds it from a single id and ``many`` from an array of ids. Nearly all fields hold one
+    token, for which plain generated code does and no array function has to be interpreted.
+    """
+    if isinstance(column, Cross):
+        return _cross_block(spec, column, method, one, many)
+    value = F.col(_value(column.name))
     if isinstance(column, HashBucket):
-        return cat.hash_bucket_tokens(values[column.name], column.size, method)
+        single = one(cat.hash_bucket(F.get(value, 0), column.size, method))
+        return F.when(F.size(value) == 1, single).otherwise(many(cat.hash_bucket_tokens(value, column.size, method)))
     if isinstance(column, Vocab):
-        return cat.vocab_id_tokens(values[column.name], list(column.values))
-    return values[column.name]
+        known = cat.vocab_id(F.get(value, 0), list(column.values))
+        single = F.when(known >= 0, one(known)).otherwise(F.slice(one(known), 1, 0))
+        return F.when(F.size(value) == 1, single).otherwise(many(cat.vocab_id_tokens(value, list(column.values))))
+    return one(value)
 
 
-def _has_many(spec: ModelSpec, column) -> bool:
-    members = column.members if isinstance(column, Cross) else (column.name,)
-    return any(_is_text(spec, m) for m in members)
+def _cross_block(spec: ModelSpec, cross: Cross, method: str, one, many) -> Column:
+    texts = [m for m in cross.members if _is_text(spec, m)]
 
+    def single(name: str) -> Column:
+        value = F.col(_value(name))
+        return F.get(value, 0) if name in texts else value.cast("string")
 
-def _over_columns(spec: ModelSpec, columns: list, method: str, block) -> Column:
-    """Concatenate ``block(column, ids)`` of all columns; texts are split once per row."""
-    names = sorted({m for c in columns for m in (c.members if isinstance(c, Cross) else (c.name,))})
-    return let(
-        _row_values(spec, names), lambda values: F.concat(*[block(c, _ids(spec, c, values, method)) for c in columns])
-    )
+    def tokens(name: str) -> Column:
+        value = F.col(_value(name))
+        return value if name in texts else F.array(value.cast("string"))
+
+    block = one(cat.cross_hash([single(m) for m in cross.members], cross.size, method))
+    if not texts:
+        return block
+    plain = reduce(lambda a, b: a & b, [F.size(_value(name)) == 1 for name in texts])
+    product = cat.cross_hash_tokens([tokens(m) for m in cross.members], cross.size, method)
+    return F.when(plain, block).otherwise(many(product))
 
 
-def column_ids(spec: ModelSpec, column, method: str = "xxhash64") -> Column:
-    """Ids of one wide column within its own range, as an array."""
-    return _over_columns(spec, [column], method, lambda c, ids: ids if _has_many(spec, c) else F.array(ids))
+def with_column_ids(df: DataFrame, spec: ModelSpec, columns: dict, method: str = "xxhash64") -> DataFrame:
+    """Add, per output name, the array of ids of one column within its own range."""
+    valued = with_values(df, spec, list(columns.values()))
+    blocks = {out: _block(spec, column, method, F.array, lambda ids: ids) for out, column in columns.items()}
+    return valued.select(*df.columns, *[block.alias(out) for out, block in blocks.items()])
 
 
-def _wide_columns(spec: ModelSpec) -> tuple[list, dict[str, int]]:
-    columns = [c for c in [*spec.features, *spec.crosses] if c.size]
-    return columns, {slot.name: slot.offset for slot in spec.wide_slots()}
+def _wide_columns(spec: ModelSpec) -> list[tuple]:
+    offsets = {slot.name: slot.offset for slot in spec.wide_slots()}
+    return [(c, F.lit(offsets[c.name]).cast("bigint")) for c in [*spec.features, *spec.crosses] if c.size]
 
 
-def wide_ids(spec: ModelSpec, method: str = "xxhash64") -> Column:
-    """All wide ids of a row in the shared id space."""
-    columns, offsets = _wide_columns(spec)
+def with_wide_ids(df: DataFrame, spec: ModelSpec, method: str = "xxhash64", out: str = "ids") -> DataFrame:
+    """Add all wide ids of a row in the shared id space."""
 
-    def shifted(column, ids: Column) -> Column:
-        offset = F.lit(offsets[column.name]).cast("bigint")
-        return F.transform(ids, lambda i: i + offset) if _has_many(spec, column) else F.array(ids + offset)
+    def shifted(column, offset: Column) -> Column:
+        return _block(
+            spec, column, method, lambda i: F.array(i + offset), lambda ids: F.transform(ids, lambda i: i + offset)
+        )
 
-    return _over_columns(spec, columns, method, shifted)
+    columns = _wide_columns(spec)
+    valued = with_values(df, spec, [c for c, _ in columns])
+    return valued.select(*df.columns, F.concat(*[shifted(c, offset) for c, offset in columns]).alias(out))
 
 
-def wide_pairs(spec: ModelSpec, method: str = "xxhash64") -> Column:
-    """Ids and their number of occurrences as an array of (idx, value).
+def wide_input(df: DataFrame, spec: ModelSpec, keep: list[str], method: str = "xxhash64") -> DataFrame:
+    """Long sparse input: one row per id and row, with the number of times the id occurs.
 
     Columns own disjoint id ranges, so repeats are counted within each column's few ids and no
     shuffle is needed.
     """
-    columns, offsets = _wide_columns(spec)
 
-    def pair(i: Column, offset: Column, value: Column) -> Column:
-        return F.struct((i + offset).alias("idx"), value.alias("value"))
+    def pair(i: Column, value: Column) -> Column:
+        return F.struct(i.alias("idx"), value.alias("value"))
 
-    def repeated(ids: Column, offset: Column) -> Column:
-        def count(i: Column) -> Column:
+    def counted(column, offset: Column) -> Column:
+        def count(ids: Column, i: Column) -> Column:
             return F.size(F.filter(ids, lambda other: other == i)).cast("double")
 
-        once = F.array(pair(F.get(ids, 0), offset, F.lit(1.0)))
-        several = F.transform(F.array_distinct(ids), lambda i: pair(i, offset, count(i)))
-        return F.when(F.size(ids) == 1, once).otherwise(several)
+        def several(ids: Column) -> Column:
+            return F.transform(F.array_distinct(ids), lambda i: pair(i + offset, count(ids, i)))
 
-    def counted(column, ids: Column) -> Column:
-        offset = F.lit(offsets[column.name]).cast("bigint")
-        if not _has_many(spec, column):
-            return F.array(pair(ids, offset, F.lit(1.0)))
-        return let(ids, lambda found: repeated(found, offset))
+        return _block(
+            spec, column, method, lambda i: F.array(pair(i + offset, F.lit(1.0))), lambda ids: let(ids, several)
+        )
 
-    return _over_columns(spec, columns, method, counted)
-
-
-def wide_input(df: DataFrame, spec: ModelSpec, keep: list[str], method: str = "xxhash64") -> DataFrame:
-    """Long sparse input: one row per id and row, with the number of times the id occurs."""
-    return df.select(*keep, F.inline(wide_pairs(spec, method)))
+    columns = _wide_columns(spec)
+    valued = with_values(df, spec, [c for c, _ in columns])
+    return valued.select(*keep, F.inline(F.concat(*[counted(c, offset) for c, offset in columns])))
 
 
 def wide_logit(
@@ -167,25 +176,28 @@ def deep_input(
     columns = {c.name: c for c in [*spec.features, *spec.crosses]}
     slots = spec.deep_slots()
     embedded = [s for s in slots if s.how == "embedding"]
-    blocks = {}
-    for slot in slots:
+    number = {slot.name: i for i, slot in enumerate(embedded)}
+    dense = {slot.name: f"_dense_{i}" for i, slot in enumerate(slots) if slot.how != "embedding"}
+    hot = {dense[s.name]: columns[s.name] for s in slots if s.how == "hot"}
+
+    def dense_block(slot) -> Column:
         column = columns[slot.name]
         if slot.how == "number":
-            blocks[slot.name] = F.array(scale(F.col(slot.name), column.scale, column.params))
-        elif slot.how == "hot":
-            blocks[slot.name] = cat.multi_hot(column_ids(spec, column, method), column.size)
-    dense = {name: f"_block_{i}" for i, name in enumerate(blocks)}
-    base = rows.select(row_id, *[block.alias(dense[name]) for name, block in blocks.items()])
+            return F.array(scale(F.col(slot.name), column.scale, column.params))
+        return cat.multi_hot(F.col(dense[slot.name]), column.size)
+
+    base = with_column_ids(rows, spec, hot, method).select(
+        row_id, *[dense_block(s).alias(dense[s.name]) for s in slots if s.name in dense]
+    )
     if not embedded:
         return base.select(row_id, F.concat(*[F.col(dense[s.name]) for s in slots]).alias(out))
 
-    number = {slot.name: i for i, slot in enumerate(embedded)}
+    tagged_ids = with_column_ids(rows, spec, {f"_ids_{i}": columns[s.name] for i, s in enumerate(embedded)}, method)
 
-    def tagged(slot) -> Column:
-        ids = column_ids(spec, columns[slot.name], method)
-        return F.transform(ids, lambda i: F.struct(F.lit(number[slot.name]).alias("slot"), i.alias("idx")))
+    def tagged(i: int) -> Column:
+        return F.transform(f"_ids_{i}", lambda idx: F.struct(F.lit(i).alias("slot"), idx.alias("idx")))
 
-    pairs = rows.select(row_id, F.inline(F.concat(*[tagged(s) for s in embedded])))
+    pairs = tagged_ids.select(row_id, F.inline(F.concat(*[tagged(i) for i in range(len(embedded))])))
     table = reduce(
         DataFrame.unionByName,
         [tables[s.name].select(F.lit(number[s.name]).alias("slot"), "idx", "vector") for s in embedded],

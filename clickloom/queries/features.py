@@ -144,8 +144,8 @@ def cross_mixed(spark, sf_dir):
         features=(HashBucket("user_id", 1000), Identity("hour", 12), Continuous("value", None, None, VALUE_BOUNDS)),
         crosses=(Cross(("user_id", "value", "hour"), 3000),),
     )
-    ids = sparse.column_ids(spec, spec.crosses[0], "md5")
-    return impressions(spark, sf_dir).select("event_id", F.explode(ids).alias("cross_id"))
+    crossed = sparse.with_column_ids(impressions(spark, sf_dir), spec, {"cross_ids": spec.crosses[0]}, "md5")
+    return crossed.select("event_id", F.explode_outer("cross_ids").alias("cross_id"))
 
 
 NAME_WORDS = "blue cold hot large new old red anvil bolt gear gizmo plate ring rod widget".split()

@@ -77,9 +77,9 @@ def embedding_mean(spark, sf_dir):
     FROM ids LEFT JOIN weights USING (idx) GROUP BY event_id""",
 )
 def wide_logit(spark, sf_dir):
-    rows = impressions(spark, sf_dir).select("event_id", sparse.wide_ids(EVENT_SPEC, "md5").alias("ids"))
+    rows = sparse.with_wide_ids(impressions(spark, sf_dir), EVENT_SPEC, "md5").select("event_id", "ids")
     # A weight table for two thirds of the ids in use; the others count 0.
-    used = rows.select(F.explode("ids").alias("idx")).distinct().where(F.col("idx") % 3 != 0)
+    used = rows.select(F.explode_outer("ids").alias("idx")).where(F.col("idx") % 3 != 0).distinct()
     weights = used.withColumn("w", ((F.col("idx") * 37) % 101 - 50) / F.lit(100.0))
     logits = sparse.wide_logit(rows, weights, "event_id", "ids", EVENT_SPEC.wide_dimension, bias=0.25)
     return logits.select("event_id", rounded(F.col("logit")).alias("logit"))

@@ -20,8 +20,8 @@ from clickloom.sinks.models import export_model
 
 
 def _examples(spark, sf_dir, *keep):
-    ids = sparse.wide_ids(EVENT_SPEC, "md5")
-    return ftrl.examples(impressions(spark, sf_dir), "event_id", F.col("clk"), ids, keep=list(keep))
+    log = sparse.with_wide_ids(impressions(spark, sf_dir), EVENT_SPEC, "md5", "_ids")
+    return ftrl.examples(log, "event_id", F.col("clk"), F.col("_ids"), keep=list(keep))
 
 
 # The spec allows this many ids, and the bias is one more.

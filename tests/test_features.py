@@ -62,7 +62,7 @@ def rows(spark):
 
 def test_wide_ids(spark, rows):
     offsets = [s.offset for s in SPEC.wide_slots()]
-    got = {r["id"]: r["ids"] for r in rows.select("id", sparse.wide_ids(SPEC, "md5").alias("ids")).collect()}
+    got = {r["id"]: r["ids"] for r in sparse.with_wide_ids(rows, SPEC, "md5").collect()}
     for row in ROWS:
         want = [i + o for ids, o in zip(expected_ids(row), offsets, strict=True) for i in ids]
         assert sorted(got[row[0]]) == sorted(want)
