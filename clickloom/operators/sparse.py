@@ -20,11 +20,15 @@ def _value(name: str) -> str:
     return f"_value_{name}"
 
 
+def _first_id(name: str) -> str:
+    return f"_first_id_{name}"
+
+
 def with_values(df: DataFrame, spec: ModelSpec, columns: list) -> DataFrame:
     """Add per feature what ids derive from: the tokens of a text, or the id of a number.
 
     Several ids use each of these columns, so Spark keeps them in a projection of their own and
-    splits a text once per row.
+    splits a text once per row. The same holds for the vocabulary position of a first token.
     """
     names = sorted({m for c in columns for m in (c.members if isinstance(c, Cross) else (c.name,))})
 
@@ -36,7 +40,11 @@ def with_values(df: DataFrame, spec: ModelSpec, columns: list) -> DataFrame:
             return cat.bucketize(F.col(name), list(used.boundaries))
         return _text_tokens(spec, name)
 
-    return df.withColumns({_value(name): value(name) for name in names})
+    valued = df.withColumns({_value(name): value(name) for name in names})
+    first = {
+        _first_id(c.name): cat.vocab_id(F.get(_value(c.name), 0), list(c.values)) for c in columns if isinstance(c, Vocab)
+    }
+    return valued.withColumns(first) if first else valued
 
 
 def _is_text(spec: ModelSpec, name: str) -> bool:
@@ -58,7 +66,7 @@ def _block(
         single = one(cat.hash_bucket(F.get(value, 0), column.size, method))
         return F.when(F.size(value) == 1, single).otherwise(many(cat.hash_bucket_tokens(value, column.size, method)))
     if isinstance(column, Vocab):
-        known = cat.vocab_id(F.get(value, 0), list(column.values))
+        known = F.col(_first_id(column.name))
         single = F.when(known >= 0, one(known)).otherwise(F.slice(one(known), 1, 0))
         return F.when(F.size(value) == 1, single).otherwise(many(cat.vocab_id_tokens(value, list(column.values))))
     return one(value)
@@ -131,7 +139,10 @@ def wide_input(df: DataFrame, spec: ModelSpec, keep: list[str], method: str = "x
 
     columns = _wide_columns(spec)
     valued = with_values(df, spec, [c for c, _ in columns])
-    return valued.select(*keep, F.inline(F.concat(*[counted(c, offset) for c, offset in columns])))
+    pairs = valued.select(*keep, F.concat(*[counted(c, offset) for c, offset in columns]).alias("_pairs"))
+    # The array is a column of its own so that it is built by generated code; an outer inline adds no
+    # filter that would build it again.
+    return pairs.select(*keep, F.inline_outer("_pairs")).where(F.col("idx").isNotNull())
 
 
 def wide_logit(
@@ -197,7 +208,8 @@ def deep_input(
     def tagged(i: int) -> Column:
         return F.transform(f"_ids_{i}", lambda idx: F.struct(F.lit(i).alias("slot"), idx.alias("idx")))
 
-    pairs = tagged_ids.select(row_id, F.inline(F.concat(*[tagged(i) for i in range(len(embedded))])))
+    pairs = tagged_ids.select(row_id, F.concat(*[tagged(i) for i in range(len(embedded))]).alias("_pairs"))
+    pairs = pairs.select(row_id, F.inline_outer("_pairs")).where(F.col("idx").isNotNull())
     table = reduce(
         DataFrame.unionByName,
         [tables[s.name].select(F.lit(number[s.name]).alias("slot"), "idx", "vector") for s in embedded],
