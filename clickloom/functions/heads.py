@@ -13,7 +13,7 @@ from clickloom.functions.numeric import sigmoid
 
 def joint_logit(model_type: str, wide: Column | None = None, deep: Column | None = None, image: Column | None = None) -> Column:
     """Sum of the logits that ``model_type`` uses; a logit that is not available counts as 0."""
-    if model_type not in ("wide", "deep", "wide_deep"):
+    if model_type not in ("wide", "deep", "joint"):
         raise ValueError(f"unknown model type {model_type!r}")
     parts = []
     if model_type != "deep" and wide is not None:

@@ -13,6 +13,7 @@ Each step's state is cut from its lineage through the shared folder.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ from clickloom.session import cut_lineage, shuffle_partitions
 
 STATE_SCHEMA = "idx bigint, z double, n double, w double"
 BIAS = -1
+# Below this many examples another task costs more than it saves.
+EXAMPLES_PER_TASK = 5_000
 
 
 @dataclass(frozen=True)
@@ -126,7 +129,8 @@ def train(
     spark = data.sparkSession
     state = empty_state(spark) if state is None else state
     proven = max_ids is not None and max_ids <= lookup.BROADCAST_ROWS
-    placed = data.repartition(shuffle_partitions(spark), "id").sortWithinPartitions("id").persist()
+    parts = max(1, min(shuffle_partitions(spark), math.ceil(data.count() / EXAMPLES_PER_TASK)))
+    placed = data.repartition(parts, "id").sortWithinPartitions("id").persist()
     hot = None
     try:
         for _ in range(steps):

@@ -351,13 +351,13 @@ def _scored_lines(spark, sf_dir):
         wide.alias("wide"),
         deep.alias("deep"),
         image.alias("image"),
-        heads.joint_logit("wide_deep", wide, deep, image).alias("logit"),
+        heads.joint_logit("joint", wide, deep, image).alias("logit"),
     )
 
 
 @query(
     "joint_logit",
-    f"""SELECT {LINE_KEYS}, round({JOINT}, 9) + 0.0 AS wide_deep, round({WIDE}, 9) + 0.0 AS wide_only,
+    f"""SELECT {LINE_KEYS}, round({JOINT}, 9) + 0.0 AS joint, round({WIDE}, 9) + 0.0 AS wide_only,
       round(coalesce({DEEP}, 0.0), 9) + 0.0 AS deep_only FROM lineitem""",
 )
 def joint_logit(spark, sf_dir):
@@ -365,7 +365,7 @@ def joint_logit(spark, sf_dir):
     wide, deep, image = F.col("wide"), F.col("deep"), F.col("image")
     return lines.select(
         *LINE_KEYS.split(", "),
-        rounded(heads.joint_logit("wide_deep", wide, deep, image)).alias("wide_deep"),
+        rounded(heads.joint_logit("joint", wide, deep, image)).alias("joint"),
         rounded(heads.joint_logit("wide", wide, deep)).alias("wide_only"),
         rounded(heads.joint_logit("deep", wide, deep)).alias("deep_only"),
     )
