@@ -16,7 +16,7 @@ def seeded_shuffle(df: DataFrame, row_id: str, seed: int = 123, out: str = "posi
     """Position of each row in a random order that depends only on the seed and the row id."""
     bounds = uniform_bounds(0, HASH_LIMIT[method], shuffle_partitions(df.sparkSession))
     drawn = df.withColumn("_draw", hash_text(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")), method))
-    return with_row_index(drawn, "_draw", out, bounds).drop("_draw")
+    return with_row_index(drawn, "_draw", out, bounds, ties=(row_id,)).drop("_draw")
 
 
 def shard(df: DataFrame, workers: int, index: int, row_index: str = "row_index") -> DataFrame:

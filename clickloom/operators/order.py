@@ -50,12 +50,20 @@ def with_range(df: DataFrame, key: str, bounds: list[float]) -> DataFrame:
 
 
 def with_running_totals(
-    df: DataFrame, key: str, totals: dict[str, Column], bounds: list[float], descending: bool = False
+    df: DataFrame,
+    key: str,
+    totals: dict[str, Column],
+    bounds: list[float],
+    descending: bool = False,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add inclusive running sums along ``key``, which must be unique per row (aggregate first)."""
+    """Add inclusive running sums along ``key``, a column without nulls.
+
+    The key is unique per row (aggregate first), or ``ties`` names columns that order equal keys.
+    """
     ranged = with_range(df, key, bounds)
     order = F.desc(key) if descending else F.asc(key)
-    inside = Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(RANGE).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = _totals_before(ranged, totals, descending)
     # One range per task: a hash of the range number would put several into some tasks.
     placed = ranged.repartitionById(len(bounds) + 2, RANGE)
@@ -66,10 +74,12 @@ def with_running_totals(
     )
 
 
-def with_row_index(df: DataFrame, key: str, out: str = "row_index", bounds: list[float] | None = None) -> DataFrame:
-    """Number rows from 0 in the order of ``key``, a unique numeric column."""
+def with_row_index(
+    df: DataFrame, key: str, out: str = "row_index", bounds: list[float] | None = None, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Number rows from 0 in the order of ``key``, a numeric column that is unique (up to ``ties``)."""
     bounds = range_bounds(df, key) if bounds is None else bounds
-    numbered = with_running_totals(df, key, {out: F.lit(1).cast("bigint")}, bounds)
+    numbered = with_running_totals(df, key, {out: F.lit(1).cast("bigint")}, bounds, ties=ties)
     return numbered.withColumn(out, F.col(out) - 1)
 
 

@@ -55,6 +55,23 @@ def walk_forward(
     return reduce(DataFrame.unionByName, results), state
 
 
+def train_parts(
+    data: DataFrame,
+    part: str,
+    opt: ftrl.Ftrl = ftrl.Ftrl(),
+    epochs: int = 1,
+    max_ids: int | None = None,
+    state: DataFrame | None = None,
+) -> DataFrame:
+    """Train on every part in order, epoch by epoch, without evaluation."""
+    data = stage(data, part)
+    parts = [r[0] for r in data.select(part).distinct().orderBy(part).collect()]  # one row per file
+    for _ in range(epochs):
+        for p in parts:
+            state = ftrl.train(data.where(F.col(part) == p).drop(part), state, 1, opt, max_ids)
+    return ftrl.empty_state(data.sparkSession) if state is None else state
+
+
 def epoch_metrics(
     data: DataFrame,
     part: str,
@@ -64,14 +81,17 @@ def epoch_metrics(
     epochs_per_test: int = 1,
     max_ids: int | None = None,
     state: DataFrame | None = None,
+    test: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Per epoch, train on every part and evaluate after each; test after every few epochs.
 
-    ``held_out`` marks the evaluation rows. Returns metrics (epoch, part, metric, value), where the
-    part ``test`` is the periodic test, and the final state.
+    ``held_out`` marks the evaluation rows, and ``test`` is an example table of its own for the
+    periodic test (the evaluation rows without one). Returns metrics (epoch, part, metric, value), in
+    which the part ``test`` is the periodic test, and the final state.
     """
     data = stage(data, part)
     train_rows, eval_rows = data.where(~held_out), data.where(held_out).drop(part)
+    test = eval_rows if test is None else test
     parts = [r[0] for r in train_rows.select(part).distinct().orderBy(part).collect()]  # one row per file
     results = []
     for epoch in range(1, epochs + 1):
@@ -81,7 +101,7 @@ def epoch_metrics(
             results.append(_labelled(evaluation(eval_rows, state, max_ids), labels))
         if epoch % epochs_per_test == 0:
             labels = {"epoch": F.lit(epoch), "part": F.lit("test")}
-            results.append(_labelled(evaluation(eval_rows, state, max_ids), labels))
+            results.append(_labelled(evaluation(test, state, max_ids), labels))
     return reduce(DataFrame.unionByName, results), state
 
 

@@ -170,13 +170,39 @@ def image_prep(spark, sf_dir):
     return _by_position(done, digits=8)
 
 
-@query("image_prep_train")
+def _random_window_sql(height: str, width: str, new_height: int, new_width: int) -> str:
+    """Offsets and flip of a random window, drawn from the row id."""
+    return f"""{md5_sql("'7:top:' || vec_id")} % ({height} - {new_height} + 1) AS top,
+      {md5_sql("'7:left:' || vec_id")} % ({width} - {new_width} + 1) AS lft, {_draw_sql(7, 'flip', 2)} AS flipped"""
+
+
+# Training recipe on the three shapes: shortest side 6 to 9, random 5x5 window, random flip, mean 0.1.
+@query(
+    "image_prep_train",
+    f"""WITH {SHAPES}, sides AS (SELECT *, {_draw_sql(7, 'side', 4)} + 6 AS side FROM shapes),
+    sizes AS (SELECT *, CAST(trunc(CAST(h AS FLOAT) * f) AS INTEGER) AS nh, CAST(trunc(CAST(w AS FLOAT) * f) AS INTEGER) AS nw
+      FROM (SELECT *, CAST(CAST(side AS DOUBLE) / least(h, w) AS FLOAT) AS f FROM sides)),
+    windows AS (SELECT *, {_random_window_sql('nh', 'nw', 5, 5)} FROM sizes),
+    cells AS (SELECT *, unnest(range(25)) AS c FROM windows),
+    placed AS (SELECT *, (top + c // 5) * nw + lft + CASE WHEN flipped = 1 THEN 4 - c % 5 ELSE c % 5 END AS k FROM cells)
+    SELECT vec_id, CAST(c AS INTEGER) AS pos, round({_bilinear_sql('h', 'w', 'nh', 'nw')} - 0.1, 8) + 0.0 AS value FROM placed""",
+)
 def image_prep_train(spark, sf_dir):
     done = recipes.prepare_for_train(_shaped(spark, sf_dir), 1, 5, 5, (0.1,), sides=(6, 9), seed=7, row_id="vec_id")
     return _by_position(done, digits=8)
 
 
-@query("image_prep_custom")
+# Padded from 8x8 to 16x16, random 8x8 window, random flip, standardised.
+@query(
+    "image_prep_custom",
+    f"""WITH windows AS (SELECT *, {_random_window_sql('16', '16', 8, 8)} FROM embeddings),
+    cells AS (SELECT *, unnest(range(64)) AS c FROM windows),
+    placed AS (SELECT *, top + c // 8 - 4 AS y, lft + CASE WHEN flipped = 1 THEN 7 - c % 8 ELSE c % 8 END - 4 AS x FROM cells),
+    v AS (SELECT vec_id, c, CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7
+      THEN CAST(embedding[y * 8 + x + 1] AS DOUBLE) ELSE 0.0::DOUBLE END AS v FROM placed),
+    s AS (SELECT vec_id, avg(v) AS mean, greatest(stddev_pop(v), 1 / sqrt(64.0::DOUBLE)) AS deviation FROM v GROUP BY vec_id)
+    SELECT vec_id, CAST(c AS INTEGER) AS pos, round((v - mean) / deviation, 8) + 0.0 AS value FROM v JOIN s USING (vec_id)""",
+)
 def image_prep_custom(spark, sf_dir):
     done = recipes.prepare_custom(_images(spark, sf_dir), 1, 8, 8, training=True, seed=7, row_id="vec_id")
     return _by_position(done, digits=8)

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from clickloom.operators import ftrl, sampling
+from clickloom.operators.rates import WINDOWS
+from clickloom.plans.prepare import Preparation, prepare_files
 from clickloom.queries.base import EVENT_SPEC, LOG, impressions, md5_sql, query, rounded
 from clickloom.queries.models import MAX_IDS, _examples, _ftrl_sql
 from clickloom.session import scratch_path
@@ -76,6 +78,38 @@ def copy_day(spark, sf_dir):
     return _decoded(logs.scan_days(spark, target, days, FIELDS, "day={day}"))
 
 
+RUN_FEATURES = ("user_id", "hour")
+RUN_NAMES = [f"{f}_rate_{k}" for k in WINDOWS for f in RUN_FEATURES]
+
+
+def _prepared_sql() -> str:
+    """The latest day of the log with its trailing rates; the day's window ends with itself."""
+    rates = [
+        f"""(SELECT avg(h.clk) FROM log h WHERE h.{f} = l.{f} AND h.day BETWEEN l.day - {k - 1} AND l.day)"""
+        for k in WINDOWS
+        for f in RUN_FEATURES
+    ]
+    columns = ", ".join(f"round({rate}, 9) AS {name}" for rate, name in zip(rates, RUN_NAMES, strict=True))
+    return f"WITH {LOG} SELECT event_id, clk, {columns} FROM log l WHERE day = (SELECT max(day) FROM log) AND {KEEP_SQL}"
+
+
+@query("prepared_files", _prepared_sql())
+def prepared_files(spark, sf_dir):
+    """The whole daily job on files: 30 day directories in, one prepared directory out."""
+    source, target = scratch_path(spark, "raw"), scratch_path(spark, "prepared")
+    log = impressions(spark, sf_dir).select(*FIELDS).withColumn("day", F.col("dt"))
+    log_sinks.write_days(log, source, "day")
+    run = [log.agg(F.max("dt")).first()[0]]
+    job = Preparation(features=RUN_FEATURES, keep=KEEP)
+    prepare_files(spark, source, target, run, FIELDS, "event_id", job, directory="day={day}")
+    done = logs.scan_days(spark, target, run, [*FIELDS, *RUN_NAMES], "run_dt={day}")
+    return done.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("clk").cast("int").alias("clk"),
+        *[rounded(F.col(n)).alias(n) for n in RUN_NAMES],
+    )
+
+
 @query("model_export", _ftrl_sql(1).replace("round(w, 7) + 0.0 AS w FROM", "round(w, 7) + 0.0 AS w, 8 AS n_fields FROM"))
 def model_export(spark, sf_dir):
     """The latest exported version and the number of fields in the spec stored next to it."""

@@ -206,8 +206,10 @@ def test_walk_forward_trains_before_it_evaluates(spark, clicks):
 
 def test_epochs_report_every_file_and_the_test(spark, clicks):
     data = clicks.withColumn("file", (F.col("id") % 3).cast("string"))
-    results, _ = training.epoch_metrics(data, "file", F.col("file") == "2", epochs=2, epochs_per_test=2, max_ids=200)
+    held_out = F.col("file") == "2"
+    results, state = training.epoch_metrics(data, "file", held_out, epochs=2, epochs_per_test=2, max_ids=200)
     rows = results.collect()
+    close(state_of(state), state_of(training.train_parts(data.where(~held_out), "file", epochs=2, max_ids=200)))
     assert {(r["epoch"], r["part"]) for r in rows} == {(1, "0"), (1, "1"), (2, "0"), (2, "1"), (2, "test")}
     losses = {(r["epoch"], r["part"]): r["value"] for r in rows if r["metric"] == "loss"}
     assert losses[2, "1"] == losses[2, "test"] < losses[1, "0"]
