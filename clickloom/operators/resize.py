@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 from clickloom.functions.images import aspect_size
 
 
+# Spark bounds the bytes of incoming batches; this bounds outgoing ones, which may be enlarged.
+OUTPUT_BYTES = 64 << 20
+
+
 def bilinear(images: np.ndarray, new_height: int, new_width: int) -> np.ndarray:
     """Resize (n, h, w, c) images; sample (y, x) reads the source at (y*h/new_h, x*w/new_w)."""
     _, height, width, _ = images.shape
@@ -51,15 +55,19 @@ def resize(df: DataFrame, pixels: str, height: Column, width: Column, channels:
         for batch in batches:
             shapes = np.stack([batch.column(n).to_numpy() for n in ("_h", "_w", "_nh", "_nw")], axis=1)
             for shape in np.unique(shapes, axis=0):
-                rows = np.flatnonzero((shapes == shape).all(axis=1))
-                part = batch.take(pa.array(rows))
+                same = np.flatnonzero((shapes == shape).all(axis=1))
                 h, w, nh, nw = (int(v) for v in shape)
-                flat = pc.list_flatten(part.column("_pixels")).to_numpy(zero_copy_only=False)
-                resized = bilinear(flat.reshape(len(rows), h, w, channels), nh, nw).ravel()
-                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (nh * nw * channels))
-                sizes = [pa.array(np.full(len(rows), v, dtype=np.int32)) for v in (nh, nw)]
-                arrays = [part.column(c) for c in keep] + sizes + [pa.ListArray.from_arrays(offsets, pa.array(resized))]
-                yield pa.RecordBatch.from_arrays(arrays, [*keep, "height", "width", pixels])
+                step = max(1, OUTPUT_BYTES // (nh * nw * channels * 8))
+                for start in range(0, len(same), step):
+                    part = batch.take(pa.array(same[start : start + step]))
+                    n = part.num_rows
+                    flat = pc.list_flatten(part.column("_pixels")).to_numpy(zero_copy_only=False)
+                    resized = bilinear(flat.reshape(n, h, w, channels), nh, nw).ravel()
+                    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (nh * nw * channels))
+                    sizes = [pa.array(np.full(n, v, dtype=np.int32)) for v in (nh, nw)]
+                    images = pa.ListArray.from_arrays(offsets, pa.array(resized))
+                    arrays = [*[part.column(c) for c in keep], *sizes, images]
+                    yield pa.RecordBatch.from_arrays(arrays, [*keep, "height", "width", pixels])
 
     return source.mapInArrow(run, schema)
 

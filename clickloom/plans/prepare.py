@@ -11,7 +11,7 @@ from clickloom.functions.clean import typed
 from clickloom.operators.rates import WINDOWS, attach_rates, daily_counts, trailing_rates
 from clickloom.operators.sampling import downsample
 from clickloom.sinks.logs import write_days
-from clickloom.sources.logs import days_back, require_days, scan_days
+from clickloom.sources.logs import available_days, days_back, require_days, scan_days
 
 
 @dataclass(frozen=True)
@@ -25,18 +25,27 @@ class Preparation:
     include_current: bool = True
 
 
-def prepare(log: DataFrame, label: str, day: str, row_id: str, job: Preparation, run: Column | None = None) -> DataFrame:
-    """Sampled rows of the run days with the rates of all trailing days of ``log``.
+def prepare(
+    log: DataFrame,
+    label: str,
+    day: str,
+    row_id: str,
+    job: Preparation,
+    run: Column | None = None,
+    daily: DataFrame | None = None,
+) -> DataFrame:
+    """Sampled rows of the run days with the rates of all trailing days.
 
     ``run`` selects the days to prepare (all by default); ``day`` is a date column. Rates come from
-    the full log. Sampling commutes with the lookup, so negatives are dropped before the join and only
-    the kept rows meet the rates.
+    the full log, or from its stored daily counts when ``daily`` is given. Sampling commutes with the
+    lookup, so negatives are dropped before the join and only the kept rows meet the rates.
     """
     selected = log if run is None else log.where(run)
     rows = downsample(selected, label, row_id, job.keep, job.seed)
     if not job.features:
         return rows
-    daily = daily_counts(log, list(job.features), day, F.col(label) == 1)
+    if daily is None:
+        daily = daily_counts(log, list(job.features), day, F.col(label) == 1)
     rates = trailing_rates(daily, day, job.windows, job.include_current)
     if run is not None:
         rates = rates.where(run)
@@ -54,20 +63,51 @@ def prepare_files(
     label: str = "clk",
     day: str = "dt",
     directory: str = "{day}",
+    counts: str | None = None,
 ) -> None:
     """Read the trailing days of all run days once, prepare these together, write ``run_dt=<day>`` each.
 
-    Stops before any work if an input day is missing.
+    With a ``counts`` folder, daily counts are kept there: a raw day is then read for counting only
+    once, and a daily run reads its own day instead of thirty. Stops before any work if an input day
+    is missing.
     """
-    history = sorted({d for run_day in days for d in days_back(run_day, max(job.windows))})
-    require_days(spark, source, history, directory)
-    raw = scan_days(spark, source, history, fields, directory)
-    date_of = F.to_date(F.col(day), "yyyyMMdd")
-    log = raw.withColumn(label, typed(F.col(label), "int")).withColumn("_day", date_of)
+    history = sorted({d for run_day in days for d in days_back(run_day, max(job.windows))}) if job.features else days
+    uncounted = history if counts is None else _uncounted_days(spark, counts, history, job.features)
+    require_days(spark, source, sorted({*uncounted, *days}), directory)
+
+    def read(wanted: list[str]) -> DataFrame:
+        raw = scan_days(spark, source, wanted, fields, directory)
+        return raw.withColumn(label, typed(F.col(label), "int")).withColumn("_day", F.to_date(F.col(day), "yyyyMMdd"))
+
     run = F.col("_day").isin([_iso(d) for d in days])
-    done = prepare(log, label, "_day", row_id, job, run)
+    if counts is None or not job.features:
+        done = prepare(read(history), label, "_day", row_id, job, run)
+    else:
+        if uncounted:
+            _store_counts(daily_counts(read(uncounted), list(job.features), "_day", F.col(label) == 1), counts)
+        done = prepare(read(days), label, "_day", row_id, job, run, _stored_counts(spark, counts, history, job.features))
     write_days(done.withColumn("run_dt", F.col(day)).drop("_day"), target, "run_dt")
 
 
+COUNTS_SCHEMA = "value string, _day date, n bigint, positives bigint, feature string, count_day string"
+
+
+def _uncounted_days(spark: SparkSession, counts: str, days: list[str], features: tuple[str, ...]) -> list[str]:
+    """Days for which the counts of any feature are not stored."""
+    stored = [set(available_days(spark, counts, days, f"feature={f}/count_day={{day}}")) for f in features]
+    return [d for d in days if not all(d in have for have in stored)]
+
+
+def _store_counts(daily: DataFrame, counts: str) -> None:
+    dated = daily.withColumn("count_day", F.date_format("_day", "yyyyMMdd")).hint("rebalance", F.col("count_day"))
+    writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("feature", "count_day").parquet(counts)
+
+
+def _stored_counts(spark: SparkSession, counts: str, days: list[str], features: tuple[str, ...]) -> DataFrame:
+    stored = spark.read.schema(COUNTS_SCHEMA).parquet(counts)
+    return stored.where(F.col("feature").isin(*features) & F.col("count_day").isin(*days)).drop("count_day")
+
+
 def _iso(day: str) -> str:
     return f"{day[:4]}-{day[4:6]}-{day[6:]}"

@@ -93,16 +93,20 @@ def _prepared_sql() -> str:
     return f"WITH {LOG} SELECT event_id, clk, {columns} FROM log l WHERE day = (SELECT max(day) FROM log) AND {KEEP_SQL}"
 
 
-@query("prepared_files", _prepared_sql())
-def prepared_files(spark, sf_dir):
-    """The whole daily job on files: 30 day directories in, one prepared directory out."""
+def _prepared(spark, sf_dir, with_counts: bool):
     source, target = scratch_path(spark, "raw"), scratch_path(spark, "prepared")
     log = impressions(spark, sf_dir).select(*FIELDS).withColumn("day", F.col("dt"))
     log_sinks.write_days(log, source, "day")
-    run = [log.agg(F.max("dt")).first()[0]]
+    days = [r[0] for r in log.select("dt").distinct().orderBy("dt").collect()]  # one row per day
     job = Preparation(features=RUN_FEATURES, keep=KEEP)
-    prepare_files(spark, source, target, run, FIELDS, "event_id", job, directory="day={day}")
-    done = logs.scan_days(spark, target, run, [*FIELDS, *RUN_NAMES], "run_dt={day}")
+    counts = None
+    if with_counts:
+        # Count all days but the last one, as an earlier run would have done; their windows are short.
+        counts = scratch_path(spark, "counts")
+        earlier = Preparation(features=RUN_FEATURES, windows=(len(days) - 1,), keep=KEEP)
+        prepare_files(spark, source, target, days[-2:-1], FIELDS, "event_id", earlier, directory="day={day}", counts=counts)
+    prepare_files(spark, source, target, days[-1:], FIELDS, "event_id", job, directory="day={day}", counts=counts)
+    done = logs.scan_days(spark, target, days[-1:], [*FIELDS, *RUN_NAMES], "run_dt={day}")
     return done.select(
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("clk").cast("int").alias("clk"),
@@ -110,6 +114,18 @@ def prepared_files(spark, sf_dir):
     )
 
 
+@query("prepared_files", _prepared_sql())
+def prepared_files(spark, sf_dir):
+    """The whole daily job on files: 30 day directories in, one prepared directory out."""
+    return _prepared(spark, sf_dir, with_counts=False)
+
+
+@query("prepared_from_counts", _prepared_sql())
+def prepared_from_counts(spark, sf_dir):
+    """The same with stored daily counts: only the last day is read raw by the last run."""
+    return _prepared(spark, sf_dir, with_counts=True)
+
+
 @query("model_export", _ftrl_sql(1).replace("round(w, 7) + 0.0 AS w FROM", "round(w, 7) + 0.0 AS w, 8 AS n_fields FROM"))
 def model_export(spark, sf_dir):
     """The latest exported version and the number of fields in the spec stored next to it."""

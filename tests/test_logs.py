@@ -108,6 +108,30 @@ def test_prepared_directories(spark, tmp_path):
     }
 
 
+def test_stored_counts_replace_old_days(spark, tmp_path):
+    """A second run needs raw input for its own day only and gives the rates of the full history."""
+    first = {"20240101": ["1\ta\tx\t20240101", "0\tb\tx\t20240101"], "20240102": ["0\tc\tx\t20240102"]}
+    second = {"20240103": ["1\te\tx\t20240103", "1\tf\t\t20240103", "0\tg\tx\t20240103"]}
+    for folder, log in (("one", first), ("two", second), ("all", first | second)):
+        for day, lines in log.items():
+            put(f"{tmp_path}/{folder}/{day}/part-0", "\n".join(lines) + "\n")
+    early = Preparation(features=("site",), windows=(2,), keep=1.0)
+    job = Preparation(features=("site",), windows=(1, 3), keep=1.0)
+
+    def run(source, target, day, what, counts):
+        prepare_files(spark, f"{tmp_path}/{source}", f"{tmp_path}/{target}", [day], FIELDS, "id", what, counts=counts)
+        names = [*FIELDS, *[f"r{k}" for k in what.windows]]
+        return sorted(tuple(r) for r in logs.scan_days(spark, f"{tmp_path}/{target}", [day], names, "run_dt={day}").collect())
+
+    counts = f"{tmp_path}/counts"
+    run("one", "out", "20240102", early, counts)
+    stored = run("two", "out", "20240103", job, counts)
+    assert stored == run("all", "plain", "20240103", job, None) and len(stored) == 3
+    assert run("two", "again", "20240103", job, counts) == stored
+    with pytest.raises(FileNotFoundError, match="20231231"):
+        run("two", "out", "20240102", job, counts)
+
+
 def test_tsv_round_trip_and_file_count(spark, tmp_path):
     rows = [(str(i), f'q"{i}', "a,b" if i % 2 else "") for i in range(50)]
     df = spark.createDataFrame(rows, "a string, b string, c string")
