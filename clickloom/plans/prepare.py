@@ -72,20 +72,26 @@ def prepare_files(
     is missing.
     """
     history = sorted({d for run_day in days for d in days_back(run_day, max(job.windows))}) if job.features else days
-    uncounted = history if counts is None else _uncounted_days(spark, counts, history, job.features)
+    uncounted = history if counts is None or not job.features else _uncounted_days(spark, counts, history, job.features)
     require_days(spark, source, sorted({*uncounted, *days}), directory)
 
     def read(wanted: list[str]) -> DataFrame:
         raw = scan_days(spark, source, wanted, fields, directory)
         return raw.withColumn(label, typed(F.col(label), "int")).withColumn("_day", F.to_date(F.col(day), "yyyyMMdd"))
 
-    run = F.col("_day").isin([_iso(d) for d in days])
-    if counts is None or not job.features:
-        done = prepare(read(history), label, "_day", row_id, job, run)
-    else:
+    def count(wanted: list[str]) -> DataFrame:
+        return daily_counts(read(wanted), list(job.features), "_day", F.col(label) == 1)
+
+    daily = None
+    if job.features and counts is None:
+        daily = count(history)
+    elif job.features:
         if uncounted:
-            _store_counts(daily_counts(read(uncounted), list(job.features), "_day", F.col(label) == 1), counts)
-        done = prepare(read(days), label, "_day", row_id, job, run, _stored_counts(spark, counts, history, job.features))
+            _store_counts(count(uncounted), counts)
+        daily = _stored_counts(spark, counts, history, job.features)
+    run = F.col("_day").isin([_iso(d) for d in days])
+    # Rows come from the run days' own directories; the history is read for its counts only.
+    done = prepare(read(days), label, "_day", row_id, job, run, daily)
     write_days(done.withColumn("run_dt", F.col(day)).drop("_day"), target, "run_dt")
 
 

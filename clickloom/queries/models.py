@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import heads
 from clickloom.operators import ftrl, metrics, networks, sparse
 from clickloom.plans import scoring, training
-from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, query, rounded, table
+from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table
 from clickloom.session import scratch_path
 from clickloom.sinks.models import export_model
 
@@ -209,10 +209,10 @@ def make_network(mode, hidden, n_inputs, net=0, units=1, activation="relu", norm
     return networks.Network(mode, pairs[:-1], pairs[-1], activation, norms)
 
 
-def _network_sql(mode, hidden, net=0, norm=False, units=1) -> str:
+def _network_sql(mode, hidden, net=0, norm=False, units=1, n_inputs=64) -> str:
     """Common table expressions of a network's forward pass; the last one is z<net>(vec_id, i, v)."""
     n, ctes, blocks = len(hidden), [], {}
-    blocks["x"] = ("x0", 64)
+    blocks["x"] = ("x0", n_inputs)
 
     def concat(name, parts):
         offset, selects = 0, []
@@ -319,6 +319,40 @@ def deep_multi(spark, sf_dir):
     return _score(spark, sf_dir, [make_network(mode, hidden, 64, net) for net, (hidden, mode) in enumerate(nets)])
 
 
+# Dense input of EVENT_SPEC: user 4, k 100, hour 24, value 1, user&hour 8, k&hour 4. Zeros are left out.
+DEEP_EVENTS = f"""f AS (SELECT event_id, value, CAST(k AS BIGINT) AS k, hour, {md5_sql('user_id')} % 1000 AS u,
+    {md5_sql("user_id || chr(1) || hour")} % 5000 AS uh, {md5_sql("k || chr(1) || hour")} % 2000 AS kh FROM log),
+  x0 AS (SELECT event_id AS vec_id, 128 AS i, value / 500.0 AS v FROM f
+    UNION ALL SELECT event_id, 4 + k, 1.0 FROM f UNION ALL SELECT event_id, 104 + hour, 1.0 FROM f
+    UNION ALL SELECT event_id, unnest(range(4)), unnest(embedding[1:4])::DOUBLE FROM f JOIN embeddings ON u = vec_id
+    UNION ALL SELECT event_id, 129 + unnest(range(8)), unnest(embedding[1:8])::DOUBLE FROM f JOIN embeddings ON uh = vec_id
+    UNION ALL SELECT event_id, 137 + unnest(range(4)), unnest(embedding[1:4])::DOUBLE FROM f JOIN embeddings ON kh = vec_id)"""
+
+
+@query(
+    "joint_predict",
+    f"""{FTRL_INPUT}, {_ftrl_step_sql(1)}, {DEEP_EVENTS}, {_network_sql('first_dense', [6, 4], n_inputs=141)},
+    wide AS (SELECT event_id, sum(w) AS z FROM pairs JOIN s1 USING (idx) GROUP BY event_id)
+    SELECT event_id, CASE WHEN z + v > 0 THEN 1 ELSE 0 END AS class_id, round(1.0 / (1.0 + exp(-(z + v))), 7) AS probability
+    FROM wide JOIN z_0 ON event_id = vec_id""",
+)
+def joint_predict(spark, sf_dir):
+    """Raw features to predictions: sparse weights of one training step plus a network."""
+    rows = impressions(spark, sf_dir)
+    state = ftrl.train(_examples(spark, sf_dir), steps=1, max_ids=MAX_IDS)
+    vectors = table(spark, sf_dir, "embeddings")
+    tables = {
+        slot.name: vectors.select(F.col("vec_id").alias("idx"), F.slice("embedding", 1, slot.width).alias("vector"))
+        for slot in EVENT_SPEC.deep_slots()
+        if slot.how == "embedding"
+    }
+    nets = [make_network("first_dense", [6, 4], EVENT_SPEC.deep_dimension)]
+    logits = scoring.joint_logits(rows, EVENT_SPEC, "event_id", "joint", state, nets, tables, "md5")
+    return scoring.predict(logits, "logit", ["event_id"]).select(
+        "event_id", "class_id", rounded(F.col("probability"), 7).alias("probability")
+    )
+
+
 @query("deep_train")
 def deep_train(spark, sf_dir):
     """Train the simple topology with the library's perceptron (sigmoid hidden units)."""
