@@ -19,6 +19,7 @@ CLUSTER_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
