@@ -8,6 +8,7 @@ from clickloom.functions.numeric import ACTIVATIONS, activation
 from clickloom.operators import ftrl, metrics, networks
 from clickloom.plans import scoring, training
 from clickloom.sinks.models import export_model, load_model, network_from_table, network_table
+from clickloom.spec import Continuous, Cross, HashBucket, ModelSpec
 
 
 def relu(x):
@@ -230,6 +231,33 @@ def test_versions(spark, clicks, tmp_path):
         assert r["class_id"] == int(r["probability"] > 0.5) and 50 <= r["percent"] <= 100
 
 
+def test_joint_logits_add_what_the_model_type_uses(spark):
+    spec = ModelSpec(
+        ("clk", "u", "age"), (HashBucket("u", 30), Continuous("age", "min_max", (0.0, 10.0), (3.0, 6.0))), (Cross(("u", "age"), 64),)
+    )
+    rows = spark.createDataFrame([(0, "a", 1.0), (1, "b", 4.0), (2, "", 9.0), (3, "a,b", None)], "id long, u string, age double")
+    state = spark.range(-1, spec.wide_dimension).select(
+        F.col("id").alias("idx"), F.lit(0.0).alias("z"), F.lit(0.1).alias("n"), (F.col("id") % 5 / 4.0).alias("w")
+    )
+    tables = {
+        s.name: spark.range(64).select(F.col("id").alias("idx"), F.array(*[F.col("id") * (d + 1) / 9.0 for d in range(s.width)]).alias("vector"))
+        for s in spec.deep_slots()
+        if s.how == "embedding"
+    }
+    nets = [random_network("dense", [4, 3], spec.deep_dimension)]
+    image = spark.createDataFrame([(0, 2.5)], "id long, logit double")
+
+    def logits(model_type, **parts):
+        got = scoring.joint_logits(rows, spec, "id", model_type, **parts).collect()
+        return np.array([r["logit"] for r in sorted(got, key=lambda r: r["id"])])
+
+    wide, deep = logits("wide", state=state), logits("deep", networks=nets, tables=tables)
+    assert len(wide) == len(deep) == 4 and (deep != 0).all()
+    both = logits("joint", state=state, networks=nets, tables=tables, image=image)
+    np.testing.assert_allclose(both, wide + deep + [2.5, 0, 0, 0])
+    np.testing.assert_allclose(logits("wide", state=state, networks=nets, tables=tables), wide)
+
+
 # --- metrics --------------------------------------------------------------------------------------
 
 
