@@ -100,11 +100,15 @@ def _epochs_sql(epochs: int = 2, parts: int = 2, epochs_per_test: int = 2) -> st
 
 def _ftrl_sql(steps: int) -> str:
     chain = ", ".join(_ftrl_step_sql(s) for s in range(1, steps + 1))
-    return f"{FTRL_INPUT}, {chain} SELECT idx, round(z, 7) + 0.0 AS z, round(n, 7) AS n, round(w, 7) + 0.0 AS w FROM s{steps}"
+    return f"{FTRL_INPUT}, {chain} SELECT idx, round(z, 7) + 0.0 AS z, round(n, 4) AS n, round(w, 7) + 0.0 AS w FROM s{steps}"
 
 
-def _rounded_state(state):
-    return state.select("idx", *[rounded(F.col(c), 7).alias(c) for c in ("z", "n", "w")])
+# The bias sums up to 1e9 and more in n, where a double has no seventh decimal.
+STATE_DIGITS = {"z": 7, "n": 4, "w": 7}
+
+
+def _rounded_state(state, *more):
+    return state.select("idx", *[rounded(F.col(c), digits).alias(c) for c, digits in STATE_DIGITS.items()], *more)
 
 
 @query("ftrl_step", _ftrl_sql(1))

@@ -10,7 +10,7 @@ from clickloom.operators import ftrl, sampling
 from clickloom.operators.rates import WINDOWS
 from clickloom.plans.prepare import Preparation, prepare_files
 from clickloom.queries.base import EVENT_SPEC, LOG, impressions, md5_sql, query, rounded
-from clickloom.queries.models import MAX_IDS, _examples, _ftrl_sql
+from clickloom.queries.models import MAX_IDS, _examples, _ftrl_sql, _rounded_state
 from clickloom.session import scratch_path
 from clickloom.sinks import logs as log_sinks
 from clickloom.sinks.models import export_model, load_model
@@ -134,7 +134,4 @@ def model_export(spark, sf_dir):
     export_model(ftrl.empty_state(spark), base, 1, EVENT_SPEC)
     export_model(ftrl.step(data, ftrl.empty_state(spark), max_ids=MAX_IDS), base, 2, EVENT_SPEC)
     stored_spec = json.loads(spark.read.text(f"{base}/_spec/version=2").first()[0])
-    state = load_model(spark, base)
-    return state.select(
-        "idx", *[rounded(F.col(c), 7).alias(c) for c in ("z", "n", "w")], F.lit(len(stored_spec["fields"])).alias("n_fields")
-    )
+    return _rounded_state(load_model(spark, base), F.lit(len(stored_spec["fields"])).alias("n_fields"))
