@@ -68,6 +68,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and continue from the written table.
+
+    Unlike a checkpoint the copy keeps column pruning and pushed filters. It is deleted by ``discard``,
+    or else when the application ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    folder, files = _file_system(spark, path)
+    files.deleteOnExit(folder)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for table in tables:
+        folder, files = _file_system(table.sparkSession, table._staged_path)
+        files.delete(folder, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written copy.
 
