@@ -47,9 +47,9 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op3_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
@@ -102,16 +102,16 @@ windows AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
   FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
 docs AS (
-  SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w, row_number() OVER () AS at FROM documents),
+  SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w, row_number() OVER () AS pos FROM documents),
 places AS (
-  SELECT at, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
-  FROM (SELECT at, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
-found AS (SELECT DISTINCT at, i, p.n, item_id FROM places p JOIN windows v ON p.win = v.win AND p.n = v.n),
-hits AS (SELECT at, count(DISTINCT k) AS n_hit FROM (SELECT at, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT at, i, n FROM found)) GROUP BY at),
-named AS (SELECT at, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT at, item_id FROM found) GROUP BY at)
+  SELECT pos, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT pos, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT DISTINCT pos, i, p.n, item_id FROM places p JOIN windows v ON p.win = v.win AND p.n = v.n),
+hits AS (SELECT pos, count(DISTINCT k) AS n_hit FROM (SELECT pos, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT pos, i, n FROM found)) GROUP BY pos),
+named AS (SELECT pos, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT pos, item_id FROM found) GROUP BY pos)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN hits USING (at) LEFT JOIN named USING (at)"""
+FROM docs LEFT JOIN hits USING (pos) LEFT JOIN named USING (pos)"""
 
 
 @_query
@@ -140,10 +140,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_url_filter"] = """
 WITH parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS at
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS pos
   FROM pages),
 rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 fits AS (
-  SELECT at, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
-  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY at)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (at)"""
+  SELECT pos, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY pos)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (pos)"""
