@@ -294,16 +294,23 @@ def _fit(model: Model, seen: list[tuple[list[tuple[int, int, bool]], int, int]],
         return
     x = np.array([model.features(hits) for hits, _, _ in seen])
     y, n = np.array([y for _, y, _ in seen], dtype=float), np.array([n for _, _, n in seen], dtype=float)
-    w = np.zeros(x.shape[1])
-    w[0] = prior
     ridge = np.array([1e-3, 0.1, 0.1, 0.1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - y * z) + ridge @ (w * w) / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         slope = x.T @ (n * (p - y)) + ridge * w
         bend = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(bend, slope)
-        w = w - step * min(1.0, 5.0 / max(float(np.abs(step).max()), 1e-12))
-        if np.abs(step).max() < 1e-8:
+        step, length = np.linalg.solve(bend, slope), 1.0
+        # A full step may overshoot where the classes are far apart; a shorter one always gains.
+        while length > 1e-9 and loss(w - length * step) > loss(w) - 1e-4 * length * float(slope @ step):
+            length /= 2
+        w = w - length * step
+        if length * float(slope @ step) < 1e-9 * (1 + loss(w)):
             break
     model.weights = w
 
