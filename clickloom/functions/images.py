@@ -39,14 +39,15 @@ def bytes_of(pixels: Column) -> Column:
 
 
 def pixels_of(data: Column) -> Column:
-    """The unsigned bytes of a binary value as an array of integers, decoded per Arrow batch."""
+    """The unsigned bytes of a binary value as an array of integers, decoded per Arrow batch; null stays null."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def decode(values: pa.Array) -> pa.Array:
         lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         joined = b"".join(value for value in values.to_pylist() if value is not None)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(joined, np.uint8).astype(np.int32)))
+        pixels = pa.array(np.frombuffer(joined, np.uint8).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(offsets), pixels, mask=values.is_null())
 
     return decode(data)
 
@@ -80,7 +81,7 @@ def checked_crop(pixels: Column, height, width, channels: int, top, left, new_he
     """Like ``crop``, but an image smaller than the window fails the job."""
     fits = (_int(height) >= _int(new_height)) & (_int(width) >= _int(new_width))
     return F.when(fits, crop(pixels, width, channels, top, left, new_height, new_width)).otherwise(
-        F.raise_error(F.lit("Crop size greater than the image size."))
+        F.raise_error(F.lit("an image is smaller than the window cut from it"))
     )
 
 

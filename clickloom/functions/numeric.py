@@ -56,5 +56,5 @@ def activation(x: Column, name: str) -> Column:
 
 
 def embedding_width(size: Column) -> Column:
-    """Empirical embedding width of a column with ``size`` ids."""
+    """Numbers that represent one of ``size`` ids."""
     return F.pow(F.lit(2.0), F.ceil(F.log(F.pow(size.cast("double"), F.lit(0.25))))).cast("bigint")

@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.session import cut_lineage, shuffle_partitions
+from clickloom.session import shuffle_partitions, staged
 
 # A broadcast relation of this many narrow rows is some 100-200 MB per executor.
 BROADCAST_ROWS = 2_000_000
+# And so much text in the keys of all tables that one plan broadcasts.
+BROADCAST_BYTES = 64_000_000
 
 SALT = "_salt"
 SALTS = "_salts"
@@ -95,7 +97,7 @@ def measured_lookup(
     how: str = "left",
 ) -> DataFrame:
     """Materialise ``table``, count it, and broadcast it only if it has at most ``max_rows`` rows."""
-    stored = cut_lineage(table)
+    stored = staged(table, "lookup")
     if stored.count() <= max_rows:
         return rows.join(F.broadcast(stored), keys, how)
     hot = hot_keys(stored, keys, count) if count is not None else None

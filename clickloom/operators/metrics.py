@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.heads import argmax, log_loss
 from clickloom.functions.numeric import sigmoid
 from clickloom.operators.order import range_bounds, with_running_totals
-from clickloom.session import cut_lineage
+from clickloom.session import staged
 
 THRESHOLDS = 200
 
@@ -36,18 +36,19 @@ def accuracy_metrics(df: DataFrame, logit: str, label: str) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Exact area under the ROC curve; ties count one half."""
+    """Exact area under the ROC curve; ties count one half. Null if a class is missing."""
     ranked = _running_classes(df, score, label)
     # Positives above a score, plus half of those that share it, beat its negatives.
     above = F.col("cum_pos") - F.col("pos")
     wins = F.sum(F.col("neg") * (above + F.col("pos") / 2))
-    return ranked.agg((wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    return ranked.agg((wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))
 
 
 def auc_pr(df: DataFrame, score: str, label: str) -> DataFrame:
     """Exact area under the precision-recall curve, trapezoids between distinct scores.
 
-    The curve starts at recall 0 with the precision of the highest score.
+    The curve starts at recall 0 with the precision of the highest score. Null without positives.
     """
     ranked = _running_classes(df, score, label)
     tp, seen = F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")
@@ -56,7 +57,7 @@ def auc_pr(df: DataFrame, score: str, label: str) -> DataFrame:
     precision = tp / seen
     before = F.when(before_seen == 0, precision).otherwise(before_tp / F.nullif(before_seen, F.lit(0)))
     area = F.sum(F.col("pos") * (precision + before) / 2)
-    return ranked.agg((area / F.sum("pos")).alias("auc_pr"))
+    return ranked.agg((area / F.nullif(F.sum("pos"), F.lit(0))).alias("auc_pr"))
 
 
 def threshold_bin(probability: Column, thresholds: int = THRESHOLDS) -> Column:
@@ -121,6 +122,6 @@ def _running_classes(df: DataFrame, score: str, label: str) -> DataFrame:
     per_score = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
-    stored = cut_lineage(per_score)  # read for the bounds, the range totals and the curve
+    stored = staged(per_score, "scores")  # read for the bounds, the range totals and the curve
     totals = {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}
     return with_running_totals(stored, "score", totals, range_bounds(stored, "score"), descending=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.categorical import hash_bucket
-from clickloom.operators.rates import melt
+from clickloom.functions.categorical import SEPARATOR, hash_bucket
+from clickloom.operators.rates import category_text, melt
 
 SMALL_CATEGORY = 100
 LARGE_CATEGORY = 10_000
@@ -48,9 +50,19 @@ def bucket_size_advice(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def cross_size_advice(df: DataFrame, crosses: list[tuple[str, ...]]) -> DataFrame:
-    """Per cross: observed combinations, twice that number, and the product of the member counts."""
+    """Per cross: observed combinations, twice that number, and the product of the member counts.
+
+    As in ``cross_hash`` a combination with a missing member has no id and doesn't count. A product
+    beyond 64 bits is null.
+    """
     singles = sorted({m for members in crosses for m in members})
-    combos = df.withColumns({"&".join(members): F.concat_ws("&", *members) for members in crosses})
+
+    def combined(members: tuple[str, ...]) -> Column:
+        values = [category_text(m) for m in members]
+        present = reduce(lambda a, b: a & b, [v != "" for v in values])
+        return F.when(present, F.concat_ws(SEPARATOR, *values))
+
+    combos = df.withColumns({"&".join(members): combined(members) for members in crosses})
     counted = (
         distinct_values(combos, singles + ["&".join(members) for members in crosses])
         .groupBy("feature")
@@ -62,7 +74,7 @@ def cross_size_advice(df: DataFrame, crosses: list[tuple[str, ...]]) -> DataFram
     return (
         split.join(F.broadcast(members), "member")
         .groupBy(F.col("feature").alias("cross"), "n_values")
-        .agg(F.round(F.product(F.col("n_member"))).cast("bigint").alias("product_size"))
+        .agg(F.aggregate(F.collect_list("n_member"), F.lit(1).cast("bigint"), F.try_multiply).alias("product_size"))
         .withColumn("double_size", F.col("n_values") * 2)
     )
 

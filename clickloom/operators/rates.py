@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.operators.lookup import BROADCAST_ROWS, hot_keys, salted_lookup
-from clickloom.session import cut_lineage
+from clickloom.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, hot_keys, salted_lookup
+from clickloom.session import staged
 
 WINDOWS = (1, 7, 30)
 
@@ -76,12 +76,20 @@ def attach_rates(
 ) -> DataFrame:
     """Append ``<feature>_rate_<k>`` columns, window by window and then feature by feature.
 
-    The rates are written once and counted per feature. A feature with at most
-    ``max_broadcast_rows`` rates is broadcast; any other is a shuffle join with its hot categories
-    salted, for which the counts behind the rates already tell which categories are hot.
+    The rates are written once and measured per feature. Features are broadcast from the smallest on, as
+    long as all of them together have at most ``max_broadcast_rows`` rows and BROADCAST_BYTES of
+    categories; any other is a shuffle join with its hot categories salted, for which the counts behind
+    the rates already tell which categories are hot.
     """
-    stored = cut_lineage(rates)
-    sizes = {r["feature"]: r["count"] for r in stored.groupBy("feature").count().collect()}  # one row per feature
+    stored = staged(rates, "rates")
+    length = F.sum(F.octet_length("value").cast("bigint")).alias("size")
+    sizes = stored.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), length).collect()  # one row per feature
+    small = set(features) - {r["feature"] for r in sizes}
+    rows_left, bytes_left = max_broadcast_rows, BROADCAST_BYTES
+    for r in sorted(sizes, key=lambda r: r["n"]):
+        rows_left, bytes_left = rows_left - r["n"], bytes_left - r["size"]
+        if rows_left >= 0 and bytes_left >= 0:
+            small.add(r["feature"])
     keys = ["_value", day]
     joined = rows
     for feature in features:
@@ -89,7 +97,7 @@ def attach_rates(
             F.col("value").alias("_value"), day, "n", *[F.col(f"rate_{k}").alias(f"{feature}_rate_{k}") for k in windows]
         )
         keyed = joined.withColumn("_value", category_text(feature))
-        if sizes.get(feature, 0) <= max_broadcast_rows:
+        if feature in small:
             joined = keyed.join(F.broadcast(mine.drop("n")), keys, "left").drop("_value")
         else:
             hot = hot_keys(mine, keys, F.col("n"))

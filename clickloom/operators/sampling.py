@@ -24,5 +24,8 @@ def keep_row(row_id: Column, keep: float, seed: int = 0, method: str = "md5") ->
 
 
 def downsample_random(df: DataFrame, label: str, keep: float, seed: int = 0) -> DataFrame:
-    """Stratified Bernoulli sample without replacement, seeded per partition."""
-    return df.sampleBy(label, fractions={0: keep, 1: 1.0}, seed=seed)
+    """All positives and a Bernoulli sample without replacement of the rest, seeded per partition.
+
+    As in ``downsample`` every label but 1, a missing one included, belongs to the rest.
+    """
+    return df.where((F.col(label) == 1) | (F.rand(seed) < keep))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from clickloom.functions.clean import typed
 from clickloom.operators.rates import WINDOWS, attach_rates, daily_counts, trailing_rates
 from clickloom.operators.sampling import downsample
+from clickloom.session import delete
 from clickloom.sinks.logs import write_days
-from clickloom.sources.logs import available_days, days_back, require_days, scan_days
+from clickloom.sources.logs import available_days, day_files, day_of_path, days_back, require_days, scan_days
 
 
 @dataclass(frozen=True)
@@ -61,23 +63,28 @@ def prepare_files(
     row_id: str,
     job: Preparation,
     label: str = "clk",
-    day: str = "dt",
     directory: str = "{day}",
     counts: str | None = None,
 ) -> None:
     """Read the trailing days of all run days once, prepare these together, write ``run_dt=<day>`` each.
 
-    With a ``counts`` folder, daily counts are kept there: a raw day is then read for counting only
-    once, and a daily run reads its own day instead of thirty. Stops before any work if an input day
-    is missing.
+    A row belongs to the day whose directory holds it, for counts, windows and output alike, so that a
+    late or malformed day field neither moves nor loses it; the field is passed on as it is. With a
+    ``counts`` folder, daily counts are kept there: a raw day is then read for counting only once, unless
+    its files, the label or the fields have changed since, and a daily run reads its own day instead of
+    thirty. Stops before any work if an input day is missing.
     """
     history = sorted({d for run_day in days for d in days_back(run_day, max(job.windows))}) if job.features else days
-    uncounted = history if counts is None or not job.features else _uncounted_days(spark, counts, history, job.features)
+    definition = json.dumps([label, fields, directory])
+    uncounted = history
+    if counts is not None and job.features:
+        present, known = day_files(spark, source, history, directory), _manifest(spark, counts)
+        uncounted = _uncounted_days(history, job.features, definition, present, known)
     require_days(spark, source, sorted({*uncounted, *days}), directory)
 
     def read(wanted: list[str]) -> DataFrame:
-        raw = scan_days(spark, source, wanted, fields, directory)
-        return raw.withColumn(label, typed(F.col(label), "int")).withColumn("_day", F.to_date(F.col(day), "yyyyMMdd"))
+        raw = scan_days(spark, source, wanted, fields, directory).withColumn("_dir", day_of_path(directory))
+        return raw.withColumn(label, typed(F.col(label), "int")).withColumn("_day", F.to_date("_dir", "yyyyMMdd"))
 
     def count(wanted: list[str]) -> DataFrame:
         return daily_counts(read(wanted), list(job.features), "_day", F.col(label) == 1)
@@ -87,31 +94,63 @@ def prepare_files(
         daily = count(history)
     elif job.features:
         if uncounted:
-            _store_counts(count(uncounted), counts)
+            notes = {(d, f): (definition, present[d]) for d in uncounted for f in job.features}
+            _store_counts(spark, count(uncounted), counts, notes, known)
         daily = _stored_counts(spark, counts, history, job.features)
-    run = F.col("_day").isin([_iso(d) for d in days])
     # Rows come from the run days' own directories; the history is read for its counts only.
-    done = prepare(read(days), label, "_day", row_id, job, run, daily)
-    write_days(done.withColumn("run_dt", F.col(day)).drop("_day"), target, "run_dt")
+    done = prepare(read(days), label, "_day", row_id, job, F.col("_day").isin([_iso(d) for d in days]), daily)
+    write_days(done.withColumn("run_dt", F.col("_dir")).drop("_day", "_dir"), target, "run_dt")
 
 
 COUNTS_SCHEMA = "value string, _day date, n bigint, positives bigint, feature string, count_day string"
+MANIFEST_SCHEMA = "count_day string, feature string, definition string, files string"
 
+# What the counts of a (day, feature) come from: label, fields and layout, and the day's files.
+Manifest = dict[tuple[str, str], tuple[str, str]]
 
-def _uncounted_days(spark: SparkSession, counts: str, days: list[str], features: tuple[str, ...]) -> list[str]:
-    """Days for which the counts of any feature are not stored."""
-    stored = [set(available_days(spark, counts, days, f"feature={f}/count_day={{day}}")) for f in features]
-    return [d for d in days if not all(d in have for have in stored)]
 
+def _manifest(spark: SparkSession, counts: str) -> Manifest:
+    if not available_days(spark, counts, ["manifest"]):
+        return {}
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{counts}/manifest").collect()  # days x features
+    return {(r["count_day"], r["feature"]): (r["definition"], r["files"]) for r in rows}
 
-def _store_counts(daily: DataFrame, counts: str) -> None:
+
+def _note(spark: SparkSession, counts: str, known: Manifest) -> None:
+    rows = [(*key, *value) for key, value in sorted(known.items())]
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{counts}/manifest")
+
+
+def _uncounted_days(days: list[str], features: tuple[str, ...], definition: str, present: dict[str, str], known: Manifest) -> list[str]:
+    """Days whose counts of any feature aren't stored, or are those of other files, fields or labels.
+
+    A day whose raw files are gone keeps its counts.
+    """
+
+    def counted(day: str, feature: str) -> bool:
+        was = known.get((day, feature))
+        return was is not None and was[0] == definition and present.get(day, was[1]) == was[1]
+
+    return [d for d in days if not all(counted(d, f) for f in features)]
+
+
+def _store_counts(spark: SparkSession, daily: DataFrame, counts: str, notes: Manifest, known: Manifest) -> None:
+    """Replace the counts of the days and features in ``notes``.
+
+    A day that has no rows any more must not keep its old counts, so these are deleted first. Their notes
+    go before that: a job that ends halfway leaves days that the next one counts again.
+    """
+    others = {key: value for key, value in known.items() if key not in notes}
+    if others != known:
+        _note(spark, counts, others)
+    delete(spark, [f"{counts}/daily/feature={feature}/count_day={day}" for day, feature in notes])
     dated = daily.withColumn("count_day", F.date_format("_day", "yyyyMMdd")).hint("rebalance", F.col("count_day"))
-    writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("feature", "count_day").parquet(counts)
+    dated.write.mode("append").partitionBy("feature", "count_day").parquet(f"{counts}/daily")
+    _note(spark, counts, others | notes)
 
 
 def _stored_counts(spark: SparkSession, counts: str, days: list[str], features: tuple[str, ...]) -> DataFrame:
-    stored = spark.read.schema(COUNTS_SCHEMA).parquet(counts)
+    stored = spark.read.schema(COUNTS_SCHEMA).parquet(f"{counts}/daily")
     return stored.where(F.col("feature").isin(*features) & F.col("count_day").isin(*days)).drop("count_day")
 
 

@@ -74,7 +74,7 @@ def copy_day(spark, sf_dir):
     log = impressions(spark, sf_dir).select(*FIELDS).withColumn("day", F.col("dt"))
     log_sinks.write_days(log, source, "day")
     days = [r[0] for r in log.select("day").distinct().orderBy("day").collect()]  # one row per day
-    log_sinks.copy_days(spark, source, target, days, FIELDS, "day={day}")
+    log_sinks.copy_days(spark, source, target, days, "day={day}")
     return _decoded(logs.scan_days(spark, target, days, FIELDS, "day={day}"))
 
 
@@ -126,6 +126,36 @@ def prepared_from_counts(spark, sf_dir):
     return _prepared(spark, sf_dir, with_counts=True)
 
 
+LATE = "event_id % 7 = 3 AND day < DATE '2024-01-20'"
+
+
+def _late_sql() -> str:
+    """Days by directory: a late row counts for the day after its own, and comes out with it."""
+    rate = "(SELECT avg(h.clk) FROM moved h WHERE h.user_id = l.user_id AND h.dir BETWEEN l.dir - 6 AND l.dir)"
+    return f"""WITH {LOG}, moved AS (SELECT *, CASE WHEN {LATE} THEN day + 1 ELSE day END AS dir FROM log)
+    SELECT event_id, strftime(dir, '%Y%m%d') AS run_dt, CASE WHEN event_id % 11 = 0 THEN '-' ELSE dt END AS dt, round({rate}, 9) AS user_rate
+    FROM moved l WHERE dir IN (SELECT DISTINCT dir FROM moved ORDER BY dir DESC LIMIT 12)"""
+
+
+@query("prepared_late_rows", _late_sql())
+def prepared_late_rows(spark, sf_dir):
+    """Rows that came a day late and days that can't be parsed: nothing is lost, and directories decide."""
+    source, target, counts = (scratch_path(spark, name) for name in ("raw", "prepared", "counts"))
+    moved = F.when(F.expr(LATE), F.date_add("day", 1)).otherwise(F.col("day"))
+    log = impressions(spark, sf_dir).withColumn("dir", F.date_format(moved, "yyyyMMdd"))
+    log = log.withColumn("dt", F.when(F.col("event_id") % 11 == 0, "-").otherwise(F.col("dt")))
+    log_sinks.write_days(log.select(*FIELDS, "dir"), source, "dir")
+    days = [r[0] for r in log.select("dir").distinct().orderBy("dir").collect()]  # one row per day
+    job = Preparation(features=("user_id",), windows=(7,), keep=1.0)
+    for run in (days[-18:-12], days[-12:]):
+        prepare_files(spark, source, target, run, FIELDS, "event_id", job, directory="dir={day}", counts=counts)
+    fields = logs.text_schema([*FIELDS, "user_rate"]).add("run_dt", "string")
+    done = spark.read.schema(fields).csv(target, sep="\t", quote="")
+    return done.where(F.col("run_dt").isin(days[-12:])).select(
+        F.col("event_id").cast("bigint").alias("event_id"), "run_dt", "dt", rounded(F.col("user_rate")).alias("user_rate")
+    )
+
+
 @query("model_export", _ftrl_sql(1).replace("round(w, 7) + 0.0 AS w FROM", "round(w, 7) + 0.0 AS w, 8 AS n_fields FROM"))
 def model_export(spark, sf_dir):
     """The latest exported version and the number of fields in the spec stored next to it."""

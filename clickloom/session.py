@@ -87,7 +87,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for table in tables:
-        folder, files = _file_system(table.sparkSession, table._staged_path)
+        delete(table.sparkSession, [table._staged_path])
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders; those that aren't there are passed over."""
+    for path in paths:
+        folder, files = _file_system(spark, path)
         files.delete(folder, True)
 
 

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.sources.logs import scan_days
+from clickloom.sources.logs import day_of_path
 
-ROWS_PER_FILE = 5_000_000
-
-_SLOT_FIELDS = [T.StructField("_first", T.IntegerType()), T.StructField("_files", T.IntegerType())]
+_FIRST = T.StructField("_first", T.IntegerType())
 
 
 def write_tsv(df: DataFrame, path: str, files: int | None = None, delimiter: str = "\t") -> None:
@@ -32,47 +30,35 @@ def write_days(df: DataFrame, base: str, day: str = "dt", delimiter: str = "\t")
     _text(writer, delimiter).save(base)
 
 
-def export_days(df: DataFrame, base: str, day: str, row_id: str, rows_per_file: int = ROWS_PER_FILE, delimiter: str = "\t") -> None:
-    """One merged file per day, days in parallel and one task per file.
+def export_days(df: DataFrame, base: str, day: str, row_id: str, files: int = 1, delimiter: str = "\t") -> None:
+    """``files`` merged files per day, days in parallel and one task per file.
 
-    A day with more than ``rows_per_file`` rows gets one file per that many rows, so that no task
-    has to take an unbounded day.
+    One merged file is what readers of an export expect, whatever the size of a day; a caller with days that
+    one task can't take asks for more files. Rows without a day go to a day directory of their own.
     """
     spark = df.sparkSession
-    n_files = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int")
-    counts = df.groupBy(day).agg(n_files.alias("n")).orderBy(day).collect()  # one row per day
-    first, slots = 0, []
-    for value, n in counts:
-        slots.append((value, first, n))
-        first += n
-    if not slots:
+    days = [r[0] for r in df.select(day).distinct().orderBy(day).collect()]  # one row per day
+    if not days:
         return
-    plan = spark.createDataFrame(slots, T.StructType([df.schema[day], *_SLOT_FIELDS]))
-    slot = F.col("_first") + F.pmod(F.xxhash64(row_id), F.col("_files")).cast("int")
-    placed = df.join(F.broadcast(plan), day).repartitionById(first, slot).drop("_first", "_files")
+    field = T.StructField("_day", df.schema[day].dataType)
+    plan = spark.createDataFrame([(value, i * files) for i, value in enumerate(days)], T.StructType([field, _FIRST]))
+    slot = F.col("_first") + F.pmod(F.xxhash64(row_id), F.lit(files)).cast("int")
+    same_day = F.col(day).eqNullSafe(F.col("_day"))
+    placed = df.join(F.broadcast(plan), same_day).repartitionById(len(days) * files, slot).drop("_day", "_first")
     writer = placed.write.partitionBy(day).option("partitionOverwriteMode", "dynamic")
     _text(writer, delimiter).save(base)
 
 
-def copy_days(
-    spark: SparkSession,
-    source: str,
-    target: str,
-    days: list[str],
-    fields: list[str],
-    directory: str = "{day}",
-    delimiter: str = "\t",
-) -> None:
-    """Copy raw day directories to ``day=<day>`` directories in one job.
+def copy_days(spark: SparkSession, source: str, target: str, days: list[str], directory: str = "{day}") -> None:
+    """Copy raw day directories to ``day=<day>`` directories in one job, line by line as they are.
 
-    The day is taken from the path, so rows need not carry it, and rows stay in the tasks that read
-    them: nothing is shuffled.
+    The day is taken from the path, so rows need not carry it, and lines stay in the tasks that read
+    them: nothing is parsed and nothing is shuffled. Every line ends with a newline in the copy.
     """
-    raw = scan_days(spark, source, days, fields, directory, delimiter)
-    before, after = (f"\\Q{part}\\E" for part in directory.split("{day}"))
-    day = F.regexp_extract(F.col("_metadata.file_path"), f"/{before}([^/]+){after}/[^/]+$", 1)
-    writer = raw.select("*", day.alias("day")).write.partitionBy("day").option("partitionOverwriteMode", "dynamic")
-    _text(writer, delimiter).save(target)
+    raw = spark.read.option("lineSep", "\n").text([f"{source}/{directory.format(day=day)}" for day in days])
+    dated = raw.select("value", day_of_path(directory).alias("day"))
+    writer = dated.write.partitionBy("day").option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").option("lineSep", "\n").text(target)
 
 
 def _text(writer, delimiter: str):
@@ -80,4 +66,5 @@ def _text(writer, delimiter: str):
         writer.format("csv")
         .mode("overwrite")
         .options(sep=delimiter, quote="", escapeQuotes=False, emptyValue="", nullValue="", header=False)
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,12 @@ def scan_partitions(spark: SparkSession, base: str, fields: list[str], delimiter
     return _csv(spark, fields, delimiter).schema(schema).load(base)
 
 
+def day_of_path(directory: str = "{day}") -> Column:
+    """The day that the directory of a row's file names, as text."""
+    before, after = (f"\\Q{part}\\E" for part in directory.split("{day}"))
+    return F.regexp_extract(F.col("_metadata.file_path"), f"/{before}([^/]+){after}/[^/]+$", 1)
+
+
 def split_fields(lines: DataFrame, line: str = "value", delimiter: str = "\t") -> DataFrame:
     """Replace a text line by the array ``fields`` of its positional fields."""
     parts = F.split(F.col(line), f"\\Q{delimiter}\\E", -1)
@@ -79,12 +85,29 @@ def missing_days(wanted: DataFrame, available: DataFrame, day: str = "dt") -> Da
 
 
 def available_days(spark: SparkSession, base: str, days: list[str], directory: str = "{day}") -> list[str]:
-    """Which of the day directories exist, asked of the file system that holds them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(base).getFileSystem(conf)
-    return [day for day in days if fs.exists(path(f"{base}/{directory.format(day=day)}"))]
+    """Which of the day directories exist, asked of the file system that holds them in one listing."""
+    found = {status.getPath().getName() for status in _glob(spark, base, days, directory)}
+    return [day for day in days if directory.format(day=day).rsplit("/", 1)[-1] in found]
+
+
+def day_files(spark: SparkSession, base: str, days: list[str], directory: str = "{day}") -> dict[str, str]:
+    """For each day directory that exists its files by name, size and time of change, as one text."""
+    names = {directory.format(day=day).rsplit("/", 1)[-1]: day for day in days}
+    found: dict[str, list[str]] = {day: [] for day in available_days(spark, base, days, directory)}
+    for status in _glob(spark, base, days, directory, "/*"):
+        path = status.getPath()
+        listed = f"{path.getName()}:{status.getLen()}:{status.getModificationTime()}"
+        found.setdefault(names[path.getParent().getName()], []).append(listed)
+    return {day: ",".join(sorted(files)) for day, files in found.items()}
+
+
+def _glob(spark: SparkSession, base: str, days: list[str], directory: str, below: str = ""):
+    if not days:
+        return []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pattern = directory.format(day="{" + ",".join(days) + "}")
+    return files.globStatus(path(f"{base}/{pattern}{below}")) or []
 
 
 def require_days(spark: SparkSession, base: str, days: list[str], directory: str = "{day}") -> None:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 
 def embedding_width(size: int) -> int:
-    """Empirical embedding width of a column with ``size`` ids: 2 to the ceiling of ln(size^0.25)."""
+    """Numbers that represent one of ``size`` ids: 2 to the ceiling of ln(size^0.25)."""
     return int(2 ** math.ceil(math.log(size**0.25)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import categorical as cat
 from clickloom.functions import heads
 from clickloom.functions import images as im
-from clickloom.operators import profile, resize, sparse
+from clickloom.operators import profile, resize, sampling, sparse
 from clickloom.plans import image_prep
 from clickloom.spec import Continuous, Cross, HashBucket, Identity, ModelSpec, embedding_width
 
@@ -202,7 +202,7 @@ def test_crops_stay_inside_and_repeat(spark):
         assert len(found) == 1
         offsets.add(found[0])
     assert len(offsets) == 12
-    with pytest.raises(Exception, match="larger|greater"):
+    with pytest.raises(Exception, match="smaller than the window"):
         df.select(im.central_crop(F.col("pixels"), F.col("height"), F.col("width"), 2, 7, 4)).collect()
 
 
@@ -285,3 +285,20 @@ def test_custom_recipe(spark):
 def test_widths_agree():
     widths = [s.width for s in SPEC.deep_slots() if s.how == "embedding"]
     assert widths == [embedding_width(n) for n in (50, 300, 1000, 64)]
+
+
+def test_cross_size_advice_tells_combinations_apart(spark):
+    df = spark.createDataFrame([("a", "b&c"), ("a&b", "c"), ("a", None), (None, "c"), ("", "c")], "x string, y string")
+    (row,) = profile.cross_size_advice(df, [("x", "y")]).collect()
+    assert (row["cross"], row["n_values"], row["product_size"], row["double_size"]) == ("x&y", 2, 4, 4)
+
+
+def test_random_sample_keeps_labels_other_than_one(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,), (None,)] * 3, "y int")
+    assert sampling.downsample_random(df, "y", 1.0).count() == 12
+    assert {r["y"] for r in sampling.downsample_random(df, "y", 0.0).collect()} == {1}
+
+
+def test_null_images_stay_null(spark):
+    df = spark.createDataFrame([(bytes([1, 255]),), (None,), (b"",)], "image binary")
+    assert [r[0] for r in df.select(im.pixels_of(F.col("image"))).collect()] == [[1, 255], None, []]

@@ -132,8 +132,39 @@ def test_stored_counts_replace_old_days(spark, tmp_path):
         run("two", "out", "20240102", job, counts)
 
 
+def prepared(spark, base, days, job, counts=None, label="clk"):
+    prepare_files(spark, f"{base}/in", f"{base}/out", days, FIELDS, "id", job, label=label, counts=counts)
+    names = [*FIELDS, *[f"r{k}" for k in job.windows]]
+    rows = logs.scan_days(spark, f"{base}/out", days, names, "run_dt={day}").collect()
+    return {r["id"]: round(float(r[f"r{job.windows[-1]}"]), 4) for r in rows}
+
+
+def test_directories_decide_the_day(spark, tmp_path):
+    put(f"{tmp_path}/in/20240101/p", "1\ta\tx\t20240101\n1\tb\tx\t-\n0\tc\tx\tnonsense\n")
+    put(f"{tmp_path}/in/20240102/p", "0\td\tx\t20240101\n0\te\tx\t20240102\n")
+    job = Preparation(features=("site",), windows=(1,), keep=1.0)
+    two = Preparation(features=("site",), windows=(1, 2), keep=1.0)
+    counts = f"{tmp_path}/counts"
+    assert prepared(spark, tmp_path, ["20240101"], job, counts) == {"a": 0.6667, "b": 0.6667, "c": 0.6667}
+    for stored in (counts, None):  # the late row neither replaces the first day's counts nor gets lost
+        assert prepared(spark, tmp_path, ["20240102"], two, stored) == {"d": 0.4, "e": 0.4}
+
+
+def test_changed_inputs_are_counted_again(spark, tmp_path):
+    put(f"{tmp_path}/in/20240101/p", "1\ta\t0\tz\n0\tb\t0\tz\n")
+    put(f"{tmp_path}/in/20240102/p", "0\tc\t0\tz\n")
+    job = Preparation(features=("site",), windows=(2,), keep=1.0)
+    counts = f"{tmp_path}/counts"
+    assert prepared(spark, tmp_path, ["20240102"], job, counts) == {"c": 0.3333}
+    assert prepared(spark, tmp_path, ["20240102"], Preparation(features=("dt",), windows=(2,), keep=1.0), counts) == {"c": 0.3333}
+    assert prepared(spark, tmp_path, ["20240102"], job, counts, label="site") == {"c": 0.0}  # another label
+    assert prepared(spark, tmp_path, ["20240102"], job, counts) == {"c": 0.3333}
+    put(f"{tmp_path}/in/20240101/p", "")  # delivered again, now empty
+    assert prepared(spark, tmp_path, ["20240102"], job, counts) == {"c": 0.0}
+
+
 def test_tsv_round_trip_and_file_count(spark, tmp_path):
-    rows = [(str(i), f'q"{i}', "a,b" if i % 2 else "") for i in range(50)]
+    rows = [(str(i), f' q"{i} ', "a,b" if i % 2 else "") for i in range(50)]
     df = spark.createDataFrame(rows, "a string, b string, c string")
     sinks.write_tsv(df, f"{tmp_path}/t", files=2)
     assert len([f for f in os.listdir(f"{tmp_path}/t") if f.startswith("part-")]) == 2
@@ -158,18 +189,24 @@ def test_partition_filter_prunes(spark, tmp_path):
 
 def test_large_days_are_exported_in_several_files(spark, tmp_path):
     df = spark.range(1000).select(F.col("id").cast("string"), F.when(F.col("id") < 900, "1").otherwise("2").alias("day"))
-    sinks.export_days(df, f"{tmp_path}/e", "day", "id", rows_per_file=300)
+    sinks.export_days(df, f"{tmp_path}/e", "day", "id", files=3)
     files = {d: len([f for f in os.listdir(f"{tmp_path}/e/day={d}") if f.endswith(".csv")]) for d in "12"}
-    assert files == {"1": 3, "2": 1}
+    assert files == {"1": 3, "2": 3}
     assert spark.read.text(f"{tmp_path}/e").count() == 1000
+    sinks.export_days(df.withColumn("day", F.nullif("day", F.lit("2"))), f"{tmp_path}/n", "day", "id")
+    files = [len([f for f in os.listdir(f"{tmp_path}/n/{d}") if f.endswith(".csv")]) for d in os.listdir(f"{tmp_path}/n") if "=" in d]
+    assert files == [1, 1]
+    assert spark.read.text(f"{tmp_path}/n").count() == 1000
 
 
 def test_copied_days(spark, tmp_path):
-    put(f"{tmp_path}/in/20240101/p", "1\ta\n0\tb\n")
+    lines = ["1\ta", "", " padded \t x ", '0\t"b', "one", "a\tb\tc\td", "\t"]
+    put(f"{tmp_path}/in/20240101/p", "\n".join(lines) + "\n")
     put(f"{tmp_path}/in/20240102/p", "1\tc\n")
-    sinks.copy_days(spark, f"{tmp_path}/in", f"{tmp_path}/out", ["20240101", "20240102"], ["clk", "id"])
-    back = logs.scan_days(spark, f"{tmp_path}/out", ["20240101"], ["clk", "id"], "day={day}").collect()
-    assert {tuple(r) for r in back} == {("1", "a"), ("0", "b")}
+    sinks.copy_days(spark, f"{tmp_path}/in", f"{tmp_path}/out", ["20240101", "20240102"])
+    folder = f"{tmp_path}/out/day=20240101"
+    copied = "".join(open(f"{folder}/{f}").read() for f in os.listdir(folder) if f.startswith("part"))
+    assert copied == "\n".join(lines) + "\n"
     assert logs.available_days(spark, f"{tmp_path}/out", ["20240102", "20240103"], "day={day}") == ["20240102"]
 
 

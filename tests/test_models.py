@@ -276,6 +276,13 @@ def test_auc_counts_pairs(spark):
     assert metrics.auc(df, "z", "y").first()[0] == pytest.approx(wins / (len(pos) * len(neg)))
 
 
+def test_exact_curves_of_one_class_are_null(spark):
+    for y in (0, 1):
+        df = spark.createDataFrame([(0.1, y), (0.7, y)], "z double, y int")
+        assert metrics.auc(df, "z", "y").first()[0] is None
+        assert (metrics.auc_pr(df, "z", "y").first()[0] is None) == (y == 0)
+
+
 def test_auc_pr_by_hand(spark):
     df, scores, labels = scored_rows(spark)
     area, before_tp, before_p = 0.0, 0, None
