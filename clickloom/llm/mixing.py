@@ -314,7 +314,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     _, plan = mixing_plan(docs, doc_id, text, source, shard_words)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     keyed = rows.select("row", F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{source}`").alias("source"))
-    met = _matched(keyed, plan.where("copies > 0").select("doc_id", "source", "shards"), UNIT)
+    # Merged at every size: a broadcast of the plan would grow with the documents.
+    met = _matched(keyed, plan.where("copies > 0").select("doc_id", "source", "shards").hint("merge"), UNIT)
     copies = met.select("row", F.posexplode("shards").alias("mix_copy", "mix_shard"))
     order = F.xxhash64(F.lit(SEED), "mix_shard", "mix_copy", f"row.`{doc_id}`")
     out = copies.withColumn("mix_order", order).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")

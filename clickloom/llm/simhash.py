@@ -181,4 +181,5 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "at"))
     groups = ids.join(classes(ids, reach), "code").groupBy("root")
     kept = staged(groups.agg(first.alias("first")).select(F.col("first.at").alias("at")), "kept")
-    return rows.join(kept, "at", "left_semi").select("row.*")
+    # Merged at every size: a broadcast of the kept ids would grow with the documents.
+    return rows.join(kept.hint("merge"), "at", "left_semi").select("row.*")
