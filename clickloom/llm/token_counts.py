@@ -129,9 +129,17 @@ class _Block:
             place[mine] = np.arange(first[s], first[s + 1])
             if mine:
                 asks.append({"shard": s, "data": blocks.pack([tokens[i] for i in mine])})
-        places = np.concatenate(self.places) if self.places else np.zeros(0, np.int32)
+        ends = np.array(self.ends, dtype=np.int32)
+        places = place[np.concatenate(self.places)] if self.places else np.zeros(0, np.int32)
         counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int32)
-        body = blocks.pack(place[places], counts, np.array(self.ends, dtype=np.int32))
+        # Places in order within each document, as steps from one to the next: small numbers take little room.
+        owner = np.repeat(np.arange(len(ends)), ends)
+        by_place = np.lexsort((places, owner))
+        steps = np.diff(places[by_place], prepend=0)
+        heads = (np.cumsum(ends) - ends)[ends > 0]
+        steps[heads] = places[by_place][heads]
+        steps = steps.astype(np.uint32)
+        body = blocks.pack((steps & 0xFF).astype(np.uint8), (steps >> 8 & 0xFF).astype(np.uint8), (steps >> 16).astype(np.uint16), counts[by_place], ends)
         return blocks.rows(
             {
                 "block": ([number], pa.int64()),
@@ -192,9 +200,13 @@ def count_tokens(
     def finish(answer: pa.Table, block: pa.Table) -> pa.Table:
         parts = sorted(zip(answer["shard"].to_pylist(), answer["data"].to_pylist(), strict=True))
         pieces = np.concatenate([blocks.unpack(d)[0] for _, d in parts] or [np.zeros(0, np.int32)])
-        places, counts, ends = blocks.unpack(block["body"][0].as_py())
+        low, middle, high, counts, ends = blocks.unpack(block["body"][0].as_py())
+        steps = low.astype(np.int64) + (middle.astype(np.int64) << 8) + (high.astype(np.int64) << 16)
+        edges = np.concatenate(([0], np.cumsum(ends, dtype=np.int64)))
+        along = np.cumsum(steps)
+        before = np.concatenate(([0], along))[edges[:-1]]
+        places = along - np.repeat(before, ends)
         total = np.concatenate(([0], np.cumsum(pieces[places].astype(np.int64) * counts)))
-        edges = np.concatenate(([0], np.cumsum(ends)))
         n = np.diff(total[edges]) + block["direct"][0].values.to_numpy()
         ids = block["ids"].combine_chunks().flatten()
         return pa.table({"doc_id": ids, "n_bytes": block["sizes"][0].values, "n_tokens": pa.array(n, pa.int64())})
