@@ -31,7 +31,7 @@ from clickloom.llm.elias_fano import SUCCESSOR_BITS, NgramTrie, restored
 from clickloom.llm.text import SPACED, pieces_of_words, text_bytes, utf8
 from clickloom.session import staged
 
-BLOCK_BYTES, SHARD_BYTES = 10 << 20, 10 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 6 << 20
 SEED = 7
 # Stand-ins for the hashes of a document's begin (a context only) and end (a successor only).
 BEGIN, END = np.uint64(0x42656769_6E), np.uint64(0x456E64)
