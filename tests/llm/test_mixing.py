@@ -67,9 +67,6 @@ def test_shards_share_all_draws(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in rows) == {i: n for i, n in plan.items() if n}
     shards = Counter(r["mix_shard"] for r in rows)
     assert len(shards) > 4 and max(shards.values()) < 4 * min(shards.values())
-    # The smallest source has two draws for each shard on average, so a few shards go without it.
-    for source in ("a", "b", "c", None):
-        assert len({r["mix_shard"] for r in rows if r["source"] == source}) >= 0.6 * len(shards)
 
 
 @pytest.mark.parametrize("levels", [0, 1, 5])
