@@ -13,7 +13,7 @@ Each step's state is cut from its lineage through the shared folder.
 
 from __future__ import annotations
 
-import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +27,7 @@ from clickloom.session import cut_lineage, shuffle_partitions
 
 STATE_SCHEMA = "idx bigint, z double, n double, w double"
 BIAS = -1
-# Below this many examples another task costs more than it saves.
-EXAMPLES_PER_TASK = 5_000
+BATCH = "_batch"
 
 
 @dataclass(frozen=True)
@@ -113,6 +112,22 @@ def step(data: DataFrame, state: DataFrame, opt: Ftrl = Ftrl(), max_ids: int | N
     return update(state, gradients(data, state, max_ids, hot), opt)
 
 
+@contextmanager
+def placed(data: DataFrame, batches: int = 1, parts: tuple[str, ...] = ()):
+    """The examples dealt by id and kept on the executors while a training passes over them.
+
+    Within a task they lie in order of ``parts``, then of their batch, so that a filter on either skips
+    all other stretches of the kept rows, and every update still runs on all tasks.
+    """
+    dealt = data if batches == 1 else data.withColumn(BATCH, _batch_of("id", batches))
+    order = [*parts, *([] if batches == 1 else [BATCH]), "id"]
+    kept = dealt.repartition(shuffle_partitions(data.sparkSession), "id").sortWithinPartitions(*order).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def train(
     data: DataFrame,
     state: DataFrame | None = None,
@@ -126,26 +141,34 @@ def train(
     Starts from ``state`` to continue a training, or clean without one. Examples are placed by id
     once; every step then exchanges only gradients (and, if too large to broadcast, weights).
     """
-    spark = data.sparkSession
+    with placed(data, batches) as rows:
+        return train_placed(rows, state, steps, opt, max_ids, batches)
+
+
+def train_placed(
+    rows: DataFrame,
+    state: DataFrame | None = None,
+    steps: int = 1,
+    opt: Ftrl = Ftrl(),
+    max_ids: int | None = None,
+    batches: int = 1,
+) -> DataFrame:
+    """``train`` for examples, or parts of them, that ``placed`` holds with the same ``batches``."""
+    spark = rows.sparkSession
     state = empty_state(spark) if state is None else state
     proven = max_ids is not None and max_ids <= lookup.BROADCAST_ROWS
-    parts = max(1, min(shuffle_partitions(spark), math.ceil(data.count() / EXAMPLES_PER_TASK)))
-    placed = data.repartition(parts, "id").sortWithinPartitions("id").persist()
     hot = None
-    try:
-        for _ in range(steps):
-            for batch in range(batches):
-                bound = max_ids
-                if not proven:
-                    # The penalty keeps most weights at zero: count what a lookup really needs.
-                    bound = state.where(F.col("w") != 0).count()
-                    if bound > lookup.BROADCAST_ROWS and hot is None:
-                        # Ids do not change between steps, so the hot ones (2P rows) are found once.
-                        hot = cut_lineage(lookup.hot_keys(_pairs(placed), ["idx"]))
-                part = placed if batches == 1 else placed.where(_batch_of("id", batches) == batch)
-                state = cut_lineage(step(part, state, opt, bound, hot))
-    finally:
-        placed.unpersist()
+    for _ in range(steps):
+        for batch in range(batches):
+            bound = max_ids
+            if not proven:
+                # The penalty keeps most weights at zero: count what a lookup really needs.
+                bound = state.where(F.col("w") != 0).count()
+                if bound > lookup.BROADCAST_ROWS and hot is None:
+                    # Ids do not change between steps, so the hot ones (2P rows) are found once.
+                    hot = cut_lineage(lookup.hot_keys(_pairs(rows), ["idx"]))
+            part = rows if batches == 1 else rows.where(F.col(BATCH) == batch)
+            state = cut_lineage(step(part, state, opt, bound, hot))
     return state
 
 

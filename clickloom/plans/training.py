@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import ftrl
 from clickloom.operators.metrics import evaluate
-from clickloom.session import cut_lineage, scratch_path
+from clickloom.session import cut_lineage, delete, scratch_path
 
 
 def evaluation(data: DataFrame, state: DataFrame, max_ids: int | None, weight: str | None = "weight") -> DataFrame:
@@ -18,14 +19,24 @@ def evaluation(data: DataFrame, state: DataFrame, max_ids: int | None, weight: s
     return evaluate(ftrl.score(data, state, max_ids, keep), "logit", "label", weight)
 
 
-def stage(data: DataFrame, part: str) -> DataFrame:
-    """Write the examples once, one directory per part, so that every pass reads only its part.
+@contextmanager
+def stage(data: DataFrame, part: str):
+    """The examples written once, one directory per part, so that every pass reads only its part.
 
-    The ids of a row are then computed once, however often the row is trained on or evaluated.
+    The ids of a row are then computed once, however often the row is trained on or evaluated. The
+    copy is deleted at the end.
     """
-    path = scratch_path(data.sparkSession, "examples")
+    spark, path = data.sparkSession, scratch_path(data.sparkSession, "examples")
     data.hint("rebalance", F.col(part)).write.partitionBy(part).parquet(path)
-    return data.sparkSession.read.schema(data.schema).parquet(path)
+    try:
+        yield spark.read.schema(data.schema).parquet(path)
+    finally:
+        delete(spark, [path])
+
+
+def parts_of(data: DataFrame, part: str) -> list:
+    """The parts in order: one row per day or file."""
+    return [r[0] for r in data.select(part).distinct().orderBy(part).collect()]
 
 
 def walk_forward(
@@ -35,23 +46,25 @@ def walk_forward(
     epochs: int = 1,
     max_ids: int | None = None,
     state: DataFrame | None = None,
+    batches: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Train on each part in turn and evaluate on the next one, carrying the weights.
 
     ``data`` is an example table with a ``part`` column (a day or a file). Returns the metrics
-    (train_part, test_part, epoch, metric, value) and the final state.
+    (train_part, test_part, epoch, metric, value) and the final state. An epoch makes ``batches`` updates.
     """
-    data = stage(data, part)
-    parts = [r[0] for r in data.select(part).distinct().orderBy(part).collect()]  # one row per day
-    if len(parts) < 2:
-        raise ValueError("walk-forward needs at least two parts")
     results = []
-    for train_part, test_part in zip(parts, parts[1:], strict=False):
-        train, test = (data.where(F.col(part) == p).drop(part) for p in (train_part, test_part))
-        for epoch in range(1, epochs + 1):
-            state = ftrl.train(train, state, 1, opt, max_ids)
-            labels = {"train_part": F.lit(train_part), "test_part": F.lit(test_part), "epoch": F.lit(epoch)}
-            results.append(_labelled(evaluation(test, state, max_ids), labels))
+    with stage(data, part) as data:
+        parts = parts_of(data, part)
+        if len(parts) < 2:
+            raise ValueError("walk-forward needs at least two parts")
+        for train_part, test_part in zip(parts, parts[1:], strict=False):
+            train, test = (data.where(F.col(part) == p).drop(part) for p in (train_part, test_part))
+            with ftrl.placed(train, batches) as rows:
+                for epoch in range(1, epochs + 1):
+                    state = ftrl.train_placed(rows, state, 1, opt, max_ids, batches)
+                    labels = {"train_part": F.lit(train_part), "test_part": F.lit(test_part), "epoch": F.lit(epoch)}
+                    results.append(_labelled(evaluation(test, state, max_ids), labels))
     return reduce(DataFrame.unionByName, results), state
 
 
@@ -62,13 +75,15 @@ def train_parts(
     epochs: int = 1,
     max_ids: int | None = None,
     state: DataFrame | None = None,
+    batches: int = 1,
 ) -> DataFrame:
     """Train on every part in order, epoch by epoch, without evaluation."""
-    data = stage(data, part)
-    parts = [r[0] for r in data.select(part).distinct().orderBy(part).collect()]  # one row per file
-    for _ in range(epochs):
-        for p in parts:
-            state = ftrl.train(data.where(F.col(part) == p).drop(part), state, 1, opt, max_ids)
+    with stage(data, part) as data:
+        parts = parts_of(data, part)
+        with ftrl.placed(data, batches, (part,)) as rows:
+            for _ in range(epochs):
+                for p in parts:
+                    state = ftrl.train_placed(_part(rows, part, p), state, 1, opt, max_ids, batches)
     return ftrl.empty_state(data.sparkSession) if state is None else state
 
 
@@ -82,6 +97,7 @@ def epoch_metrics(
     max_ids: int | None = None,
     state: DataFrame | None = None,
     test: DataFrame | None = None,
+    batches: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Per epoch, train on every part and evaluate after each; test after every few epochs.
 
@@ -89,22 +105,27 @@ def epoch_metrics(
     periodic test (the evaluation rows without one). Returns metrics (epoch, part, metric, value), in
     which the part ``test`` is the periodic test, and the final state.
     """
-    data = stage(data, part)
-    train_rows, eval_rows = data.where(~held_out), data.where(held_out).drop(part)
-    test = eval_rows if test is None else test
-    parts = [r[0] for r in train_rows.select(part).distinct().orderBy(part).collect()]  # one row per file
     results = []
-    for epoch in range(1, epochs + 1):
-        for p in parts:
-            state = ftrl.train(train_rows.where(F.col(part) == p).drop(part), state, 1, opt, max_ids)
-            labels = {"epoch": F.lit(epoch), "part": F.lit(str(p))}
-            results.append(_labelled(evaluation(eval_rows, state, max_ids), labels))
-        if epoch % epochs_per_test == 0:
-            labels = {"epoch": F.lit(epoch), "part": F.lit("test")}
-            results.append(_labelled(evaluation(test, state, max_ids), labels))
+    with stage(data, part) as data:
+        train_rows, eval_rows = data.where(~held_out), data.where(held_out).drop(part)
+        test = eval_rows if test is None else test
+        parts = parts_of(train_rows, part)
+        with ftrl.placed(train_rows, batches, (part,)) as rows:
+            for epoch in range(1, epochs + 1):
+                for p in parts:
+                    state = ftrl.train_placed(_part(rows, part, p), state, 1, opt, max_ids, batches)
+                    labels = {"epoch": F.lit(epoch), "part": F.lit(str(p))}
+                    results.append(_labelled(evaluation(eval_rows, state, max_ids), labels))
+                if epoch % epochs_per_test == 0:
+                    labels = {"epoch": F.lit(epoch), "part": F.lit("test")}
+                    results.append(_labelled(evaluation(test, state, max_ids), labels))
     return reduce(DataFrame.unionByName, results), state
 
 
+def _part(rows: DataFrame, part: str, value) -> DataFrame:
+    return rows.where(F.col(part) == value).drop(part)
+
+
 def _labelled(metrics: DataFrame, labels: dict[str, Column]) -> DataFrame:
     # A few rows per evaluation; written at once so that later weights cannot grow this plan.
     return cut_lineage(metrics.select(*[c.alias(n) for n, c in labels.items()], "metric", "value"))

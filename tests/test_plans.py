@@ -66,3 +66,13 @@ def test_training_step_exchanges_gradients_only(spark, no_broadcast):
     assert len(re.findall(r"Exchange hashpartitioning\(idx", plan)) == 1
     assert not re.findall(r"Exchange hashpartitioning\(id#\d+L?, \d+\), ENSURE_REQUIREMENTS", plan)
     placed.unpersist()
+
+
+def test_a_batch_reads_only_its_stretch_of_the_placed_rows(spark):
+    data = spark.range(200).select(
+        "id", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight"), F.array(F.col("id") % 7).alias("ids")
+    )
+    with ftrl.placed(data.withColumn("day", F.col("id") % 2), 2, ("day",)) as rows:
+        plan = plan_of(rows.where((F.col("day") == 1) & (F.col(ftrl.BATCH) == 0)))
+        pruned = re.search(r"InMemoryTableScan \[[^\]]*\], \[(.*?)\]", plan).group(1)
+        assert "day" in pruned and ftrl.BATCH in pruned
