@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from clickloom.functions import heads
+from clickloom.functions.clean import class_weight
 from clickloom.operators import ftrl, metrics, networks, sparse
 from clickloom.plans import scoring, training
 from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table
@@ -32,11 +33,11 @@ FTRL_INPUT = f"""WITH {LOG}, {EVENT_IDS},
   s0 AS (SELECT DISTINCT idx, 0.0::DOUBLE AS z, 0.1::DOUBLE AS n, 0.0::DOUBLE AS w FROM pairs)"""
 
 
-def _ftrl_step_sql(step: int, rows: str = "true") -> str:
-    """Common table expressions that turn state s<step-1> into s<step> with the chosen rows."""
+def _ftrl_step_sql(step: int, rows: str = "true", weight: str = "1.0::DOUBLE") -> str:
+    """Common table expressions that turn state s<step-1> into s<step> with the chosen rows and their weights."""
     return f"""p{step} AS (SELECT event_id, any_value(clk) AS clk, 1.0 / (1.0 + exp(-sum(w))) AS p
       FROM pairs JOIN s{step - 1} USING (idx) WHERE {rows} GROUP BY event_id),
-    g{step} AS (SELECT idx, sum(p - p{step}.clk) AS g FROM pairs JOIN p{step} USING (event_id) GROUP BY idx),
+    g{step} AS (SELECT idx, sum({weight} * (p - p{step}.clk)) AS g FROM pairs JOIN p{step} USING (event_id) GROUP BY idx),
     u{step} AS (SELECT idx, z + coalesce(g, 0.0) - (sqrt(n + coalesce(g * g, 0.0)) - sqrt(n)) / 0.1 * w AS z,
       n + coalesce(g * g, 0.0) AS n FROM s{step - 1} LEFT JOIN g{step} USING (idx)),
     s{step} AS (SELECT idx, z, n, CASE WHEN abs(z) > 0.5
@@ -98,9 +99,12 @@ def _epochs_sql(epochs: int = 2, parts: int = 2, epochs_per_test: int = 2) -> st
     return f"{', '.join(ctes)} {' UNION ALL '.join(results)}"
 
 
+STATE_SQL = "round(z, 7) + 0.0 AS z, round(n, 4) AS n, round(w, 7) + 0.0 AS w"
+
+
 def _ftrl_sql(steps: int) -> str:
     chain = ", ".join(_ftrl_step_sql(s) for s in range(1, steps + 1))
-    return f"{FTRL_INPUT}, {chain} SELECT idx, round(z, 7) + 0.0 AS z, round(n, 4) AS n, round(w, 7) + 0.0 AS w FROM s{steps}"
+    return f"{FTRL_INPUT}, {chain} SELECT idx, {STATE_SQL} FROM s{steps}"
 
 
 # The bias sums up to 1e9 and more in n, where a double has no seventh decimal.
@@ -130,6 +134,36 @@ def ftrl_resume(spark, sf_dir):
     return _rounded_state(ftrl.train(data, saved, steps=1, max_ids=MAX_IDS))
 
 
+def _batches_sql(steps: int, batches: int) -> str:
+    number = md5_sql("CAST(event_id AS VARCHAR)")
+    rows = [f"{number} % {batches} = {batch}" for _ in range(steps) for batch in range(batches)]
+    chain = ", ".join(_ftrl_step_sql(s, r) for s, r in enumerate(rows, 1))
+    return f"{FTRL_INPUT}, {chain} SELECT idx, {STATE_SQL} FROM s{len(rows)}"
+
+
+@query("ftrl_batches", _batches_sql(2, 3))
+def ftrl_batches(spark, sf_dir):
+    """Two passes with three updates each."""
+    return _rounded_state(ftrl.train(_examples(spark, sf_dir), steps=2, max_ids=MAX_IDS, batches=3))
+
+
+POSITIVE, NEGATIVE = 2.0, 0.5
+CLASS_WEIGHT_SQL = f"(CASE WHEN p{{step}}.clk = 1 THEN {POSITIVE} ELSE {NEGATIVE} END)::DOUBLE"
+
+
+@query(
+    "ftrl_weighted",
+    f"""{FTRL_INPUT}, {_ftrl_step_sql(1, weight=CLASS_WEIGHT_SQL.format(step=1))},
+    {_ftrl_step_sql(2, weight=CLASS_WEIGHT_SQL.format(step=2))} SELECT idx, {STATE_SQL} FROM s2""",
+)
+def ftrl_weighted(spark, sf_dir):
+    """Two passes in which clicks weigh more than other rows."""
+    log = sparse.with_wide_ids(impressions(spark, sf_dir), EVENT_SPEC, "md5", "_ids")
+    weight = class_weight(F.col("clk"), POSITIVE, NEGATIVE)
+    data = ftrl.examples(log, "event_id", F.col("clk"), F.col("_ids"), weight)
+    return _rounded_state(ftrl.train(data, steps=2, max_ids=MAX_IDS))
+
+
 @query(
     "wide_salted_logit",
     f"""{FTRL_INPUT}, {_ftrl_step_sql(1)} SELECT event_id, round(sum(w), 7) + 0.0 AS logit
