@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vector_ids(spark: SparkSession, sf_dir: str) -> int:
+    """How many ids the table of vectors has."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
 def rounded(c: Column, digits: int = 9) -> Column:
     """Rounded, with a negative zero turned positive."""
     return F.round(c.cast("double"), digits) + F.lit(0.0)

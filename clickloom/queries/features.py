@@ -20,6 +20,7 @@ from clickloom.queries.base import (
     query,
     rounded,
     table,
+    vector_ids,
 )
 from clickloom.sinks.models import feature_spec_rows
 from clickloom.spec import Continuous, Cross, HashBucket, Identity, ModelSpec, Vocab
@@ -163,23 +164,27 @@ def multi_hot(spark, sf_dir):
     return hot.select("p_partkey", F.posexplode("hot").alias("dim", "n"))
 
 
-# Names are the embedded column: 500 ids give width 4.
-PART_SPEC = ModelSpec(
-    fields=("label", "p_retailprice", "p_type", "p_size", "p_name"),
-    features=(
-        Continuous("p_retailprice", "min_max", (900.0, 1000.0)),
-        Vocab("p_type", tuple(PART_TYPES)),
-        Identity("p_size", 51),
-        HashBucket("p_name", 500),
-    ),
-)
+def part_spec(n_vectors: int) -> ModelSpec:
+    """Names are the embedded column, with an id for each vector of the table."""
+    return ModelSpec(
+        fields=("label", "p_retailprice", "p_type", "p_size", "p_name"),
+        features=(
+            Continuous("p_retailprice", "min_max", (900.0, 1000.0)),
+            Vocab("p_type", tuple(PART_TYPES)),
+            Identity("p_size", 51),
+            HashBucket("p_name", n_vectors),
+        ),
+    )
 
 
 @query(
     "deep_input",
     f"""WITH tokens AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS t FROM part),
-    ids AS (SELECT p_partkey, {md5_sql('t')} % 500 AS idx FROM tokens),
-    vectors AS (SELECT vec_id AS idx, unnest(range(4)) AS dim, CAST(unnest(embedding[1:4]) AS DOUBLE) AS v FROM embeddings),
+    shape AS (SELECT n, CAST(pow(2, ceil(ln(pow(CAST(n AS DOUBLE), 0.25)))) AS BIGINT) AS width
+      FROM (SELECT max(vec_id) + 1 AS n FROM embeddings)),
+    ids AS (SELECT p_partkey, {md5_sql('t')} % n AS idx FROM tokens, shape),
+    vectors AS (SELECT vec_id AS idx, unnest(range(width)) AS dim, CAST(unnest(embedding[1:width]) AS DOUBLE) AS v
+      FROM embeddings, shape),
     means AS (SELECT p_partkey, dim + 57 AS pos, avg(v) AS v FROM ids JOIN vectors USING (idx) GROUP BY ALL),
     types AS (SELECT unnest(range(5)) AS i, unnest({PART_TYPES_SQL}) AS t), sizes AS (SELECT unnest(range(51)) AS i),
     dense AS (
@@ -191,10 +196,12 @@ PART_SPEC = ModelSpec(
 )
 def deep_input(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("p_name", F.translate("p_name", " ", ","))
+    spec = part_spec(vector_ids(spark, sf_dir))
+    width = spec.deep_slots()[-1].width
     vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("idx"), F.slice("embedding", 1, 4).alias("vector")
+        F.col("vec_id").alias("idx"), F.slice("embedding", 1, width).alias("vector")
     )
-    dense = sparse.deep_input(parts, PART_SPEC, "p_partkey", {"p_name": vectors}, "md5")
+    dense = sparse.deep_input(parts, spec, "p_partkey", {"p_name": vectors}, "md5")
     exploded = dense.select("p_partkey", F.posexplode("deep").alias("pos", "v"))
     return exploded.select("p_partkey", "pos", rounded(F.col("v")).alias("value"))
 
@@ -273,7 +280,7 @@ def embedding_dim(spark, sf_dir):
 )
 def feature_spec(spark, sf_dir):
     """The parse spec with the most values that any row has."""
-    spec = PART_SPEC
+    spec = part_spec(500)
     parts = table(spark, sf_dir, "part").withColumn("p_name", F.translate("p_name", " ", ","))
     longest = {
         n: F.max(F.size(split_multivalue(F.col(n))) if spec.field_type(n) == "string" else F.lit(1)) for n in spec.names("used")

@@ -8,7 +8,7 @@ from clickloom.functions import categorical as cat
 from clickloom.functions.clean import is_positive, split_multivalue
 from clickloom.operators import batches, rates, sparse
 from clickloom.operators.lookup import hot_keys, measured_lookup, salted_lookup
-from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table
+from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table, vector_ids
 
 RATE_SQL = f"""WITH {LOG}, rates AS (SELECT user_id, avg(clk) AS rate, count(*) AS n FROM log GROUP BY user_id)
     SELECT event_id, user_id, round(rate, 9) AS user_id_rate, n FROM log LEFT JOIN rates USING (user_id)"""
@@ -45,26 +45,21 @@ def positional_join(spark, sf_dir):
     return batches.positional_join(rows, images, "doc_id", "vec_id")
 
 
-EMBEDDING_IDS = 500
-
-
-def _name_ids():
-    tokens = split_multivalue(F.col("p_name"), " ")
-    return cat.hash_bucket_tokens(tokens, EMBEDDING_IDS, "md5")
-
-
 @query(
     "embedding_mean",
     f"""WITH tokens AS (SELECT p_partkey, unnest(list_filter(string_split(p_name, ' '), lambda t: t <> '')) AS t FROM part),
-    ids AS (SELECT p_partkey, {md5_sql('t')} % {EMBEDDING_IDS} AS idx FROM tokens),
+    ids AS (SELECT p_partkey, {md5_sql('t')} % (SELECT max(vec_id) + 1 FROM embeddings) AS idx FROM tokens),
     vectors AS (SELECT vec_id AS idx, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
     means AS (SELECT p_partkey, dim, avg(v) AS v FROM ids JOIN vectors USING (idx) GROUP BY p_partkey, dim)
     SELECT p_partkey, CAST(dim AS INTEGER) AS dim, round(v, 9) + 0.0 AS value FROM means""",
 )
 def embedding_mean(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", _name_ids().alias("ids"))
+    """Words of names share all vectors of the table."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
-    means = sparse.embedding_mean(rows, vectors, "p_partkey", "ids", 64, EMBEDDING_IDS)
+    n_ids = vector_ids(spark, sf_dir)
+    ids = cat.hash_bucket_tokens(split_multivalue(F.col("p_name"), " "), n_ids, "md5")
+    rows = table(spark, sf_dir, "part").select("p_partkey", ids.alias("ids"))
+    means = sparse.embedding_mean(rows, vectors, "p_partkey", "ids", 64, n_ids)
     exploded = means.select("p_partkey", F.posexplode("embedded").alias("dim", "v"))
     return exploded.select("p_partkey", "dim", rounded(F.col("v")).alias("value"))
 

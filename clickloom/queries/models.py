@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from clickloom.functions import heads
 from clickloom.functions.clean import class_weight
-from clickloom.operators import ftrl, metrics, networks, sparse
+from clickloom.functions.numeric import sigmoid
+from clickloom.operators import ftrl, metrics, networks, solver, sparse
 from clickloom.plans import scoring, training
 from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table
 from clickloom.session import scratch_path
@@ -158,9 +157,7 @@ CLASS_WEIGHT_SQL = f"(CASE WHEN p{{step}}.clk = 1 THEN {POSITIVE} ELSE {NEGATIVE
 )
 def ftrl_weighted(spark, sf_dir):
     """Two passes in which clicks weigh more than other rows."""
-    log = sparse.with_wide_ids(impressions(spark, sf_dir), EVENT_SPEC, "md5", "_ids")
-    weight = class_weight(F.col("clk"), POSITIVE, NEGATIVE)
-    data = ftrl.examples(log, "event_id", F.col("clk"), F.col("_ids"), weight)
+    data = _weighted_examples(spark, sf_dir)
     return _rounded_state(ftrl.train(data, steps=2, max_ids=MAX_IDS))
 
 
@@ -176,17 +173,41 @@ def wide_salted_logit(spark, sf_dir):
     return ftrl.score(data, state, None, []).select(F.col("id").alias("event_id"), rounded(F.col("logit"), 7).alias("logit"))
 
 
+REG, MIX = 0.001, 0.3
+
+
+def _weighted_examples(spark, sf_dir):
+    log = sparse.with_wide_ids(impressions(spark, sf_dir), EVENT_SPEC, "md5", "_ids")
+    weight = class_weight(F.col("clk"), POSITIVE, NEGATIVE)
+    return ftrl.examples(log, "event_id", F.col("clk"), F.col("_ids"), weight)
+
+
 @query("wide_lr")
 def wide_lr(spark, sf_dir):
-    """The same objective with the library's elastic-net solver."""
-    log = impressions(spark, sf_dir).select("event_id", "clk", F.col("hour").cast("double"), F.col("k").cast("double"), "value")
-    stages = [
-        OneHotEncoder(inputCols=["hour", "k"], outputCols=["hour_hot", "k_hot"], handleInvalid="keep"),
-        VectorAssembler(inputCols=["hour_hot", "k_hot"], outputCol="features"),
-        LogisticRegression(labelCol="clk", maxIter=10, regParam=0.001, elasticNetParam=0.3),
-    ]
-    scored = Pipeline(stages=stages).fit(log).transform(log)
-    return scored.select("event_id", F.round(vector_to_array("probability")[1], 4).alias("probability"))
+    """All features and crosses of the spec with class weights, fitted by the library's elastic-net solver."""
+    data = _weighted_examples(spark, sf_dir)
+    weights = solver.fit(data, EVENT_SPEC.wide_dimension, REG, MIX)
+    scored = ftrl.score(data, weights, MAX_IDS, [])
+    return scored.select(F.col("id").alias("event_id"), F.round(sigmoid(F.col("logit")), 4).alias("probability"))
+
+
+@query(
+    "wide_lr_optimum",
+    f"{FTRL_INPUT} SELECT count(DISTINCT idx) AS n_ids, true AS at_minimum, true AS beats_prior FROM pairs",
+)
+def wide_lr_optimum(spark, sf_dir):
+    """Whether the solver's weights are a minimum of the objective, and better than a bias alone."""
+    data = _weighted_examples(spark, sf_dir)
+    weights = solver.fit(data, EVENT_SPEC.wide_dimension, REG, MIX)
+    report = solver.excess(data, weights, MAX_IDS, REG, MIX).agg(
+        F.count(F.lit(1)).alias("n_ids"), (F.max("excess") < 1e-5).alias("at_minimum")
+    )
+    scored = ftrl.score(data, weights, MAX_IDS, ["label", "weight"])
+    share = F.sum(F.col("weight") * F.col("label")) / F.sum("weight")
+    prior = -(share * F.log(share) + (1 - share) * F.log(1 - share))
+    loss = F.sum(heads.log_loss(F.col("logit"), F.col("label"), F.col("weight"))) / F.sum("weight")
+    better = scored.agg(loss < prior).first()[0]
+    return report.withColumn("beats_prior", F.lit(better).cast("boolean"))
 
 
 @query("walk_forward", _walk_forward_sql())
