@@ -182,7 +182,8 @@ def deep_input(
     """Dense input per row: scaled numbers, hot vectors and mean embeddings in spec order.
 
     ``tables`` maps each embedded column to its (idx, vector) table. All embedded columns share one
-    lookup, keyed by column number and id, however many there are.
+    lookup, keyed by column number and id, however many there are. Hot columns travel as ids and become
+    vectors after the last exchange; looked-up vectors are dealt by row once for all that follows.
     """
     columns = {c.name: c for c in [*spec.features, *spec.crosses]}
     slots = spec.deep_slots()
@@ -191,17 +192,23 @@ def deep_input(
     dense = {slot.name: f"_dense_{i}" for i, slot in enumerate(slots) if slot.how != "embedding"}
     hot = {dense[s.name]: columns[s.name] for s in slots if s.how == "hot"}
 
-    def dense_block(slot) -> Column:
+    def carried(slot) -> Column:
         column = columns[slot.name]
+        return scale(F.col(slot.name), column.scale, column.params) if slot.how == "number" else F.col(dense[slot.name])
+
+    def block(slot) -> Column:
         if slot.how == "number":
-            return F.array(scale(F.col(slot.name), column.scale, column.params))
-        return cat.multi_hot(F.col(dense[slot.name]), column.size)
+            return F.array(F.col(dense[slot.name]))
+        if slot.how == "hot":
+            return cat.multi_hot(F.col(dense[slot.name]), columns[slot.name].size)
+        mean_of_slot = F.slice(F.try_element_at("_means", F.lit(number[slot.name])), 1, slot.width)
+        return F.coalesce(mean_of_slot, F.array_repeat(F.lit(0.0), slot.width))
 
     base = with_column_ids(rows, spec, hot, method).select(
-        row_id, *[dense_block(s).alias(dense[s.name]) for s in slots if s.name in dense]
+        row_id, *[carried(s).alias(dense[s.name]) for s in slots if s.name in dense]
     )
     if not embedded:
-        return base.select(row_id, F.concat(*[F.col(dense[s.name]) for s in slots]).alias(out))
+        return base.select(row_id, F.concat(*[block(s) for s in slots]).alias(out))
 
     tagged_ids = with_column_ids(rows, spec, {f"_ids_{i}": columns[s.name] for i, s in enumerate(embedded)}, method)
 
@@ -216,17 +223,11 @@ def deep_input(
     )
     widest = max(s.width for s in embedded)
     bound = sum(_narrow_rows(columns[s.name].size, s.width) for s in embedded)
-    found = bounded_lookup(pairs, table, ["slot", "idx"], [row_id], bound)
+    found = bounded_lookup(pairs, table, ["slot", "idx"], [row_id], bound).repartition(row_id)
     mean = [F.coalesce(F.avg(F.get("vector", i).cast("double")), F.lit(0.0)) for i in range(widest)]
     means = found.groupBy(row_id, "slot").agg(F.array(*mean).alias("mean"))
     packed = means.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("slot", "mean"))).alias("_means"))
 
-    def block(slot) -> Column:
-        if slot.name in dense:
-            return F.col(dense[slot.name])
-        mean_of_slot = F.slice(F.try_element_at("_means", F.lit(number[slot.name])), 1, slot.width)
-        return F.coalesce(mean_of_slot, F.array_repeat(F.lit(0.0), slot.width))
-
     return base.join(packed, row_id, "left").select(row_id, F.concat(*[block(s) for s in slots]).alias(out))
 
 
