@@ -2,7 +2,8 @@
 
 A source's target is reached by taking each of its documents a whole number of times, the same for all but
 for the first documents of a random order, which are taken once more. Where that order is cut is found by
-sums over ever finer parts of the order, so no source is ever sorted or added up in one task.
+sums over ever finer parts of the order, so no source is ever sorted or added up in one task. In the last part
+documents are taken in the order too, and the last few are those that still fit; so it is for a source of any size.
 
 Documents lie in blocks, and a block is drawn as often as its documents are taken. A tree over the output
 shards splits the draws of all sources: each node gives half of its draws to its left side, and how many of
@@ -88,23 +89,24 @@ def mixing_plan(
     while largest > LEAF << DIGIT * depth and DIGIT * (depth + 1) <= BITS:
         depth += 1
         state = _refined(units, state, depth)
-    extra = _in_part("<") | F.coalesce(F.col("picked"), F.lit(False))
+    extra = _in_part("<") | F.col("place_u").isNotNull()
     picked = _picked(units, state)
     met = _matched(_matched(units, state, ("source",)), picked, UNIT, "left")
     bits = F.greatest(F.floor(F.log2(F.col("n") / BLOCK_DOCS)), F.lit(0)).cast("int")
     met = met.withColumn("extra", extra & (F.col("quota") > 0)).withColumn("bits", bits)
-    met = met.withColumn("block", _right("u", F.lit(BITS) - F.col("bits")))
-    keep = ("source", "doc_id", "source_size", "target", "place", "base", "extra", "bits", "block")
+    met = met.withColumn("place_u", F.coalesce("place_u", "u"))
+    met = met.withColumns({b: _right(u, F.lit(BITS) - F.col("bits")) for b, u in (("block", "u"), ("last_block", "place_u"))})
+    keep = ("source", "doc_id", "source_size", "target", "place", "base", "extra", "bits", "block", "last_block")
     met = staged(met.select(*keep, (F.col("base") + F.col("extra").cast("long")).alias("copies")), "taken")
     draws = met.groupBy("place").agg(
-        (F.max(F.col("base") * _power("bits")) + F.max(F.when(F.col("extra"), F.col("block") + 1).otherwise(0))).alias("draws")
+        (F.max(F.col("base") * _power("bits")) + F.max(F.when(F.col("extra"), F.col("last_block") + 1).otherwise(0))).alias("draws")
     )
     total = state.agg(F.sum("source_size")).first()[0] or 0
     levels = max(0, math.ceil(math.log2(max(total, 1) / shard_words)))
     dealt = staged(_deal(draws, levels), "dealt")
     # Which draw of its source a copy of a document is: whole rounds of all blocks, then the blocks taken once more.
     copy = met.select("*", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy")).where("copies > 0")
-    number = F.least("copy", "base") * _power("bits") + F.col("block")
+    number = F.col("copy") * _power("bits") + F.when(F.col("copy") < F.col("base"), F.col("block")).otherwise(F.col("last_block"))
     copy = copy.join(draws, "place").withColumn("draw", _permuted(number, F.col("draws"), F.col("place")))
     copy = copy.join(dealt, ["place", "draw"])
     shards = copy.groupBy("source", "doc_id").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
@@ -165,24 +167,34 @@ def _refined(units: DataFrame, state: DataFrame, depth: int) -> DataFrame:
 
 
 def _picked(units: DataFrame, state: DataFrame) -> DataFrame:
-    """(source, doc_id, picked): units of the part that is cut that fill its quota, larger ones first."""
+    """(source, doc_id, place_u): units of the part that is cut that fill its quota, in the order.
+
+    One that is longer than what is left is passed over, so sizes decide on the last few alone. Those that are
+    taken when less than a mean unit is left have the place in the order where that began, and so open no block.
+    """
     cut = state.where("quota > 0").select("source", "depth", "prefix", "quota")
-    inside = _matched(units.where("size > 0"), cut, ("source",)).where(_in_part("="))
+    inside = _matched(units, cut, ("source",)).where(_in_part("="))
     # About LEAF units for each source.
     group = inside.groupBy("source").agg(
-        F.sort_array(F.collect_list(F.struct("size", "u", "doc_id")), False).alias("all"), F.first("quota").alias("quota")
+        F.sort_array(F.collect_list(F.struct("u", "size", "doc_id"))).alias("all"), F.first("quota").alias("quota"), F.avg("size").alias("mean")
     )
-    start = F.struct(F.col("quota").alias("left"), F.filter("all", lambda x: F.lit(False)).alias("taken"))
+    begin = F.get("all", 0)
+    none = F.transform(F.filter("all", lambda x: F.lit(False)), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["u"].alias("place_u")))
+    start = F.struct(F.col("quota").alias("left"), begin["u"].alias("end"), none.alias("taken"))
 
     def take(so_far, unit):
-        fits = unit["size"] <= so_far["left"]
+        early = so_far["left"] >= F.col("mean")
+        fits = (unit["size"] <= so_far["left"]) & ((unit["size"] > 0) | early)
+        end = F.when(early, unit["u"]).otherwise(so_far["end"])
+        own = F.struct(unit["doc_id"].alias("doc_id"), F.least(unit["u"], end).alias("place_u"))
         return F.struct(
             F.when(fits, so_far["left"] - unit["size"]).otherwise(so_far["left"]).alias("left"),
-            F.when(fits, F.concat(so_far["taken"], F.array(unit))).otherwise(so_far["taken"]).alias("taken"),
+            end.alias("end"),
+            F.when(fits, F.concat(so_far["taken"], F.array(own))).otherwise(so_far["taken"]).alias("taken"),
         )
 
     taken = group.select("source", F.explode(F.aggregate("all", start, take)["taken"]).alias("x"))
-    return taken.select("source", F.col("x.doc_id").alias("doc_id"), F.lit(True).alias("picked"))
+    return taken.select("source", F.col("x.doc_id").alias("doc_id"), F.col("x.place_u").alias("place_u"))
 
 
 def _permuted(number: Column, draws: Column, place: Column) -> Column:

@@ -58,6 +58,26 @@ def test_words_taken_come_near_the_targets(spark, monkeypatch):
     assert sorted(rows_of(mixing.mixed_sizes(docs.repartition(5)))) == sorted(tuple(r) for r in got)
 
 
+def test_small_sources_are_cut_in_the_random_order(spark):
+    rng = random.Random(6)
+    docs = plain_docs(spark, [(i, "w " * rng.choice([0, 10, 20, 40, 80]), None, "abc"[i % 3]) for i in range(1800)])
+    state = {r["source"]: r for r in mixing.targets(docs.select("source", mixing.n_words("text").alias("size"))).collect()}
+    assert state["c"]["n"] < mixing.LEAF and 0.2 < state["c"]["target"] / state["c"]["source_size"] < 0.5
+    _, plan = mixing.mixing_plan(docs)
+    met = plan.where("source = 'c'").join(docs.select("doc_id", mixing.n_words("text").alias("size")), "doc_id")
+    rows = met.select("size", "copies", "target", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()
+    rows.sort(key=lambda r: r["h"] % (1 << 64))
+    share = sum(r["copies"] for r in rows) / len(rows)
+    for size in (0, 10, 20, 40, 80):
+        own = [r["copies"] for r in rows if r["size"] == size]
+        assert abs(sum(own) / len(own) - share) < 0.15, size
+    taken, target = sum(r["size"] * r["copies"] for r in rows), rows[0]["target"]
+    assert target - 10 <= taken <= target
+    # All but the last few are a prefix of the order.
+    prefix = next(i for i, r in enumerate(rows) if not r["copies"])
+    assert sum(r["copies"] for r in rows[prefix:]) <= 8
+
+
 def test_shards_share_all_draws(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 2)
     docs = plain_docs(spark, made(random.Random(4), 1200))
