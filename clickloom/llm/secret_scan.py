@@ -2,8 +2,8 @@
 
 Base patterns always count. Further candidates (provider keys, signed tokens, key blocks, passwords in
 addresses, strings that look random) are hashed, and the hashes are counted over the whole corpus by distinct
-documents and distinct owners. What many owners hold is a copied example; what is specific to an owner looks
-live and is added.
+documents and distinct owners. What many owners hold is a copied example, and so is what a few owners hold in
+many documents, unless these are near copies of each other; what is specific to an owner looks live and is added.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.llm.simhash import classes, simhash
 from clickloom.llm.text import utf8
 from clickloom.session import discard, staged
 
 # A secret that more owners than this hold is a copied example.
 MOST_OWNERS = 2
+# So is one that more documents than this hold, near copies counted once.
+MOST_DOCS = 8
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -119,11 +122,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     """A row per document: doc_id and ``spans``, an array of (start, kind, end, first, hash, n_docs, n_owners, live).
 
     Spans are in code points, by start, then kind. ``live`` holds for a secret that at most MOST_OWNERS owners
-    have. Null and empty texts have no spans. Repeated rows give repeated rows, and their secrets count once
+    have, in at most MOST_DOCS documents; near copies (the rule of ``simhash``) count as one document there, but
+    not in ``n_docs``. Null and empty texts have no spans. Repeated rows give repeated rows, and their secrets count once
     per distinct id and owner. Other columns aren't read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(owner).alias("owner"), candidates(F.col(text)).alias("spans"))
-    rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "spans")
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(owner).alias("owner"), candidates(F.col(text)).alias("spans"), F.col(text).alias("text"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    rows = staged(rows.select("at", "doc", "owner", "spans", _code("text")), "spans")
     judged = _judged(rows)
     none = F.array().cast("array<struct<start: int, kind: int, end: int, first: int, hash: string, n_docs: bigint, n_owners: bigint, live: boolean>>")
     clean = rows.where(F.size("spans") == 0).select(F.col("doc").alias(doc_id), none.alias("spans"))
@@ -131,14 +136,38 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     return clean.unionByName(held)
 
 
+def _code(text: str) -> Column:
+    """The fingerprint of a text that has spans; the others aren't read for it."""
+    return simhash(F.when(F.size("spans") > 0, F.col(text))).alias("code")
+
+
 def _judged(rows: DataFrame) -> DataFrame:
-    """(at, spans) for the written rows (at, doc, owner, spans) that have any."""
+    """(at, spans) for the written rows (at, doc, owner, spans, code) that have any."""
     found = rows.select("at", "doc", "owner", F.explode("spans").alias("s")).select("at", "doc", "owner", "s.*")
-    met = found.join(ownership(found), "hash")
-    span = F.struct("start", "kind", "end", "first", "hash", "n_docs", "n_owners", (F.col("n_owners") <= MOST_OWNERS).alias("live"))
+    owners = ownership(found)
+    copied = _copied(rows, owners)
+    if copied is not None:
+        owners = owners.join(copied.hint("merge"), "hash", "left")
+    live = (F.col("n_owners") <= MOST_OWNERS) & (F.lit(True) if copied is None else F.col("copied").isNull())
+    met = found.join(owners, "hash")
+    span = F.struct("start", "kind", "end", "first", "hash", "n_docs", "n_owners", live.alias("live"))
     return staged(met.groupBy("at").agg(F.array_sort(F.collect_list(span)).alias("spans")), "judged")
 
 
+def _copied(rows: DataFrame, owners: DataFrame) -> DataFrame | None:
+    """(hash, copied) of secrets that few owners hold in many documents that aren't near copies; None if none has many."""
+    wide = owners.where((F.col("n_owners") <= MOST_OWNERS) & (F.col("n_docs") > MOST_DOCS)).select("hash")
+    if wide.isEmpty():
+        return None
+    held = rows.select("code", F.explode("spans.hash").alias("hash")).distinct()
+    held = staged(held.join(wide, "hash", "left_semi"), "held")
+    groups = classes(held.select("code", F.col("code").alias("doc_id")))
+    counted = held.join(groups.select("code", "root"), "code").groupBy("hash").agg(F.count_distinct("root").alias("n"))
+    out = staged(counted.where(F.col("n") > MOST_DOCS).select("hash", F.lit(True).alias("copied")), "copied")
+    discard(held, groups)
+    return out
+
+
 def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
     """``docs`` with every live secret overwritten by asterisks, one for each character; copied examples stay.
 
@@ -148,8 +177,8 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     rows = rows.withColumn("spans", candidates(F.col(f"row.`{text}`")))
     clean = rows.where(F.size("spans") == 0).select("row.*")
     held = rows.where(F.size("spans") > 0).withColumn("at", F.monotonically_increasing_id())
-    held = staged(held.select("at", F.col(f"row.`{doc_id}`").alias("doc"), F.col(f"row.`{owner}`").alias("owner"), "spans", "row"), "held")
-    judged = _judged(held.select("at", "doc", "owner", "spans"))
+    held = staged(held.select("at", F.col(f"row.`{doc_id}`").alias("doc"), F.col(f"row.`{owner}`").alias("owner"), "spans", "row", _code(f"row.`{text}`")), "held")
+    judged = _judged(held.select("at", "doc", "owner", "spans", "code"))
     live = judged.select("at", F.filter("spans", lambda s: s["live"]).alias("live"))
     out = held.join(live, "at").withColumn("hidden", _mask(F.col(f"row.`{text}`"), F.transform("live", lambda s: F.array(s["first"], s["end"]))))
     columns = [F.col("hidden").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]

@@ -64,3 +64,20 @@ def test_odd_rows(spark):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.masked(empty).count() == 0
     twice = plain_docs(spark, [(None, f"token={SECRET}", None, None)] * 2)
     assert [[(s["n_docs"], s["n_owners"], s["live"]) for s in r["spans"]] for r in secret_scan.scan(twice).collect()] == [[(1, 1, True)]] * 2
+
+
+def test_many_documents_of_one_source_hold_an_example(spark):
+    rng = random.Random(4)
+
+    def prose():
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+
+    page = prose()
+    rows = [(i, f"{prose()} password={COMMON}", "en", "hot") for i in range(30)]
+    rows += [(100 + i, f"{page} password={SECRET} {i}", "en", "hot") for i in range(30)]
+    rows += [(200 + i, f"{prose()} token=Few{SECRET}", "en", "hot") for i in range(3)]
+    docs = plain_docs(spark, rows)
+    found = {r["doc_id"]: r["spans"][0] for r in secret_scan.scan(docs).collect()}
+    assert [(found[i]["n_owners"], found[i]["n_docs"], found[i]["live"]) for i in (0, 100, 200)] == [(1, 30, False), (1, 30, True), (1, 3, True)]
+    hidden = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs).collect()}
+    assert all((COMMON in hidden[i]) and (SECRET not in hidden[100 + i]) for i in range(30))
