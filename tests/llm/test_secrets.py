@@ -81,3 +81,11 @@ def test_many_documents_of_one_source_hold_an_example(spark):
     assert [(found[i]["n_owners"], found[i]["n_docs"], found[i]["live"]) for i in (0, 100, 200)] == [(1, 30, False), (1, 30, True), (1, 3, True)]
     hidden = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs).collect()}
     assert all((COMMON in hidden[i]) and (SECRET not in hidden[100 + i]) for i in range(30))
+
+
+def test_long_secrets_have_spans():
+    rng = random.Random(8)
+    token = "aB3" + "".join(rng.choices("abcdefXYZ0123456789", k=997))
+    assert [(s, k, e) for s, k, e, _ in secret_scan.added_spans(f"see {token} here", [])] == [(4, 7, 1004)]
+    word = "pw-" * 50
+    assert [(k, x) for _, k, _, x in secret_scan.added_spans(f"x://{'u' * 65}:{word}@host", [])] == [(6, word)]
