@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, hot_keys, salted_lookup
+from clickloom.operators.rate_store import RateStore
 from clickloom.session import staged
 
 WINDOWS = (1, 7, 30)
@@ -76,26 +77,19 @@ def attach_rates(
 ) -> DataFrame:
     """Append ``<feature>_rate_<k>`` columns, window by window and then feature by feature.
 
-    The rates are written once and measured per feature. Features are broadcast from the smallest on, as
-    long as all of them together have at most ``max_broadcast_rows`` rows and BROADCAST_BYTES of
-    categories; any other is a shuffle join with its hot categories salted, for which the counts behind
+    The rates are stored by feature, which also tells how large each is. Features are broadcast from the
+    smallest on, as long as all of them together have at most ``max_broadcast_rows`` rows and BROADCAST_BYTES
+    of categories; any other is a shuffle join with its hot categories salted, for which the counts behind
     the rates already tell which categories are hot.
     """
-    stored = staged(rates, "rates")
-    length = F.sum(F.octet_length("value").cast("bigint")).alias("size")
-    sizes = stored.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), length).collect()  # one row per feature
-    small = set(features) - {r["feature"] for r in sizes}
-    rows_left, bytes_left = max_broadcast_rows, BROADCAST_BYTES
-    for r in sorted(sizes, key=lambda r: r["n"]):
-        rows_left, bytes_left = rows_left - r["n"], bytes_left - r["size"]
-        if rows_left >= 0 and bytes_left >= 0:
-            small.add(r["feature"])
+    spark = rows.sparkSession
+    columns = ["value", day, "n", *[f"rate_{k}" for k in windows]]
+    store = RateStore.write(rates.select("feature", *columns), features)
+    small = store.small(max_broadcast_rows, BROADCAST_BYTES)
     keys = ["_value", day]
     joined = rows
     for feature in features:
-        mine = stored.where(F.col("feature") == feature).select(
-            F.col("value").alias("_value"), day, "n", *[F.col(f"rate_{k}").alias(f"{feature}_rate_{k}") for k in windows]
-        )
+        mine = store.of(spark, feature).toDF("_value", day, "n", *[f"{feature}_rate_{k}" for k in windows])
         keyed = joined.withColumn("_value", category_text(feature))
         if feature in small:
             joined = keyed.join(F.broadcast(mine.drop("n")), keys, "left").drop("_value")
@@ -104,3 +98,14 @@ def attach_rates(
             joined = salted_lookup(keyed, mine.drop("n"), keys, [row_id], hot).drop("_value")
     names = [f"{feature}_rate_{k}" for k in windows for feature in features]
     return joined.select(*rows.columns, *names)
+
+
+def with_target_rate(df: DataFrame, keys: list[str], label: Column, row_id: str, out: str = "rate") -> DataFrame:
+    """Row id, keys, target rate and the number of rows behind it, for every row of ``df``.
+
+    ``df`` is read twice: for the rates, which are written once, and for the rows. The written table is the
+    lookup table and tells the hot keys, which are salted.
+    """
+    stored = staged(target_rate(df, keys, label, out), "rates")
+    hot = hot_keys(stored, keys, F.col("n"))
+    return salted_lookup(df.select(row_id, *keys), stored, keys, [row_id], hot).select(row_id, *keys, out, "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import categorical as cat
 from clickloom.functions.clean import is_positive, split_multivalue
 from clickloom.operators import batches, rates, sparse
-from clickloom.operators.lookup import hot_keys, measured_lookup, salted_lookup
+from clickloom.operators.lookup import measured_lookup
 from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table, vector_ids
 
 RATE_SQL = f"""WITH {LOG}, rates AS (SELECT user_id, avg(clk) AS rate, count(*) AS n FROM log GROUP BY user_id)
@@ -16,11 +16,8 @@ RATE_SQL = f"""WITH {LOG}, rates AS (SELECT user_id, avg(clk) AS rate, count(*)
 
 @query("target_rate", RATE_SQL)
 def target_rate(spark, sf_dir):
-    log = impressions(spark, sf_dir)
-    by_user = rates.target_rate(log, ["user_id"], is_positive(F.col("clk")), "user_id_rate")
-    hot = hot_keys(by_user, ["user_id"], F.col("n"))
-    joined = salted_lookup(log.select("event_id", "user_id"), by_user, ["user_id"], ["event_id"], hot)
-    return joined.select("event_id", "user_id", rounded(F.col("user_id_rate")).alias("user_id_rate"), "n")
+    joined = rates.with_target_rate(impressions(spark, sf_dir), ["user_id"], is_positive(F.col("clk")), "event_id", "user_id_rate")
+    return joined.withColumn("user_id_rate", rounded(F.col("user_id_rate")))
 
 
 @query("target_rate_broadcast", RATE_SQL)

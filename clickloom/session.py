@@ -75,15 +75,20 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     or else when the application ends.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = temporary(spark, scratch_path(spark, name))
     df.write.option("compression", "zstd").parquet(path)
-    folder, files = _file_system(spark, path)
-    files.deleteOnExit(folder)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_path = path
     return table
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """The path, whose files are deleted when the application ends."""
+    folder, files = _file_system(spark, path)
+    files.deleteOnExit(folder)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for table in tables:

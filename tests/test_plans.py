@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from clickloom.operators import ftrl, order
+from clickloom.operators import ftrl, order, rates
 from clickloom.session import cut_lineage
 
 PURE = (
@@ -76,3 +76,25 @@ def test_a_batch_reads_only_its_stretch_of_the_placed_rows(spark):
         plan = plan_of(rows.where((F.col("day") == 1) & (F.col(ftrl.BATCH) == 0)))
         pruned = re.search(r"InMemoryTableScan \[[^\]]*\], \[(.*?)\]", plan).group(1)
         assert "day" in pruned and ftrl.BATCH in pruned
+
+
+def test_each_feature_of_the_rates_is_read_once(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = initial(plan_of(entry.queries()["target_rate_multi"](spark, sf_dir)))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert sorted(re.findall(r"feature_number=(\d+)", plan)) == ["0", "1", "2"]
+    assert len(re.findall("FileScan parquet", plan)) == 4  # and the rows
+
+
+def test_rate_join_scans_the_log_twice(spark, sf_dir, no_broadcast):
+    scans = []
+    read = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = read.select("event_id", "user_id", (F.col("event_type") == "click").alias("clk"))
+    aggregate = rates.target_rate(log, ["user_id"], F.col("clk"))
+    scans += re.findall(r"FileScan parquet .*events", initial(plan_of(aggregate)))
+    joined = rates.with_target_rate(log, ["user_id"], F.col("clk"), "event_id")
+    scans += re.findall(r"FileScan parquet .*events", initial(plan_of(joined)))
+    assert len(scans) == 2
+    assert initial(plan_of(joined)).count("FileScan parquet") == 4  # rows, the stored rates, and these twice for their hot keys
