@@ -12,13 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOPOLOGIES = ("simple", "first_dense", "last_dense", "dense", "resnet")
 NORM_EPSILON = 1e-3
-MAX_WEIGHTS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -101,6 +100,16 @@ def forward(network: Network, x: np.ndarray) -> np.ndarray:
     return _connect(network.mode, x, last, apply)
 
 
+def forward_layers(network: Network, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of a plain network without normalisation: each hidden layer's sums, the input and its outputs, and the logits."""
+    act, sums, outputs = _NUMPY_ACTIVATIONS[network.activation], [], [x]
+    for kernel, bias in network.layers:
+        sums.append(outputs[-1] @ kernel + bias)
+        outputs.append(act(sums[-1]))
+    kernel, bias = network.output
+    return sums, outputs, outputs[-1] @ kernel + bias
+
+
 def broadcast_modes(hidden: list, modes) -> list[tuple[list[int], str | list[str]]]:
     """Pair the hidden units of several nets with their modes; a single mode serves all nets."""
     nets = hidden if isinstance(hidden[0], (list, tuple)) else [hidden]
@@ -111,13 +120,21 @@ def broadcast_modes(hidden: list, modes) -> list[tuple[list[int], str | list[str
     return list(zip(nets, per_net, strict=True))
 
 
+class Scorer:
+    """Networks sent to the executors once; called with a batch, it gives their summed logits."""
+
+    def __init__(self, spark: SparkSession, networks: list[Network]):
+        for network in networks:
+            check_mode(network.mode)
+        self.shared = spark.sparkContext.broadcast(networks)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return sum(forward(network, x) for network in self.shared.value)
+
+
 def score_networks(df: DataFrame, networks: list[Network], features: str, keep: list[str], out: str = "logits") -> DataFrame:
     """Add the summed logits of one or more networks to the ``keep`` columns, as an array."""
-    for network in networks:
-        check_mode(network.mode)
-    if sum(n.n_weights for n in networks) > MAX_WEIGHTS:
-        raise ValueError(f"networks above {MAX_WEIGHTS} weights are too large to broadcast")
-    shared = df.sparkSession.sparkContext.broadcast(networks)
+    scorer = Scorer(df.sparkSession, networks)
     source = df.select(*keep, F.col(features).cast(T.ArrayType(T.DoubleType())).alias("_features"))
     schema = T.StructType([df.schema[name] for name in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
@@ -126,7 +143,7 @@ def score_networks(df: DataFrame, networks: list[Network], features: str, keep:
             if not batch.num_rows:
                 continue
             x = batch.column("_features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            logits = sum(forward(network, x) for network in shared.value)
+            logits = scorer(x)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * logits.shape[1])
             column = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(logits).ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in keep], column], [*keep, out])

@@ -165,7 +165,7 @@ def embedding_mean(
     ``table`` has columns ``idx`` and ``vector``.
     """
     pairs = rows.select(row_id, F.explode_outer(ids).alias("idx"))
-    bound = None if max_ids is None else _narrow_rows(max_ids, width)
+    bound = None if max_ids is None else narrow_rows(max_ids, width)
     found = bounded_lookup(pairs, table.select("idx", "vector"), ["idx"], [row_id], bound)
     mean = [F.coalesce(F.avg(F.get("vector", i).cast("double")), F.lit(0.0)) for i in range(width)]
     return found.groupBy(row_id).agg(F.array(*mean).alias(out))
@@ -222,7 +222,7 @@ def deep_input(
         [tables[s.name].select(F.lit(number[s.name]).alias("slot"), "idx", "vector") for s in embedded],
     )
     widest = max(s.width for s in embedded)
-    bound = sum(_narrow_rows(columns[s.name].size, s.width) for s in embedded)
+    bound = sum(narrow_rows(columns[s.name].size, s.width) for s in embedded)
     found = bounded_lookup(pairs, table, ["slot", "idx"], [row_id], bound).repartition(row_id)
     mean = [F.coalesce(F.avg(F.get("vector", i).cast("double")), F.lit(0.0)) for i in range(widest)]
     means = found.groupBy(row_id, "slot").agg(F.array(*mean).alias("mean"))
@@ -239,7 +239,7 @@ def dimension_report(spark, spec: ModelSpec) -> DataFrame:
     return spark.createDataFrame(rows, "column string, wide_width bigint, deep_width bigint")
 
 
-def _narrow_rows(ids: int, width: int) -> int:
+def narrow_rows(ids: int, width: int) -> int:
     """Size of an embedding table, counted in rows of two numbers."""
     return ids * max(1, width // 2)
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.heads import binary_class, binary_probabilities, joint_logit
 from clickloom.functions.numeric import sigmoid
 from clickloom.operators import ftrl
-from clickloom.operators.networks import Network, score_networks
-from clickloom.operators.sparse import deep_input, with_wide_ids
+from clickloom.operators.networks import Network
+from clickloom.operators.tagged import branch_logits
 from clickloom.sinks.models import load_model
 from clickloom.spec import ModelSpec
 
@@ -43,22 +41,19 @@ def joint_logits(
     """Logit per row from raw features: sparse weights, networks on the dense input, and image logits.
 
     ``state`` is the sparse model, ``tables`` the embedding tables of the networks and ``image`` a table
-    (row id, image logit). Only what ``model_type`` uses is computed.
+    (row id, image logit). Only what ``model_type`` uses is computed, from one read of the rows.
     """
-    logits = {}
-    if model_type != "deep" and state is not None:
-        ids = with_wide_ids(rows, spec, method, "_ids").select(row_id, F.lit(None).cast("int").alias("label"), "_ids")
-        data = ftrl.examples(ids, row_id, F.col("label"), F.col("_ids"))
-        wide = ftrl.score(data, state, spec.wide_dimension + 1, [])
-        logits["wide"] = wide.select(F.col("id").alias(row_id), F.col("logit").alias("wide"))
-    if model_type != "wide" and networks:
-        dense = deep_input(rows, spec, row_id, tables or {}, method)
-        scored = score_networks(dense, networks, "deep", [row_id])
-        logits["deep"] = scored.select(row_id, F.get("logits", 0).alias("deep"))
+    weights = state if model_type != "deep" else None
+    nets = list(networks or []) if model_type != "wide" else []
+    if weights is None and not nets:
+        logits = rows.select(row_id, *(F.lit(None).cast("double").alias(n) for n in ("wide", "deep")))
+    else:
+        logits = branch_logits(rows, spec, row_id, weights, nets, tables or {}, [ftrl.BIAS], method)
+    parts = {"wide": F.col("wide"), "deep": F.col("deep")}
     if image is not None:
-        logits["image"] = image.toDF(row_id, "image")
-    joined = reduce(lambda a, b: a.join(b, row_id, "left"), logits.values(), rows.select(row_id))
-    return joined.select(row_id, joint_logit(model_type, **{n: F.col(n) for n in logits}).alias("logit"))
+        logits = logits.join(image.toDF(row_id, "image"), row_id, "left")
+        parts["image"] = F.col("image")
+    return logits.select(row_id, joint_logit(model_type, **parts).alias("logit"))
 
 
 def score_version(data: DataFrame, base: str, version: int | None = None, max_ids: int | None = None) -> DataFrame:

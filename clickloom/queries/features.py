@@ -195,15 +195,19 @@ def part_spec(n_vectors: int) -> ModelSpec:
     SELECT p_partkey, CAST(pos AS INTEGER) AS pos, round(v, 9) + 0.0 AS value FROM dense""",
 )
 def deep_input(spark, sf_dir):
+    exploded = part_dense(spark, sf_dir).select("p_partkey", F.posexplode("deep").alias("pos", "v"))
+    return exploded.select("p_partkey", "pos", rounded(F.col("v")).alias("value"))
+
+
+def part_dense(spark, sf_dir):
+    """The dense input of every part."""
     parts = table(spark, sf_dir, "part").withColumn("p_name", F.translate("p_name", " ", ","))
     spec = part_spec(vector_ids(spark, sf_dir))
     width = spec.deep_slots()[-1].width
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("idx"), F.slice("embedding", 1, width).alias("vector")
     )
-    dense = sparse.deep_input(parts, spec, "p_partkey", {"p_name": vectors}, "md5")
-    exploded = dense.select("p_partkey", F.posexplode("deep").alias("pos", "v"))
-    return exploded.select("p_partkey", "pos", rounded(F.col("v")).alias("value"))
+    return sparse.deep_input(parts, spec, "p_partkey", {"p_name": vectors}, "md5")
 
 
 @query("wide_input", f"WITH {LOG}, {EVENT_IDS} SELECT event_id, idx, CAST(count(*) AS DOUBLE) AS value FROM ids GROUP BY event_id, idx")

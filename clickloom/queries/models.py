@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from clickloom.functions import heads
 from clickloom.functions.clean import class_weight
 from clickloom.functions.numeric import sigmoid
-from clickloom.operators import ftrl, metrics, networks, solver, sparse
+from clickloom.operators import deep_training, ftrl, metrics, networks, solver, sparse
 from clickloom.plans import scoring, training
-from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table
-from clickloom.session import scratch_path
+from clickloom.queries.base import EVENT_IDS, EVENT_SPEC, LOG, impressions, md5_sql, query, rounded, table, vector_ids
+from clickloom.queries.features import part_dense, part_spec
+from clickloom.session import scratch_path, staged
 from clickloom.sinks.models import export_model
 
 # --- sparse linear model -------------------------------------------------------------------------
@@ -422,6 +423,34 @@ def deep_train(spark, sf_dir):
     return model.transform(data).select("vec_id", F.col("label").cast("int"), F.col("prediction").cast("int").alias("class_id"))
 
 
+SMALL_PART = 20
+
+
+@query("deep_fit", "SELECT count(*) AS n_rows, true AS loss_falls, true AS beats_prior, true AS beats_majority FROM part")
+def deep_fit(spark, sf_dir):
+    """Train the plain topology on the spec's dense input of parts: does the loss fall, and does it beat constants?
+
+    Small parts are asked for, and weigh twice as much as others in the loss.
+    """
+    dense = part_dense(spark, sf_dir)
+    label = (F.col("p_size") < SMALL_PART).cast("double")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"))
+    data = dense.withColumnRenamed("p_partkey", "id").join(parts, "id").select("id", "label", class_weight(F.col("label"), 2.0, 1.0).alias("weight"), F.col("deep").alias("features"))
+    data = staged(data, "dense")
+    width = part_spec(vector_ids(spark, sf_dir)).deep_dimension
+    trained = deep_training.fit(data, deep_training.start(width, [16, 8], seed=7), epochs=8, batches=2, opt=deep_training.Adagrad(0.2))
+    scored = networks.score_networks(data, [trained.network], "features", ["id", "label", "weight"])
+    z = F.get("logits", 0)
+    share = F.sum(F.col("weight") * F.col("label")) / F.sum("weight")
+    prior = -(share * F.log(share) + (1 - share) * F.log(1 - share))
+    loss = F.sum(heads.log_loss(z, F.col("label"), F.col("weight"))) / F.sum("weight")
+    right = F.avg(((z > 0) == (F.col("label") == 1)).cast("double"))
+    majority = F.greatest(F.avg("label"), 1 - F.avg("label"))
+    told = scored.agg(F.count(F.lit(1)).alias("n_rows"), (loss < prior).alias("beats_prior"), (right > majority).alias("beats_majority"))
+    falls = trained.losses[-1] < trained.losses[0]
+    return told.select("n_rows", F.lit(falls).alias("loss_falls"), "beats_prior", "beats_majority")
+
+
 # --- heads ---------------------------------------------------------------------------------------
 
 # Three logits per line item; the deep one is missing for some rows, the image one for most.

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.operators.networks import MAX_WEIGHTS, Network
+from clickloom.operators.networks import Network
 from clickloom.spec import ModelSpec
 
 NETWORK_SCHEMA = "layer int, input int, unit int, value double"

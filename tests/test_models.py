@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions.numeric import ACTIVATIONS, activation
-from clickloom.operators import ftrl, metrics, networks
+from clickloom.operators import ftrl, lookup, metrics, networks, sparse
 from clickloom.plans import scoring, training
 from clickloom.sinks.models import export_model, load_model, network_from_table, network_table
-from clickloom.spec import Continuous, Cross, HashBucket, ModelSpec
+from clickloom.spec import Continuous, Cross, HashBucket, Identity, ModelSpec, Vocab
 
 
 def relu(x):
@@ -258,6 +258,32 @@ def test_joint_logits_add_what_the_model_type_uses(spark):
     np.testing.assert_allclose(logits("wide", state=state, networks=nets, tables=tables), wide)
 
 
+def test_joint_logits_like_its_parts(spark, monkeypatch):
+    """One pass gives what the dense input, the networks and the sparse model give on their own, with any lookup."""
+    spec = ModelSpec(
+        ("clk", "u", "os", "h", "age"),
+        (HashBucket("u", 30), Vocab("os", ("x", "y")), Identity("h", 4), Continuous("age", "standard", (1.0, 2.0), (3.0,))),
+        (Cross(("u", "age"), 64), Cross(("os", "h"), 16, deep=False)),
+    )
+    rows = [(0, "a", "x", 1, 1.0), (1, "a,b,a", "y,x,x", 9, None), (2, None, None, None, None), (3, "", "z", 3, -2.0), (None, "b", "x", 0, 5.0)]
+    rows = spark.createDataFrame(rows, "id long, u string, os string, h int, age double")
+    state = spark.range(-1, spec.wide_dimension).select(F.col("id").alias("idx"), F.lit(0.0).alias("z"), F.lit(0.1).alias("n"), (F.col("id") % 5 / 4.0).alias("w"))
+    tables = {
+        s.name: spark.range(0, 64, 2).select(F.col("id").alias("idx"), F.array(*[F.col("id") * (d + 1) / 9.0 for d in range(s.width)]).alias("vector"))
+        for s in spec.deep_slots()
+        if s.how == "embedding"
+    }
+    nets = [random_network("dense", [4, 3], spec.deep_dimension), random_network("simple", [2], spec.deep_dimension)]
+    dense = sparse.deep_input(rows, spec, "id", tables, "md5")
+    deep = {r["id"]: r["logits"][0] for r in networks.score_networks(dense, nets, "deep", ["id"]).collect()}
+    ids = ftrl.examples(sparse.with_wide_ids(rows, spec, "md5"), "id", F.lit(0), F.col("ids"))
+    wide = {r["id"]: r["logit"] for r in ftrl.score(ids, state, 1000, []).collect()}
+    for bound in (2_000_000, 0):
+        monkeypatch.setattr(lookup, "BROADCAST_ROWS", bound)
+        got = {r["id"]: r["logit"] for r in scoring.joint_logits(rows, spec, "id", "joint", state, nets, tables, "md5").collect()}
+        assert set(got) == set(wide) and all(got[i] == pytest.approx(wide[i] + deep[i]) for i in (0, 1, 2, 3))
+
+
 # --- metrics --------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from clickloom.operators import ftrl, order, rates
+from clickloom.operators import deep_training, ftrl, order, rates
+from clickloom.plans import scoring
 from clickloom.session import cut_lineage
+from clickloom.spec import Continuous, Cross, HashBucket, ModelSpec
 
 PURE = (
     "target_rate target_rate_windows downsample class_balance bucket_size_advice hash_collisions cross_size_advice "
@@ -98,3 +100,15 @@ def test_rate_join_scans_the_log_twice(spark, sf_dir, no_broadcast):
     scans += re.findall(r"FileScan parquet .*events", initial(plan_of(joined)))
     assert len(scans) == 2
     assert initial(plan_of(joined)).count("FileScan parquet") == 4  # rows, the stored rates, and these twice for their hot keys
+
+
+def test_joint_logits_read_the_rows_once(spark, no_broadcast):
+    spec = ModelSpec(("clk", "u", "age"), (HashBucket("u", 30), Continuous("age", "min_max", (0.0, 10.0), (3.0, 6.0))), (Cross(("u", "age"), 64),))
+    log = spark.createDataFrame([(0, "a", 1.0)], "id long, u string, age double").repartition(2)
+    state = spark.createDataFrame([(1, 0.0, 0.1, 0.5)], ftrl.STATE_SCHEMA)
+    tables = {s.name: spark.range(5).select(F.col("id").alias("idx"), F.array(*[F.lit(0.5)] * s.width).alias("vector")) for s in spec.deep_slots() if s.how == "embedding"}
+    nets = [deep_training.start(spec.deep_dimension, [3])]
+    plan = initial(plan_of(scoring.joint_logits(log, spec, "id", "joint", state, nets, tables, "md5")))
+    assert plan.count("Exchange RoundRobinPartitioning") == 1 and plan.count("SortMergeJoin") == 0
+    assert len(re.findall(r"Exchange hashpartitioning\(id", plan)) == 1  # the lookup table is proven small
+    assert plan.count("Exchange hashpartitioning") == 1
