@@ -33,35 +33,74 @@ def _rows(height) -> Column:
     return F.sequence(F.lit(0), _int(height) - 1)
 
 
+@F.arrow_udf(T.BinaryType())
+def _packed(images: pa.Array) -> pa.Array:
+    lengths, flat = _flat(images)
+    if flat.null_count:
+        raise ValueError("a pixel is null")
+    values = flat.to_numpy(zero_copy_only=False)
+    if len(values) and not (0 <= values.min() and values.max() <= 255):
+        raise ValueError("a pixel is outside 0 to 255")
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32).tobytes())
+    bits = pa.py_buffer(np.packbits(images.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(images), [bits, offsets, pa.py_buffer(values.astype(np.uint8).tobytes())])
+
+
+def _flat(images: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Pixels per image, none for a null, and all pixels in a row."""
+    return pc.fill_null(pc.list_value_length(images), 0).to_numpy(zero_copy_only=False), images.flatten()
+
+
 def bytes_of(pixels: Column) -> Column:
-    """Pixels 0..255 packed into one binary value."""
-    return F.unhex(F.array_join(F.transform(pixels, lambda p: F.lpad(F.hex(p.cast("bigint")), 2, "0")), ""))
+    """Pixels 0..255 packed into one binary value per image, whole Arrow buffers at a time; null stays null.
+
+    A null pixel, or one outside that range, is an error.
+    """
+    return _packed(pixels.cast(T.ArrayType(T.LongType())))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _unpacked(values: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    data = values.buffers()[2]
+    begin = np.frombuffer(values.buffers()[1], np.int32)[values.offset] if len(values) else 0
+    pixels = np.frombuffer(data, np.uint8, int(offsets[-1]), int(begin)) if data is not None and offsets[-1] else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(pixels.astype(np.int32)), mask=values.is_null())
 
 
 def pixels_of(data: Column) -> Column:
     """The unsigned bytes of a binary value as an array of integers, decoded per Arrow batch; null stays null."""
+    return _unpacked(data)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def decode(values: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        joined = b"".join(value for value in values.to_pylist() if value is not None)
-        pixels = pa.array(np.frombuffer(joined, np.uint8).astype(np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets), pixels, mask=values.is_null())
 
-    return decode(data)
+def chw_to_hwc(pixels: Column, height, width, channels: int, element: str = "int") -> Column:
+    """Reorder depth-major pixels so that the channels of a pixel are adjacent.
 
+    Whole Arrow batches are moved by their positions, one pattern for each size of image, so heights and widths may
+    differ from row to row and null pixels are kept. Positions that an image lacks are null; a null image stays
+    null, as does one without a size. ``element`` is the type of a pixel.
+    """
 
-def chw_to_hwc(pixels: Column, height, width, channels: int) -> Column:
-    """Reorder depth-major pixels so that the channels of a pixel are adjacent."""
-    plane = _int(height) * _int(width)
-    positions = F.sequence(F.lit(0), plane * channels - 1)
-    return let(
-        pixels,
-        lambda image: F.transform(
-            positions, lambda k: F.get(image, (k % channels) * plane + F.floor(k / channels).cast("int"))
-        ),
-    )
+    @F.arrow_udf(f"array<{element}>")
+    def move(images: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Array:
+        lengths, flat = _flat(images)
+        begins = np.cumsum(lengths) - lengths
+        known = images.is_valid().to_numpy(zero_copy_only=False) & heights.is_valid().to_numpy(zero_copy_only=False) & widths.is_valid().to_numpy(zero_copy_only=False)
+        planes = np.where(known, pc.fill_null(pc.multiply(heights, widths), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        sizes = planes * channels
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        taken = np.empty(int(starts[-1]), dtype=np.int64)
+        for plane in np.unique(planes[planes > 0]):
+            mine = np.flatnonzero(planes == plane)
+            k = np.arange(plane * channels)
+            place = (k % channels) * plane + k // channels
+            at = np.where(place[None] < lengths[mine][:, None], begins[mine][:, None] + place[None], -1)
+            taken[starts[mine][:, None] + k[None]] = at
+        moved = flat.take(pa.array(taken, mask=taken < 0))
+        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), moved, mask=pa.array(~known))
+
+    return move(pixels.cast(f"array<{element}>"), _int(height), _int(width))
 
 
 def crop(pixels: Column, width, channels: int, top, left, new_height, new_width) -> Column:

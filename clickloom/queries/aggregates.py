@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.clean import is_positive, split_multivalue
-from clickloom.operators import batches, order, profile, rates, sampling
+from clickloom.operators import batches, order, profile, rates, sampling, sketches
 from clickloom.plans.prepare import Preparation, prepare
 from clickloom.queries.base import LOG, impressions, md5_sql, query, rounded, table
+from clickloom.session import scratch_path
+
 
 def click():
     return is_positive(F.col("clk"))
@@ -109,9 +114,16 @@ def downsample(spark, sf_dir):
     return sampling.downsample(impressions(spark, sf_dir), "clk", "event_id", KEEP).select("event_id", "clk")
 
 
-@query("downsample_rand")
+@query(
+    "downsample_rand",
+    f"""WITH {LOG}, ranked AS (
+      SELECT event_id, clk, row_number() OVER (PARTITION BY clk ORDER BY {md5_sql("'0:' || event_id")}, event_id) AS place,
+             count(*) OVER (PARTITION BY clk) AS n FROM log)
+    SELECT event_id, clk FROM ranked WHERE clk = 1 OR place <= round(n * {KEEP}::DOUBLE)""",
+)
 def downsample_rand(spark, sf_dir):
-    return sampling.downsample_random(impressions(spark, sf_dir).select("event_id", "clk"), "clk", KEEP, seed=0)
+    """All clicks and a random sample of the other rows with an exact size."""
+    return sampling.downsample_exact(impressions(spark, sf_dir).select("event_id", "clk"), "clk", "event_id", KEEP, seed=0)
 
 
 @query(
@@ -234,3 +246,30 @@ def zero_fraction(spark, sf_dir):
 )
 def value_histogram(spark, sf_dir):
     return profile.value_histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 5000, 100000, 19)
+
+
+SKETCHED = ("user_id", "k", "event_id")
+# Four standard errors of the sketches.
+NEAR = 4 * 1.04 / 2 ** (sketches.REGISTERS / 2)
+SPANS = (("whole", None, None), ("first_week", "2024-01-01", "2024-01-07"), ("one_day", "2024-01-03", "2024-01-03"))
+
+
+def _span_sql(name, first, last) -> str:
+    days = "true" if first is None else f"day BETWEEN DATE '{first}' AND DATE '{last}'"
+    return " UNION ALL ".join(f"SELECT '{name}' AS span, '{f}' AS feature, count(DISTINCT {f}) AS n_exact, count({f}) AS n_rows, true AS near FROM log WHERE {days}" for f in SKETCHED)
+
+
+@query("distinct_sketches", f"WITH {LOG} {' UNION ALL '.join(_span_sql(*s) for s in SPANS)}")
+def distinct_sketches(spark, sf_dir):
+    """Distinct counts of several spans of days from sketches stored by day, next to the exact ones."""
+    log, path = impressions(spark, sf_dir), scratch_path(spark, "sketches")
+    sketches.store(sketches.daily_sketches(log, list(SKETCHED), F.col("day")), path)
+    kept = sketches.stored(spark, path)
+    parts = []
+    for name, first, last in SPANS:
+        days = log if first is None else log.where(F.col("day").between(first, last))
+        exact = profile.distinct_values(days, list(SKETCHED)).groupBy("feature").agg(F.count(F.lit(1)).alias("n_exact"))
+        estimated = sketches.distinct_counts(kept, first, last)
+        near = F.abs(F.col("n_values") - F.col("n_exact")) <= F.lit(NEAR) * F.col("n_exact")
+        parts.append(exact.join(estimated, "feature", "left").select(F.lit(name).alias("span"), "feature", "n_exact", F.col("n").alias("n_rows"), near.alias("near")))
+    return reduce(DataFrame.unionByName, parts)

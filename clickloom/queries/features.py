@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import categorical as cat
 from clickloom.functions.clean import split_multivalue
 from clickloom.functions.numeric import ACTIVATIONS, activation, embedding_width, scale
-from clickloom.operators import profile, sparse
+from clickloom.operators import profile, sparse, vocabulary
 from clickloom.queries.base import (
     EVENT_IDS,
     EVENT_SPEC,
@@ -52,6 +52,25 @@ def vocab_id(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", cat.vocab_id(F.col("p_type"), PART_TYPES).alias("type_id"))
 
 
+@query(
+    "vocab_table",
+    """WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS words, [p_type] AS types FROM part),
+    v AS (SELECT list_sort(list_distinct(flatten(list(words)))) AS names, list_sort(list_distinct(list(types[1]))) AS kinds FROM t),
+    ids AS (
+      SELECT p_partkey, 'name' AS feature, unnest(range(len(words))) AS pos, unnest(list_transform(words, lambda w: list_position(names, w) - 1)) AS id FROM t, v
+      UNION ALL SELECT p_partkey, 'type', 0, list_position(kinds, types[1]) - 1 FROM t, v)
+    SELECT p_partkey, feature, CAST(pos AS INTEGER) AS pos, CAST(id AS BIGINT) AS id FROM ids""",
+)
+def vocab_table(spark, sf_dir):
+    """Ids of all words of names and of all types, from one dictionary table that is built from the parts."""
+    parts = table(spark, sf_dir, "part")
+    tokens = {"name": split_multivalue(F.col("p_name"), " "), "type": F.array("p_type")}
+    dictionary = vocabulary.build(parts, tokens)
+    ids = vocabulary.with_vocabulary_ids(parts, "p_partkey", tokens, dictionary)
+    long = [ids.select("p_partkey", F.lit(f).alias("feature"), F.posexplode(f).alias("pos", "id")) for f in tokens]
+    return long[0].unionByName(long[1])
+
+
 @query(
     "identity_id",
     "SELECT p_partkey, CAST(CASE WHEN p_size BETWEEN 0 AND 39 THEN p_size ELSE 0 END AS BIGINT) AS size_id FROM part",

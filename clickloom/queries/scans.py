@@ -128,6 +128,21 @@ def date_range(spark, sf_dir):
     return dates_between(limits, "lo", "hi").select(day_text(F.col("day")).alias("day"))
 
 
+@query(
+    "default_days",
+    """WITH t AS (SELECT max(CAST(ts AS DATE)) AS today FROM events)
+    SELECT 'prepare' AS job, strftime(today, '%Y%m%d') AS dt, count(*) AS n_rows FROM t JOIN events ON CAST(ts AS DATE) = today GROUP BY ALL
+    UNION ALL SELECT 'load', strftime(today - INTERVAL 1 DAY, '%Y%m%d'), count(*) FROM t JOIN events ON CAST(ts AS DATE) = today - INTERVAL 1 DAY GROUP BY ALL""",
+)
+def default_days(spark, sf_dir):
+    """Rows of the days that jobs take when none is named: today to prepare, yesterday to load; the last day counts as today."""
+    log = impressions(spark, sf_dir)
+    today = log.agg(F.max("day")).first()[0]
+    jobs = [("prepare", d) for d in logs.run_days(today=today)] + [("load", logs.load_day(today=today))]
+    wanted = spark.createDataFrame(jobs, "job string, dt string")
+    return log.join(F.broadcast(wanted), "dt").groupBy("job", "dt").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "missing_days",
     """WITH have AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),

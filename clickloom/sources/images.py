@@ -16,9 +16,16 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fixed_records(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """Records of ``length`` bytes each, split across tasks within a file."""
-    records = spark.sparkContext.binaryRecords(path, length)
-    return spark.createDataFrame(records.map(lambda record: (record,)), RECORD)
+    """Records of ``length`` bytes each, as a table with the binary column ``image``.
+
+    Files are split between tasks at record boundaries, and records go from the file system's reader straight
+    into rows, without Python. A file whose size isn't a multiple of ``length`` is an error, an empty one has no records.
+    """
+    if length <= 0:
+        raise ValueError("a record needs at least one byte")
+    records = spark.sparkContext._jsc.sc().binaryRecords(path, length, spark.sparkContext._jsc.hadoopConfiguration())
+    rows = spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY())
+    return DataFrame(rows.toDF(), spark).toDF(*RECORD.names)
 
 
 def write_image_table(df: DataFrame, path: str) -> None:

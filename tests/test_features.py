@@ -293,12 +293,49 @@ def test_cross_size_advice_tells_combinations_apart(spark):
     assert (row["cross"], row["n_values"], row["product_size"], row["double_size"]) == ("x&y", 2, 4, 4)
 
 
-def test_random_sample_keeps_labels_other_than_one(spark):
-    df = spark.createDataFrame([(0,), (1,), (2,), (None,)] * 3, "y int")
-    assert sampling.downsample_random(df, "y", 1.0).count() == 12
-    assert {r["y"] for r in sampling.downsample_random(df, "y", 0.0).collect()} == {1}
+def test_exact_sample_keeps_labels_other_than_one(spark):
+    df = spark.createDataFrame([(i, y) for i, y in enumerate([0, 1, 2, None] * 3)], "id long, y int")
+    assert sampling.downsample_exact(df, "y", "id", 1.0).count() == 12
+    assert {r["y"] for r in sampling.downsample_exact(df, "y", "id", 0.0).collect()} == {1}
+    assert sampling.downsample_exact(df, "y", "id", 0.5).count() == 3 + 5  # of the other nine rows
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_smallest_hashes_of_each_stratum(spark, monkeypatch, bits):
+    monkeypatch.setattr(sampling, "SLICE_BITS", bits)
+    rows = [(i, None if i % 10 == 0 else "hot" if i % 3 else f"g{i % 7}", "x") for i in range(900)] + [(5, "hot", "twin")]
+    df = spark.createDataFrame(rows, "id long, g string, n string")
+    draw = lambda i: int(hashlib.md5(f"4:{i}".encode()).hexdigest()[:15], 16)
+    want = []
+    for g in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (draw(r[0]), r[0]))
+        want += mine[: {None: 1000, "hot": 40}.get(g, 5)]
+    size = F.when(F.col("g").isNull(), 1000).when(F.col("g") == "hot", 40).otherwise(5)
+    for parts in (1, 5):
+        got = [tuple(r) for r in sampling.bottom_k(df.drop("n").withColumn("x", F.lit("x")).repartition(parts), ["g"], "id", size, 4).collect()]
+        assert sorted(got, key=str) == sorted(((r[0], r[1], "x") for r in want), key=str)
+    assert sampling.bottom_k(df.where("false"), ["g"], "id", size).collect() == []
 
 
 def test_null_images_stay_null(spark):
     df = spark.createDataFrame([(bytes([1, 255]),), (None,), (b"",)], "image binary")
-    assert [r[0] for r in df.select(im.pixels_of(F.col("image"))).collect()] == [[1, 255], None, []]
+    unpacked = df.coalesce(1).select(im.pixels_of(F.col("image")).alias("p"))
+    assert [r[0] for r in unpacked.collect()] == [[1, 255], None, []]
+    assert [r[0] and bytes(r[0]) for r in unpacked.select(im.bytes_of(F.col("p"))).collect()] == [bytes([1, 255]), None, b""]
+
+
+def test_images_of_mixed_shapes_move_together(spark):
+    rows = [(0, [1, 2, 3, 4, 5, 6, 7, 8], 2, 2), (1, [9, None, 11, 12], 1, 2), (2, None, 1, 1), (3, [1, 2], None, 1), (4, [1, 2, 3], 1, 2), (5, [], 0, 5), (6, [1, 2, 3, 4, 5, 6, 7, 8], 4, 1)]
+    df = spark.createDataFrame(rows, "row_id long, p array<int>, h int, w int").coalesce(1)
+    moved = df.select("row_id", im.chw_to_hwc(F.col("p"), F.col("h"), F.col("w"), 2).alias("p"))
+    want = [[1, 5, 2, 6, 3, 7, 4, 8], [9, 11, None, 12], None, None, [1, 3, 2, None], [], [1, 5, 2, 6, 3, 7, 4, 8]]
+    assert arrays(moved, "p") == want
+    assert arrays(moved.where("row_id <> 0").limit(3), "p") == want[1:4]
+    floats = df.select("row_id", im.chw_to_hwc(F.transform("p", lambda x: x / 2), F.col("h"), F.col("w"), 2, "double").alias("p"))
+    assert arrays(floats, "p")[0] == [0.5, 2.5, 1.0, 3.0, 1.5, 3.5, 2.0, 4.0]
+
+
+def test_pixels_that_are_no_bytes_are_refused(spark):
+    for bad in ([256], [-1], [None]):
+        with pytest.raises(Exception, match="pixel"):
+            spark.createDataFrame([(bad,)], "p array<int>").select(im.bytes_of(F.col("p"))).collect()
