@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.components import components
+from clickloom.llm.contraction import components
 from clickloom.llm.text import SPACED, pieces_of_words, sample_below, utf8
 from clickloom.llm.vptree import Forest, VantageTree, join_near
 from clickloom.session import discard, shuffle_partitions, staged
@@ -146,11 +146,11 @@ def classes(signed: DataFrame, reach: int = REACH) -> DataFrame:
     labels = components(near_links(codes, reach))
     named = labels.unionByName(labels.select("root", F.col("root").alias("node")).distinct())
     members = staged(named.join(codes, named["node"] == codes["code"]).select("code", "root", "own"), "members")
-    heads = staged(members.groupBy("root").agg(F.min("own").alias("head")), "heads")
+    heads = members.groupBy("root").agg(F.min("own").alias("head"))
     linked = members.join(heads, "root").select("code", "root", "head")
     out = codes.join(linked, "code", "left")
     out = staged(out.select("code", F.coalesce("root", "code").alias("root"), F.coalesce("head", "own").alias("head")), "classes")
-    discard(codes, labels, members, heads)
+    discard(codes, labels, members)
     return out
 
 
