@@ -119,25 +119,33 @@ class Benchmark:
             yield size, spans.tolist(), items, int(longest[i])
 
     def _occurrences(self, shard: Shard):
-        """How far a match goes at each place of the shard, and (place, suffix) of all windows that occur."""
-        depth = np.zeros(len(shard.words), dtype=np.int64)
+        """How far a match goes at each place of the shard, and (place, suffix) of all windows that occur.
+
+        A suffix is narrowed for the words of its window alone. Matches of more words are windows that follow each
+        other in both texts, so each one's length is what is left of its row of windows.
+        """
         alive = np.arange(len(self.starts))
         lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), len(shard.words))
         places, suffixes, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         while len(alive):
             lo, hi = shard.narrow(lo, hi, step, self.words[self.starts[alive] + step])
             step += 1
-            full = (self.needs[alive] <= step) & (lo < hi)
-            if full.any():
-                row, at = expand(lo[full], hi[full])
-                np.maximum.at(depth, shard.order[at], step)
-                new = (self.needs[alive[full]] == step)[row]
-                places.append(shard.order[at[new]])
-                suffixes.append(alive[full][row[new]])
-            # A separator follows a benchmark text; a match can't go on there.
-            on = (lo < hi) & (self.words[self.starts[alive] + step] != 0)
+            full = self.needs[alive] == step
+            row, at = expand(lo[full], hi[full])
+            places.append(shard.order[at])
+            suffixes.append(alive[full][row])
+            on = (lo < hi) & ~full
             alive, lo, hi = alive[on], lo[on], hi[on]
-        return depth, (np.concatenate(places), np.concatenate(suffixes))
+        where, which = np.concatenate(places), np.concatenate(suffixes)
+        depth = np.zeros(len(shard.words), dtype=np.int64)
+        if len(where):
+            apart = where - self.starts[which]
+            order = np.lexsort((where, apart))
+            sorted_, row = where[order], apart[order]
+            last = np.flatnonzero(np.append((row[1:] != row[:-1]) | (sorted_[1:] != sorted_[:-1] + 1), True))
+            end = sorted_[last[np.searchsorted(last, np.arange(len(order)))]]
+            np.maximum.at(depth, sorted_, self.needs[which[order]] + end - sorted_)
+        return depth, (where, which)
 
 
 def _long_runs(flat: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -67,7 +68,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def added_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Candidates of the further formats that don't overlap a span listed before them."""
-    taken, out = list(base), []
+    starts, ends = _joined(base)
+    out = []
     for kind, (name, pattern) in enumerate(ADDED.items(), 3):
         if not any(n in text for n in NEEDED[name]):
             continue
@@ -77,12 +79,26 @@ def added_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
             secret = m.group(group)
             if name == "random" and not _looks_random(secret):
                 continue
-            if all(end <= s or e <= start for s, _, e, _ in taken):
-                taken.append((start, kind, end, secret))
-                out.append(taken[-1])
+            at = bisect_right(ends, start)  # the first taken range that ends after this start
+            if at == len(starts) or end <= starts[at]:
+                starts.insert(at, start)
+                ends.insert(at, end)
+                out.append((start, kind, end, secret))
     return out
 
 
+def _joined(spans: list[tuple[int, int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges that spans, given in order, cover."""
+    starts, ends = [], []
+    for start, _, end, _ in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def _looks_random(secret: str) -> bool:
     """Lower and upper case and digits, with a high entropy of characters."""
     if not (re.search("[a-z]", secret) and re.search("[A-Z]", secret) and re.search("[0-9]", secret)):
@@ -189,9 +205,11 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
 def _mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, ranges in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        for start, end in ranges:
-            text = text[:start] + "*" * (end - start) + text[end:]
-        out.append(text)
+        pieces, done = [], 0
+        for start, end in sorted(ranges):
+            pieces += [text[done:start], "*" * (end - max(start, done))]
+            done = max(done, end)
+        out.append("".join([*pieces, text[done:]]))
     return pa.array(out, pa.string())
 
 
