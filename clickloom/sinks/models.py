@@ -6,13 +6,14 @@ import json
 from dataclasses import asdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators.networks import Network
 from clickloom.spec import ModelSpec
 
-NETWORK_SCHEMA = "layer int, input int, unit int, value double"
+NETWORK_SCHEMA = "layer int, input int, units array<double>"
 
 
 def export_model(state: DataFrame, base: str, version: int, spec: ModelSpec | None = None) -> str:
@@ -54,25 +55,39 @@ def feature_spec_rows(spec: ModelSpec) -> list[tuple[str, str, str]]:
 
 
 def network_table(spark: SparkSession, network: Network) -> DataFrame:
-    """Kernels and biases as rows (layer, input, unit, value); input -1 is the bias."""
-    rows = []
+    """A row per layer and input with the weights to all units; input -1 is the bias.
+
+    The network's own arrays go to Spark as Arrow columns, without an object for each weight.
+    """
+    layers, inputs, units, sizes = [], [], [], []
     for layer, (kernel, bias) in enumerate([*network.layers, network.output]):
-        rows += [(layer, i, j, float(kernel[i, j])) for i in range(kernel.shape[0]) for j in range(kernel.shape[1])]
-        rows += [(layer, -1, j, float(bias[j])) for j in range(bias.shape[0])]
-    return spark.createDataFrame(rows, NETWORK_SCHEMA)
+        layers.append(np.full(len(kernel) + 1, layer, dtype=np.int32))
+        inputs.append(np.arange(-1, len(kernel), dtype=np.int32))
+        units += [bias.astype(np.float64), kernel.astype(np.float64).ravel()]
+        sizes.append(np.full(len(kernel) + 1, len(bias)))
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(units)))
+    table = pa.table({"layer": np.concatenate(layers), "input": np.concatenate(inputs), "units": lists.cast(pa.list_(pa.float64()))})
+    return spark.createDataFrame(table)
 
 
 def network_from_table(table: DataFrame, mode: str | list[str], activation: str = "relu") -> Network:
-    """Rebuild a network from its weight table, whose size is bounded by the topology."""
-    if table.limit(MAX_WEIGHTS + 1).count() > MAX_WEIGHTS:
-        raise ValueError(f"more than {MAX_WEIGHTS} weights")
-    weights = table.toPandas()
+    """Rebuild a network from its weight table, which is as large as the topology says, not as the data.
+
+    A layer without a bias row has zeros there, and inputs without a row have zero weights.
+    """
+    told = table.select("layer", "input", "units").orderBy("layer", "input").toArrow()
+    layer, place = (told[c].to_numpy() for c in ("layer", "input"))
+    units = told["units"].combine_chunks()
     pairs = []
-    for _, part in sorted(weights.groupby("layer")):
-        kernel = np.zeros((part["input"].max() + 1, part["unit"].max() + 1))
-        bias = np.zeros(kernel.shape[1])
-        is_bias = part["input"] < 0
-        bias[part.loc[is_bias, "unit"]] = part.loc[is_bias, "value"]
-        kernel[part.loc[~is_bias, "input"], part.loc[~is_bias, "unit"]] = part.loc[~is_bias, "value"]
+    for number in np.unique(layer):
+        mine = np.flatnonzero(layer == number)
+        weights = units.slice(mine[0], len(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+        kernel, bias = np.zeros((place[mine].max() + 1, weights.shape[1])), np.zeros(weights.shape[1])
+        for row, at in zip(weights, place[mine], strict=True):
+            if at < 0:
+                bias = row.copy()
+            else:
+                kernel[at] = row
         pairs.append((kernel, bias))
     return Network(mode, pairs[:-1], pairs[-1], activation)

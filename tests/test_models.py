@@ -284,6 +284,27 @@ def test_joint_logits_like_its_parts(spark, monkeypatch):
         assert set(got) == set(wide) and all(got[i] == pytest.approx(wide[i] + deep[i]) for i in (0, 1, 2, 3))
 
 
+def test_network_tables_have_a_row_per_input(spark, tmp_path):
+    net = random_network("last_dense", [300, 7], 40, units=3)
+    stored = network_table(spark, net)
+    assert stored.columns == ["layer", "input", "units"] and stored.count() == sum(k.shape[0] + 1 for k, _ in [*net.layers, net.output])
+    stored.repartition(5).write.parquet(f"{tmp_path}/net")
+    again = network_from_table(spark.read.parquet(f"{tmp_path}/net"), "last_dense")
+    x = np.random.default_rng(1).normal(size=(9, 40))
+    np.testing.assert_array_equal(networks.forward(again, x), networks.forward(net, x))
+    bare = network_from_table(stored.where("input <> -1 and not (layer = 1 and input = 2)"), "last_dense")
+    assert not bare.layers[0][1].any() and not bare.layers[1][0][2].any()
+
+
+def test_networks_of_any_size_can_be_stored_and_sent(spark):
+    """Sixty million weights, beyond what rows of single weights allowed."""
+    n = 60_000
+    net = networks.Network("simple", [(np.ones((n, 1000)) / n, np.zeros(1000))], (np.ones((1000, 1)) / 1000, np.zeros(1)))
+    df = spark.range(3).select("id", F.array_repeat((F.col("id") + 1).cast("double"), n).alias("x"))
+    got = {r["id"]: r["logits"][0] for r in networks.score_networks(df, [net], "x", ["id"]).collect()}
+    assert got == {i: pytest.approx(i + 1.0) for i in range(3)}
+
+
 # --- metrics --------------------------------------------------------------------------------------
 
 
