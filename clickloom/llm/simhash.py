@@ -146,11 +146,12 @@ def classes(signed: DataFrame, reach: int = REACH) -> DataFrame:
     labels = components(near_links(codes, reach))
     named = labels.unionByName(labels.select("root", F.col("root").alias("node")).distinct())
     members = staged(named.join(codes, named["node"] == codes["code"]).select("code", "root", "own"), "members")
-    heads = members.groupBy("root").agg(F.min("own").alias("head"))
+    # Written, so that the join is dealt on its own and a large component's rows can be split.
+    heads = staged(members.groupBy("root").agg(F.min("own").alias("head")), "heads")
     linked = members.join(heads, "root").select("code", "root", "head")
     out = codes.join(linked, "code", "left")
     out = staged(out.select("code", F.coalesce("root", "code").alias("root"), F.coalesce("head", "own").alias("head")), "classes")
-    discard(codes, labels, members)
+    discard(codes, labels, members, heads)
     return out
 
 
