@@ -30,10 +30,12 @@ UNIT = ("source", "doc_id")
 # The random order has so many bits, and is refined by DIGIT bits until a part holds about LEAF documents.
 BITS, DIGIT, LEAF = 40, 6, 1_024
 BLOCK_DOCS, SHARD_WORDS = 128, 1 << 20
-# Draws up to this number follow the exact distribution, above it its normal approximation.
-EXACT = 128
-# A prime above any number of draws that it multiplies.
-PRIME = (1 << 31) - 1
+# Beyond so many standard deviations and steps from its mode a hypergeometric distribution has less than a double resolves.
+SPREADS, STEPS = 10, 10
+# Rounds of swaps that permute the draws of a source.
+SWAPS = 128
+# Nodes of the splitting tree are spread over the tasks anew after so many levels.
+SPREAD_LEVELS = 5
 
 
 def n_words(text: str) -> Column:
@@ -198,16 +200,30 @@ def _picked(units: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _permuted(number: Column, draws: Column, place: Column) -> Column:
-    """A permutation of 0 to draws - 1 for each source."""
-    return F.pmod(number * (F.lit(PRIME).cast("long") % draws) + F.pmod(F.xxhash64(F.lit(SEED), place), draws), draws)
+    """A pseudo-random permutation of 0 to draws - 1 for each source.
+
+    Swap-or-not rounds: each pairs x with (key - x) mod draws and swaps the two or not, by a hash of the larger.
+    A round is its own inverse, so all of them together are a permutation for any number of draws.
+    """
+
+    def bits(round_: Column, *of: Column) -> Column:
+        return F.xxhash64(F.lit(SEED), F.lit("swap"), place, round_, *of)
+
+    def swap(x: Column, round_: Column) -> Column:
+        other = F.pmod(F.pmod(bits(round_), draws) - x, draws)
+        return F.when(bits(round_, F.greatest(x, other)) < 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWAPS)), number.cast("long"), swap)
 
 
 def _deal(draws: DataFrame, levels: int) -> DataFrame:
     """(place, draw, shard): the draws of each source dealt to 2 ** levels shards by the splitting tree."""
-    # One row with an entry for each source.
+    # One row for each node, with an entry for each source.
     node = draws.agg(F.sort_array(F.collect_list(F.struct("place", "draws"))).alias("all"))
     node = node.select(F.lit(1).cast("long").alias("node"), F.transform("all", lambda s: F.struct(s["place"].alias("place"), s["draws"].alias("n"), F.lit(0).cast("long").alias("first"))).alias("quota"))
-    for _ in range(levels):
+    for level in range(levels):
+        if level and level % SPREAD_LEVELS == 0:
+            node = node.repartition("node")
         split = node.select("node", "quota", _left_counts(F.col("node"), F.col("quota")).alias("left"))
         both = F.array(F.struct((2 * F.col("node")).alias("node"), _side(True).alias("quota")), F.struct((2 * F.col("node") + 1).alias("node"), _side(False).alias("quota")))
         node = split.select(F.explode(both).alias("child")).select("child.*")
@@ -237,7 +253,7 @@ def _left_counts(node: Column, quota: Column) -> Column:
         start = F.struct(whole.alias("rest"), F.floor(whole / 2).alias("left"), F.array().cast("array<bigint>").alias("out"))
 
         def draw(so_far, q):
-            n = _hypergeometric(so_far["rest"], q["n"], so_far["left"], _uniform(node, q["place"], 0), _uniform(node, q["place"], 1))
+            n = _hypergeometric(so_far["rest"], q["n"], so_far["left"], _uniform(node, q["place"]))
             return _bind(n, lambda x: F.struct((so_far["rest"] - q["n"]).alias("rest"), (so_far["left"] - x).alias("left"), F.concat(so_far["out"], F.array(x)).alias("out")))
 
         return F.aggregate(quota, start, draw)["out"]
@@ -245,32 +261,30 @@ def _left_counts(node: Column, quota: Column) -> Column:
     return _bind(total, split)
 
 
-def _uniform(node: Column, place: Column, which: int) -> Column:
+def _uniform(node: Column, place: Column) -> Column:
     """A number between 0 and 1 that depends on its arguments alone."""
-    return (F.pmod(F.xxhash64(F.lit(SEED + which), node, place), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return (F.pmod(F.xxhash64(F.lit(SEED), node, place), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def _hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column, other: Column) -> Column:
+def _hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
     """How many of ``marked`` among ``total`` are drawn, by inverting the distribution at ``uniform``.
 
     Marked and unmarked, drawn and left are swapped so that both are at most half, which makes 0 possible.
     """
     half = F.struct(
-        *(total.alias("n"), marked.alias("marked"), drawn.alias("drawn"), uniform.alias("u"), other.alias("v")),
-        F.least(marked, total - marked).alias("a"),
-        F.least(drawn, total - drawn).alias("b"),
+        *(total.alias("n"), marked.alias("marked"), drawn.alias("drawn"), uniform.alias("u")),
+        *(F.least(marked, total - marked).alias("a"), F.least(drawn, total - drawn).alias("b")),
     )
 
     def small(s: Column) -> Column:
         value = F.struct(
-            *(s["n"].alias("n"), s["marked"].alias("marked"), s["drawn"].alias("drawn"), s["u"].alias("u"), s["v"].alias("v"), s["a"].alias("a")),
-            *(s["b"].alias("b"), F.least(s["a"], s["b"]).alias("lo"), F.greatest(s["a"], s["b"]).alias("hi")),
+            *(s[c].alias(c) for c in ("n", "marked", "drawn", "u", "a", "b")),
+            *(F.least(s["a"], s["b"]).alias("lo"), F.greatest(s["a"], s["b"]).alias("hi")),
         )
         return _bind(value, drawn_of)
 
     def drawn_of(s: Column) -> Column:
-        # The binding is lazy, so that neither way is worked out where the other holds.
-        x = F.when(s["lo"] == 0, F.lit(0).cast("long")).when(s["lo"] <= EXACT, _exact(s)).otherwise(_normal(s))
+        x = F.when(s["lo"] == 0, F.lit(0).cast("long")).otherwise(_inverted(s))
         return _bind(x, lambda x: _unswapped(s, x))
 
     return _bind(half, small)
@@ -282,29 +296,55 @@ def _unswapped(s: Column, x: Column) -> Column:
     return F.when(s["marked"] == s["a"], on_drawn).otherwise(s["drawn"] - on_drawn)
 
 
-def _exact(s: Column) -> Column:
-    steps = F.sequence(F.lit(1).cast("long"), F.greatest(s["lo"], F.lit(1).cast("long")))
-    n = s["n"].cast("double")
-    none = F.aggregate(steps, F.lit(1.0), lambda p, i: p * (n - s["hi"] - i + 1) / (n - i + 1))
+def _inverted(s: Column) -> Column:
+    """The distribution of ``lo`` marked and ``hi`` drawn among n, inverted at u from its mode outwards.
+
+    Weights relative to the mode's follow from each other by ratios, one step up and one down at a time. Their sum
+    stands for the whole, so no factorial is needed, and steps grow with the standard deviation alone.
+    """
+    n, lo, hi = s["n"].cast("double"), s["lo"].cast("double"), s["hi"].cast("double")
+    share = hi / n
+    spread = F.sqrt(lo * share * (1 - share) * (n - lo) / F.greatest(n - 1, F.lit(1.0)))
+    reach = F.least(F.ceil(SPREADS * spread) + STEPS, s["lo"])
+    shape = F.struct(F.floor((lo + 1) * ((hi + 1) / (n + 2))).alias("mode"), reach.alias("reach"))
+
+    def search(t: Column) -> Column:
+        mode, steps = t["mode"].cast("double"), F.sequence(F.lit(1).cast("long"), t["reach"])
+
+        def up(p: Column, i: Column) -> Column:
+            x = mode + i
+            return F.when(x <= lo, p * ((lo - x + 1) / x) * ((hi - x + 1) / (n - lo - hi + x))).otherwise(0.0)
+
+        def down(p: Column, i: Column) -> Column:
+            x = mode - i
+            return F.when(x >= 0, p * ((x + 1) / (lo - x)) * ((n - lo - hi + x + 1) / (hi - x))).otherwise(0.0)
+
+        one = F.lit(1.0)
+        start = F.struct(one.alias("up"), one.alias("down"), one.alias("below"))
 
-    def search(p0: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("x"), p0.alias("p"), p0.alias("below"))
+        def add(w: Column, i: Column) -> Column:
+            return F.struct(
+                up(w["up"], i).alias("up"), down(w["down"], i).alias("down"), (w["below"] + up(w["up"], i) + down(w["down"], i)).alias("below")
+            )
 
-        def step(t, i):
-            p = t["p"] * (s["lo"] - i + 1) * (s["hi"] - i + 1) / (i * (n - s["lo"] - s["hi"] + i))
-            on = s["u"] > t["below"]
-            return F.when(on, F.struct(i.alias("x"), p.alias("p"), (t["below"] + p).alias("below"))).otherwise(t)
+        def find(sought: Column) -> Column:
+            first = F.struct(
+                one.alias("up"), one.alias("down"), one.alias("below"), F.when(sought <= 1, t["mode"]).otherwise(F.lit(-1).cast("long")).alias("x")
+            )
 
-        return F.aggregate(steps, start, step)["x"]
+            def step(w: Column, i: Column) -> Column:
+                risen = w["below"] + up(w["up"], i)
+                both = risen + down(w["down"], i)
+                x = F.when(w["x"] >= 0, w["x"]).when(sought <= risen, t["mode"] + i).when(sought <= both, t["mode"] - i).otherwise(F.lit(-1).cast("long"))
+                return F.struct(up(w["up"], i).alias("up"), down(w["down"], i).alias("down"), both.alias("below"), x.alias("x"))
 
-    return _bind(none, search)
+            found = F.aggregate(steps, first, step)["x"]
+            return _bind(found, lambda x: F.when(x >= 0, x).otherwise(t["mode"]))
 
+        whole = F.aggregate(steps, start, add)["below"]
+        return _bind(s["u"] * whole, find)
 
-def _normal(s: Column) -> Column:
-    share = s["hi"] / s["n"]
-    spread = F.sqrt(s["lo"] * share * (1 - share) * (s["n"] - s["lo"]) / (s["n"] - 1))
-    deviate = F.sqrt(-2 * F.log(s["u"])) * F.cos(2 * math.pi * s["v"])
-    return F.least(F.greatest(F.round(s["lo"] * share + spread * deviate), F.lit(0.0)), s["lo"].cast("double")).cast("long")
+    return _bind(shape, search)
 
 
 def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -1,5 +1,6 @@
 """Targets against stepwise sharing, words taken, the splitting tree, odd rows."""
 
+import math
 import random
 from collections import Counter
 
@@ -101,8 +102,8 @@ def test_tree_deals_each_draw_once(spark, levels):
 def test_hypergeometric_draws_follow_the_distribution(spark):
     for total, marked, drawn in ((40, 10, 20), (40, 33, 20), (40, 5, 30), (9000, 4000, 4500), (5, 5, 2), (5, 0, 2), (7, 3, 0), (7, 3, 7)):
         n = 4000
-        cells = spark.range(n).select(*(F.lit(v).cast("long").alias(c) for c, v in (("t", total), ("m", marked), ("d", drawn))), mixing._uniform(F.col("id"), F.lit(1), 0).alias("u"), mixing._uniform(F.col("id"), F.lit(1), 1).alias("v"))
-        got = [r[0] for r in cells.select(mixing._hypergeometric(*(F.col(c) for c in "tmduv"))).collect()]
+        cells = spark.range(n).select(*(F.lit(v).cast("long").alias(c) for c, v in (("t", total), ("m", marked), ("d", drawn))), mixing._uniform(F.col("id"), F.lit(1)).alias("u"))
+        got = [r[0] for r in cells.select(mixing._hypergeometric(*(F.col(c) for c in "tmdu"))).collect()]
         assert max(0, marked + drawn - total) <= min(got) and max(got) <= min(marked, drawn)
         mean = marked * drawn / total
         spread = (mean * (1 - marked / total) * (total - drawn) / max(total - 1, 1)) ** 0.5
@@ -110,6 +111,55 @@ def test_hypergeometric_draws_follow_the_distribution(spark):
         assert abs((sum((x - mean) ** 2 for x in got) / n) ** 0.5 - spread) <= 0.1 * spread + 1e-9
 
 
+def test_large_draws_are_exact_and_not_rounded_normals(spark):
+    n = 20_000
+    for total, marked, drawn in ((3_000, 300, 40), (200_000, 700, 100_000), (100_000, 40_000, 50_000)):
+
+        def log_choose(a, b):
+            return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+        def mass(x):
+            return math.exp(log_choose(marked, x) + log_choose(total - marked, drawn - x) - log_choose(total, drawn))  # noqa: B023
+
+        cells = spark.range(n).select(*(F.lit(v).cast("long").alias(c) for c, v in (("t", total), ("m", marked), ("d", drawn))), ((F.col("id") + 0.5) / n).alias("u"))
+        got = Counter(r[0] for r in cells.select(mixing._hypergeometric(*(F.col(c) for c in "tmdu"))).collect())
+        mean = marked * drawn / total
+        for x in range(max(0, int(mean) - 5), int(mean) + 6):
+            # Evenly spaced numbers hit each value as often as its probability says, but for its two ends.
+            assert abs(got[x] - n * mass(x)) <= 2, (total, x)
+
+
+def test_draws_are_permuted(spark):
+    for draws in (1, 2, 3, 7, 22, 97, 1 << 10, 3_001):
+        number, all_ = F.col("id"), F.lit(draws).cast("long")
+        orders = [[r[0] for r in spark.range(draws).select(mixing._permuted(number, all_, F.lit(p))).orderBy("id").collect()] for p in range(4)]
+        assert all(sorted(order) == list(range(draws)) for order in orders)
+        if draws >= 22:
+            assert len({tuple(order) for order in orders}) == 4
+            for order in orders:  # neither a shift nor a multiplication
+                steps = Counter((b - a) % draws for a, b in zip(order, order[1:], strict=False))
+                assert max(steps.values()) <= 8
+
+
+def test_shards_get_their_share_of_each_source(spark):
+    sizes = {1: 4_000, 2: 1_000, 3: 64}
+    draws = staged(spark.createDataFrame(list(sizes.items()), "place int, draws long"))
+    dealt = Counter((r["place"], r["shard"]) for r in mixing._deal(draws, 6).collect())
+    for place, n in sizes.items():
+        own = [dealt[place, shard] for shard in range(64)]
+        assert sum(own) == n
+        mean = n / 64
+        assert all(abs(x - mean) <= 5 * mean**0.5 for x in own)
+        assert len(set(own)) > 2  # drawn, not dealt in turn
+
+
+def test_many_sources(spark):
+    docs = plain_docs(spark, [(i, "w " * (1 + i % 7), None, f"s{i % 600}") for i in range(3_000)])
+    got = mixing.mixed_sizes(docs).collect()
+    assert len(got) == 3_000 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert abs(sum(r["taken"] for r in got) - sum(r["target"] / 5 for r in got)) <= 600 * 7
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got = mixing.mixed_sizes(docs).collect()
