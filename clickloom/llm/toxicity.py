@@ -3,8 +3,10 @@
 The lexicon is learned from a bounded sample of labelled texts: words, and stems that many words begin with,
 that toxic texts hold far more often than the share of toxic texts explains. A Levenshtein automaton of each
 entry is run through the trie of all entries at once; its states are sets of (trie node, edits) that are
-worked out once and kept. Each hit is judged by its entry, its edits and the window of words around it, which
-tells quotation and reporting from abuse; the weights of these classes are learned from the same sample.
+worked out once and kept. An edit is an inserted, deleted or replaced character or two neighbours swapped, and
+longer entries allow more of them. Digits and signs inside a word belong to it, as in ``id1ot`` or ``sc*m``.
+Each hit is judged by its entry, its edits and the window of words around it, which tells quotation and
+reporting from abuse; reporting words and the weights of these classes are learned from the same sample.
 """
 
 from __future__ import annotations
@@ -23,31 +25,41 @@ from pyspark.sql import types as T
 from clickloom.llm.text import sample_below, utf8
 from clickloom.session import discard, staged
 
-# Labelled texts that are learned from, at most about this many; lexicon entries, the best ones first.
-LEARN_ROWS, MOST_ENTRIES = 20_000, 2_000
-SHORTEST, FUZZY = 4, 5
+# Labelled texts that are learned from, at most about this many.
+LEARN_ROWS = 20_000
+# Stems have so many letters at least; shorter words are entries as wholes.
+SHORTEST = 4
+# An entry of so many letters allows one edit, and two.
+FUZZY, FUZZIER = 5, 8
 # Words on either side of a hit that make up its context.
 WINDOW = 8
 THRESHOLD = 0.7
 # States and words that a worker keeps; beyond that it starts afresh, with the same results.
 MOST_STATES, MOST_WORDS = 200_000, 500_000
-WORD = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+# Letters and digits, with up to three signs between two of them or one that stands for a first letter.
+WORD = re.compile(r"(?:[@$](?=[^\W\d_]))?[^\W_]+(?:[*@$#!%&+_]{1,3}[^\W_]+)*")
 QUOTES = re.compile("[\"“”„«»]")
-REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word words term insult slur".split())
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.IntegerType())])
 
 
+def most_edits(entry: str, stem: bool) -> int:
+    """A stem leaves its ending open already, so one edit is its most."""
+    return (len(entry) >= FUZZY) + (len(entry) >= FUZZIER and not stem)
+
+
 class Automaton:
-    """All entries within one edit of a word, or of a beginning of it where the entry is a stem.
+    """All entries within their number of edits of a word, or of a beginning of it where the entry is a stem.
 
-    Entries shorter than FUZZY letters allow no edit. The union of the entries' Levenshtein automata is the
-    product of their trie with an edit count; it is made deterministic as words are read.
+    The union of the entries' Levenshtein automata is the product of their trie with an edit count and, within a
+    swap, the letter that is still to come; it is made deterministic as words are read.
     """
 
     def __init__(self, entries: list[tuple[str, bool]]):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.entries = entries
+        self.bounds = [most_edits(*entry) for entry in entries]
         for number, (text, _) in enumerate(entries):
             at = 0
             for c in text:
@@ -57,31 +69,31 @@ class Automaton:
                     self.ends.append([])
                 at = self.children[at][c]
             self.ends[at].append(number)
-        self.fuzzy = [False] * len(self.children)
-        self._mark(0)
+        # How many edits some entry at or below a node allows.
+        self.most = [0] * len(self.children)
+        for at in range(len(self.children) - 1, -1, -1):  # a child has a larger number than its parent
+            self.most[at] = max([self.bounds[e] for e in self.ends[at]] + [self.most[c] for c in self.children[at].values()], default=0)
         self._reset()
 
-    def _mark(self, root: int) -> None:
-        order = [root]
-        for at in order:
-            order += self.children[at].values()
-        for at in reversed(order):  # some entry below may be misspelled
-            long = any(len(self.entries[e][0]) >= FUZZY for e in self.ends[at])
-            self.fuzzy[at] = long or any(self.fuzzy[c] for c in self.children[at].values())
-
     def _reset(self) -> None:
-        self.sets: list[frozenset[tuple[int, int]]] = []
+        self.sets: list[frozenset[tuple[int, int, str]]] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.stems: list[dict[int, int]] = []
-        self._state(self._closed({(0, 0)}))
-
-    def _closed(self, nodes: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        """With the nodes that are reached by leaving a letter of an entry out."""
-        for at, edits in list(nodes):
-            if edits == 0:
-                nodes |= {(c, 1) for c in self.children[at].values() if self.fuzzy[c]}
-        return frozenset(n for n in nodes if n[1] == 0 or (n[0], 0) not in nodes)
+        self._state(self._closed({(0, 0, "")}))
+
+    def _closed(self, nodes: set[tuple[int, int, str]]) -> frozenset[tuple[int, int, str]]:
+        """With the nodes that are reached by leaving letters of an entry out; of equal nodes those with the fewest edits."""
+        fewest: dict[tuple[int, str], int] = {}
+        left = sorted(nodes, key=lambda n: -n[1])
+        while left:
+            at, edits, swapped = left.pop()
+            if fewest.get((at, swapped), 9) <= edits:
+                continue
+            fewest[at, swapped] = edits
+            if not swapped:
+                left += [(c, edits + 1, "") for c in self.children[at].values() if edits < self.most[c]]
+        return frozenset((at, edits, swapped) for (at, swapped), edits in fewest.items())
 
     def _state(self, nodes: frozenset) -> int:
         number = self.numbers.get(nodes)
@@ -94,21 +106,31 @@ class Automaton:
 
     def _found(self, nodes: frozenset) -> dict[int, int]:
         found: dict[int, int] = {}
-        for at, edits in nodes:
-            for entry in self.ends[at]:
-                if edits == 0 or len(self.entries[entry][0]) >= FUZZY:
-                    found[entry] = min(edits, found.get(entry, 9))
+        for at, edits, swapped in nodes:
+            if not swapped:
+                for entry in self.ends[at]:
+                    if edits <= self.bounds[entry]:
+                        found[entry] = min(edits, found.get(entry, 9))
         return found
 
     def _step(self, state: int, c: str) -> int:
         out = set()
-        for at, edits in self.sets[state]:
-            below = self.children[at].get(c)
-            if below is not None:
-                out.add((below, edits))
-            if edits == 0 and self.fuzzy[at]:
-                out.add((at, 1))  # c was added
-                out |= {(n, 1) for n in self.children[at].values() if self.fuzzy[n]}  # c stands for another letter
+        for at, edits, swapped in self.sets[state]:
+            if swapped:
+                if c == swapped:
+                    out.add((at, edits, ""))
+                continue
+            below = self.children[at]
+            if c in below:
+                out.add((below[c], edits, ""))
+            if edits < self.most[at]:
+                out.add((at, edits + 1, ""))  # c was added
+                for letter, child in below.items():
+                    if edits < self.most[child]:
+                        out.add((child, edits + 1, ""))  # c stands for another letter
+                        after = self.children[child].get(c)
+                        if after is not None and letter != c and edits < self.most[after]:
+                            out.add((after, edits + 1, letter))  # c comes before the letter instead of after it
         return self._state(self._closed(out))
 
     def best(self, word: str) -> tuple[int, int] | None:
@@ -135,44 +157,73 @@ class Automaton:
         return entry, found[entry]
 
 
-def contexts(text: str, automaton: Automaton, kept: dict[str, tuple[int, int] | None]) -> list[tuple[int, int, bool]]:
-    """(entry, edits, quoted) for every hit of a text."""
+def _judged(word: str, automaton: Automaton) -> tuple[int, int] | None:
+    """The best entry for a word as it stands, or for a run of letters in it."""
+    found = [automaton.best(word)]
+    if not word.isalpha():
+        found += [automaton.best(part) for part in LETTERS.findall(word)]
+    return min((f for f in found if f is not None), key=lambda f: (f[1], -len(automaton.entries[f[0]][0]), f[0]), default=None)
+
+
+def _hits(text: str, automaton: Automaton, kept: dict[str, tuple[int, int] | None]) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """The lower-cased words of a text, and (place, start, entry, edits) for each of them that is a hit."""
     lower = text.lower()
     words = WORD.findall(lower)
-    hits = set()
+    hits = {}
     for word in set(words):
         if word not in kept:
             if len(kept) > MOST_WORDS:
                 kept.clear()
-            kept[word] = automaton.best(word)
+            kept[word] = _judged(word, automaton)
         if kept[word] is not None:
-            hits.add(word)
+            hits[word] = kept[word]
+    if not hits:
+        return words, []
+    return words, [(i, m.start(), *hits[m.group()]) for i, m in enumerate(WORD.finditer(lower)) if m.group() in hits]
+
+
+def _around(words: list[str], place: int) -> list[str]:
+    return words[max(0, place - WINDOW) : place] + words[place + 1 : place + 1 + WINDOW]
+
+
+def contexts(
+    text: str, automaton: Automaton, kept: dict[str, tuple[int, int] | None], reporting: frozenset[str] = frozenset()
+) -> list[tuple[int, int, bool]]:
+    """(entry, edits, quoted) for every hit of a text: quoted in short quotation marks, or near a reporting word."""
+    words, hits = _hits(text, automaton, kept)
     if not hits:
         return []
+    lower = text.lower()
     quotes = [m.start() for m in QUOTES.finditer(lower)]
     out = []
-    for i, match in enumerate(WORD.finditer(lower)):
-        if match.group() in hits:
-            before = int(np.searchsorted(quotes, match.start()))
-            around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            inside = before % 2 == 1 and before < len(quotes) and lower.count(" ", quotes[before - 1], quotes[before]) <= 2 * WINDOW
-            out.append((*kept[match.group()], bool(inside or not REPORTING.isdisjoint(around))))
+    for place, start, entry, edits in hits:
+        before = int(np.searchsorted(quotes, start))
+        inside = before % 2 == 1 and before < len(quotes) and lower.count(" ", quotes[before - 1], quotes[before]) <= 2 * WINDOW
+        out.append((entry, edits, bool(inside or not reporting.isdisjoint(_around(words, place)))))
     return out
 
 
 @dataclass
 class Model:
     entries: list[tuple[str, bool]]
+    # Words that stand around hits in clean texts.
+    reporting: frozenset[str] = frozenset()
     # Log odds of a hit by (entry, edits) and by (edits, quoted); of both, features make up a logistic model.
     by_entry: dict[tuple[int, int], float] = field(default_factory=dict)
     by_context: dict[tuple[int, bool], float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
+    def evidence(self, entry: int, edits: int, quoted: bool) -> float:
+        """Log odds of a hit; if no labelled text had one with so many edits, those of one edit less."""
+        while edits and (edits, quoted) not in self.by_context and (edits, not quoted) not in self.by_context:
+            edits -= 1
+        return self.by_entry.get((entry, edits), 0.0) + self.by_context.get((edits, quoted), 0.0)
+
     def features(self, hits: list[tuple[int, int, bool]]) -> list[float]:
         """A constant, whether there is a hit, the best evidence and all evidence on a log scale."""
         if not hits:
             return [1.0, 0.0, 0.0, 0.0]
-        odds = [self.by_entry.get((e, k), 0.0) + self.by_context.get((k, q), 0.0) for e, k, q in hits]
+        odds = [self.evidence(*hit) for hit in hits]
         return [1.0, 1.0, max(odds), math.log1p(sum(max(o, 0.0) for o in odds))]
 
     def score(self, hits: list[tuple[int, int, bool]]) -> float:
@@ -181,16 +232,16 @@ class Model:
 
 
 def _beginnings(word: str) -> list[str]:
-    return [word[:n] for n in range(SHORTEST, len(word) + 1)] if len(word) >= SHORTEST else []
+    return [word[:n] for n in range(SHORTEST, len(word) + 1)] if len(word) >= SHORTEST else [word]
 
 
-def _lexicon(toxic: Counter, clean: Counter, words: Counter, n_toxic: int, n_clean: int, most: int) -> list[tuple[str, bool]]:
+def _lexicon(toxic: Counter, clean: Counter, words: Counter, n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
     """Entries from how many toxic and clean texts hold words with each beginning.
 
     A beginning counts if chance explains its toxic texts with odds of less than one in a hundred over all
     beginnings, and if nine of ten texts with it are toxic. Of beginnings that the same toxic texts hold the
     longest is taken, and none below one that is taken already. It is a whole word if most of its texts hold
-    it as a word.
+    it as a word. Words shorter than a stem count as they are.
     """
     share = (n_toxic + 1) / (n_toxic + n_clean + 2)
     least = math.log(100 * max(len(toxic), 1))
@@ -208,7 +259,7 @@ def _lexicon(toxic: Counter, clean: Counter, words: Counter, n_toxic: int, n_cle
         if len(text) > SHORTEST:
             below.setdefault(text[:-1], []).append(text)
     taken = []
-    left = sorted(t for t in toxic if len(t) == SHORTEST)
+    left = sorted(t for t in toxic if len(t) <= SHORTEST)
     while left:
         text = left.pop()
         if good(text):
@@ -218,7 +269,20 @@ def _lexicon(toxic: Counter, clean: Counter, words: Counter, n_toxic: int, n_cle
         else:
             left += below.get(text, ())
     taken.sort(key=lambda t: (-gain(t), t))
-    return [(t, words[t] < 0.8 * toxic[t]) for t in taken[:most]]
+    return [(t, words[t] < 0.8 * toxic[t]) for t in taken]
+
+
+def _reporting(clean: Counter, toxic: Counter, n_clean: int, n_toxic: int) -> frozenset[str]:
+    """Words from how many clean and toxic texts with a hit hold them near one, by the test of chance that entries take."""
+    share = (n_clean + 1) / (n_clean + n_toxic + 2)
+    least = math.log(100 * max(len(clean), 1))
+
+    def good(word: str) -> bool:
+        c, t = clean[word], toxic[word]
+        p = c / (c + t)
+        return p > share and c * math.log(p / share) + (t * math.log((1 - p) / (1 - share)) if t else 0.0) >= least
+
+    return frozenset(w for w in clean if good(w))
 
 
 def _partial(batches, tell):
@@ -237,7 +301,7 @@ def _partial(batches, tell):
 COUNTS = "key string, toxic int, n long"
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = LEARN_ROWS, most: int = MOST_ENTRIES) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = LEARN_ROWS) -> Model:
     """A model from documents for which ``train`` holds and that have a label ``toxic`` of 0 or 1.
 
     A document with several labels has the largest of them; rows without an id or a label are left out.
@@ -251,7 +315,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = LEARN_R
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
 
     def of_toxic(batches):
-        return _partial(batches, lambda text: {p for w in set(WORD.findall(text.lower())) for p in [*_beginnings(w), " " + w]})
+        return _partial(batches, lambda text: {p for w in set(LETTERS.findall(text.lower())) for p in [*_beginnings(w), " " + w]})
 
     told = sample.where("toxic = 1").mapInArrow(of_toxic, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
     # Beginnings in fewer toxic texts can't pass the test of chance, whatever the sample.
@@ -262,15 +326,30 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, rows: int = LEARN_R
     shared = docs.sparkSession.sparkContext.broadcast(set(toxic))
 
     def of_clean(batches):
-        return _partial(batches, lambda text: {p for w in set(WORD.findall(text.lower())) for p in _beginnings(w) if p in shared.value})
+        return _partial(batches, lambda text: {p for w in set(LETTERS.findall(text.lower())) for p in _beginnings(w) if p in shared.value})
 
     clean = sample.where("toxic = 0").mapInArrow(of_clean, COUNTS).groupBy("key").agg(F.sum("n").alias("n")).collect()
-    model = Model(_lexicon(toxic, Counter({r["key"]: r["n"] for r in clean}), words, n_toxic, n_clean, most))
+    model = Model(_lexicon(toxic, Counter({r["key"]: r["n"] for r in clean}), words, n_toxic, n_clean))
+
+    def near(batches):
+        automaton, kept = Automaton(model.entries), {}
+
+        def tell(text):
+            seen, found = _hits(text, automaton, kept)
+            return {w for place, *_ in found for w in _around(seen, place)} | ({""} if found else set())
+
+        return _partial(batches, tell)
+
+    close = {0: Counter(), 1: Counter()}
+    for r in sample.mapInArrow(near, COUNTS).groupBy("key", "toxic").agg(F.sum("n").alias("n")).collect():  # bounded by the sample
+        close[r["toxic"]][r["key"]] = r["n"]
+    with_hit = {y: close[y].pop("", 0) for y in close}
+    model.reporting = _reporting(close[0], close[1], with_hit[0], with_hit[1])
 
     def hits(batches):
         automaton, kept = Automaton(model.entries), {}
         for batch in batches:
-            found = [contexts(d.decode(), automaton, kept) for d in utf8(batch.column(1))]
+            found = [contexts(d.decode(), automaton, kept, model.reporting) for d in utf8(batch.column(1))]
             flat = [[v for h in f for v in (h[0], h[1], int(h[2]))] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(flat, pa.list_(pa.int32()))], ["toxic", "hits"])
 
@@ -321,12 +400,12 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", into: str =
     A null or empty text has no hits and the score of a text without any. If nothing was learned every text
     has the same score. Repeated rows have equal scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_ENTRIES entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # entries and words of the bounded sample
 
     @F.arrow_udf(RESULT)
     def score(texts: pa.Array) -> pa.Array:
         model, automaton, kept = shared.value, _automaton(shared), _KEPT
-        found = [contexts(t.decode(), automaton, kept) for t in utf8(texts)]
+        found = [contexts(t.decode(), automaton, kept, model.reporting) for t in utf8(texts)]
         columns = [pa.array([model.score(f) for f in found], pa.float64()), pa.array([len(f) for f in found], pa.int32())]
         return pa.StructArray.from_arrays(columns, names=RESULT.fieldNames())
 
