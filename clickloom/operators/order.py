@@ -4,6 +4,9 @@ Rows are put into P value ranges by quantile bounds of the order key. Ranges are
 a global position is the position inside the range plus the total of all earlier ranges. The list of
 range totals has P+1 rows and is the only thing that is broadcast. The bounds influence balance, never
 the result. The input is read several times; materialise it first if it is expensive.
+
+Equal keys fall into one range. Where further columns order them, ``with_row_index`` cuts by all of them, so
+that a key with a large part of the rows is spread over several ranges; such rows are written once by range.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.session import shuffle_partitions
+from clickloom.session import shuffle_partitions, staged
 
 RANGE = "_range"
 SAMPLES_PER_RANGE = 200
@@ -61,12 +64,16 @@ def with_running_totals(
 
     The key is unique per row (aggregate first), or ``ties`` names columns that order equal keys.
     """
-    ranged = with_range(df, key, bounds)
-    order = F.desc(key) if descending else F.asc(key)
-    inside = Window.partitionBy(RANGE).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.desc(key) if descending else F.asc(key), *ties]
+    return _summed(with_range(df, key, bounds), order, totals, len(bounds) + 2, descending)
+
+
+def _summed(ranged: DataFrame, order: list, totals: dict[str, Column], ranges: int, descending: bool = False) -> DataFrame:
+    """Running sums inside each of the ranges plus the totals of the ranges before it."""
+    inside = Window.partitionBy(RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = _totals_before(ranged, totals, descending)
     # One range per task: a hash of the range number would put several into some tasks.
-    placed = ranged.repartitionById(len(bounds) + 2, RANGE)
+    placed = ranged.repartitionById(ranges, RANGE)
     summed = placed.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
     joined = summed.join(F.broadcast(before), RANGE, "left")  # one row per range
     return joined.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in totals}).drop(
@@ -74,12 +81,31 @@ def with_running_totals(
     )
 
 
+def by_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` written once with the number of each row's range of ``order``: ranges of like size that ascend.
+
+    Only rows that are equal in all columns of ``order`` must share a range. Spark samples the bounds, which
+    another run may place elsewhere; so the ranges are stored with the rows and not found again.
+    """
+    ranges = ranges or shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(ranges, *order).withColumn(RANGE, F.spark_partition_id())
+    return staged(ranged, "ranges")
+
+
 def with_row_index(
     df: DataFrame, key: str, out: str = "row_index", bounds: list[float] | None = None, ties: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Number rows from 0 in the order of ``key``, a numeric column that is unique (up to ``ties``)."""
-    bounds = range_bounds(df, key) if bounds is None else bounds
-    numbered = with_running_totals(df, key, {out: F.lit(1).cast("bigint")}, bounds, ties=ties)
+    """Number rows from 0 in the order of ``key``, a numeric column that is unique (up to ``ties``).
+
+    Given ``bounds`` are for keys that are hardly ever equal. Without them, and with ``ties``, rows are dealt to
+    ranges of key and ties together, and the result reads a written copy of the rows.
+    """
+    number = {out: F.lit(1).cast("bigint")}
+    if ties and bounds is None:
+        ranges = shuffle_partitions(df.sparkSession)
+        numbered = _summed(by_ranges(df, [key, *ties], ranges), [key, *ties], number, ranges)
+    else:
+        numbered = with_running_totals(df, key, number, range_bounds(df, key) if bounds is None else bounds, ties=ties)
     return numbered.withColumn(out, F.col(out) - 1)
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import batches
-from clickloom.operators.order import range_bounds, uniform_bounds, with_row_index, with_running_totals
+from clickloom.operators.order import RANGE, by_ranges, range_bounds, uniform_bounds, with_row_index, with_running_totals
 
 
 def test_row_index_follows_the_key(spark):
@@ -31,6 +31,24 @@ def test_quantile_bounds_with_a_hot_value(spark):
     assert bounds == sorted(set(bounds)) and len(bounds) <= 9
 
 
+def test_a_hot_key_is_spread_by_its_ties(spark):
+    rows = [(0 if i % 10 else i, f"t{i * 7919 % 4000:04d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "key long, token string").repartition(6)
+    sizes = [r["count"] for r in by_ranges(df, ["key", "token"], 8).groupBy(RANGE).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000  # 3,601 rows share the key 0
+    got = with_row_index(df, "key", ties=("token",)).orderBy("row_index").collect()
+    assert [(r["key"], r["token"]) for r in got] == sorted(rows) and [r["row_index"] for r in got] == list(range(4000))
+    assert got[0].asDict().keys() == {"key", "token", "row_index"}
+
+
+def test_rows_without_any_difference(spark):
+    df = spark.createDataFrame([(1, "a")] * 50 + [(None, "b"), (0, None)], "key int, token string")
+    got = with_row_index(df, "key", ties=("token",)).orderBy("row_index").collect()
+    assert [(r["key"], r["token"]) for r in got] == [(None, "b"), (0, None)] + [(1, "a")] * 50
+    assert [r["row_index"] for r in got] == list(range(52))
+    assert with_row_index(df.where("false"), "key", ties=("token",)).collect() == []
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, descending):
     rng = np.random.default_rng(3)
