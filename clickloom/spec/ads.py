@@ -5,14 +5,15 @@ from __future__ import annotations
 from clickloom.spec.model import Continuous, Cross, HashBucket, Identity, ModelSpec, Vocab
 
 # Field names in file order, label first.
-FIELDS = """
-clk request_id account_id adplan_id scheduling_id position_id idea_id cost_type province_id city_id
-ip_original os device_type client_type galaxy_id network app_version idea_type tag industry_level1_id
-industry_level2_id category location isweekend weekdays year month day hour dt host_name request_tm
-log_version pay ecpm ecpm2 winprc ctr rpid u market site status is_cache ctr_strategy_type is_pasv_flush
-isp combine_id device_model article_tag longitude latitude user_cates user_industrys ad_cates
-ad_idea_types age ugender ucomp rk_age_range rk_hour
-""".split()
+FIELDS = [
+    "clk", "request_id", "account_id", "adplan_id", "scheduling_id", "position_id", "idea_id", "cost_type",
+    "province_id", "city_id", "ip_original", "os", "device_type", "client_type", "galaxy_id", "network",
+    "app_version", "idea_type", "tag", "industry_level1_id", "industry_level2_id", "category", "location",
+    "isweekend", "weekdays", "year", "month", "day", "hour", "dt", "host_name", "request_tm", "log_version", "pay",
+    "ecpm", "ecpm2", "winprc", "ctr", "rpid", "u", "market", "site", "status", "is_cache", "ctr_strategy_type",
+    "is_pasv_flush", "isp", "combine_id", "device_model", "article_tag", "longitude", "latitude", "user_cates",
+    "user_industrys", "ad_cates", "ad_idea_types", "age", "ugender", "ucomp", "rk_age_range", "rk_hour",
+]
 
 # Ids per hashed field.
 HASH_SIZES = {
@@ -24,26 +25,38 @@ HASH_SIZES = {
 
 # Closed value lists.
 VOCABULARIES = {
-    "os": "0 1 2 3 4 5",
-    "device_type": "0 1 2",
-    "client_type": "a w",
-    "network": "0 1 2 3 4",
-    "location": "1 2 3 4 5 6 7 8 9 20 21 22 23 24 25 26 27 28 29 50 51 52 53 54 60 101 102 200 201 202 301 302 "
-    "303 304 1001 1002 2001 2002 3001 3002 4001 4002 5001 5002 6001 6002 7001 7002 8001 8002 9001 10001 10002 "
-    "11001 11002",
-    "isweekend": "0 1",
-    "weekdays": "1 2 3 4 5 6 7",
-    "day": " ".join(f"{d:02d}" for d in range(1, 32)),
-    "hour": " ".join(str(h) for h in range(24)),
-    "site": "1 2 3 4 5 6 8 9 10 11",
-    "status": "0 1 2 3",
-    "is_cache": "0 1",
-    "is_pasv_flush": "0 1",
-    "isp": "1 2 3 4",
-    "ugender": "male female",
-    "rk_age_range": "6-10 11-15 16-20 21-25 26-30 31-35 36-40 41-45 46-50 51-55 56-60",
-    "rk_hour": " ".join(str(h) for h in range(24)),
-}
+    "os": ("0", "1", "2", "3", "4", "5"),
+    "device_type": ("0", "1", "2"),
+    "client_type": ("a", "w"),
+    "network": ("0", "1", "2", "3", "4"),
+    "location": (
+        "1", "2", "3", "4", "5", "6", "7", "8", "9", "20", "21", "22", "23", "24", "25", "26", "27", "28", "29",
+        "50", "51", "52", "53", "54", "60", "101", "102", "200", "201", "202", "301", "302", "303", "304", "1001",
+        "1002", "2001", "2002", "3001", "3002", "4001", "4002", "5001", "5002", "6001", "6002", "7001", "7002",
+        "8001", "8002", "9001", "10001", "10002", "11001", "11002",
+    ),
+    "isweekend": ("0", "1"),
+    "weekdays": ("1", "2", "3", "4", "5", "6", "7"),
+    "day": (
+        "01", "02", "03", "04", "05", "06", "07", "08", "09", "10", "11", "12", "13", "14", "15", "16", "17", "18",
+        "19", "20", "21", "22", "23", "24", "25", "26", "27", "28", "29", "30", "31",
+    ),
+    "hour": (
+        "0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13", "14", "15", "16", "17", "18",
+        "19", "20", "21", "22", "23",
+    ),
+    "site": ("1", "2", "3", "4", "5", "6", "8", "9", "10", "11"),
+    "status": ("0", "1", "2", "3"),
+    "is_cache": ("0", "1"),
+    "is_pasv_flush": ("0", "1"),
+    "isp": ("1", "2", "3", "4"),
+    "ugender": ("male", "female"),
+    "rk_age_range": ("6-10", "11-15", "16-20", "21-25", "26-30", "31-35", "36-40", "41-45", "46-50", "51-55", "56-60"),
+    "rk_hour": (
+        "0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13", "14", "15", "16", "17", "18",
+        "19", "20", "21", "22", "23",
+    ),
+}
 
 # Number of ids per integer category.
 IDENTITY_SIZES = {"idea_type": 15, "industry_level1_id": 18, "industry_level2_id": 152}
@@ -71,7 +84,7 @@ CROSS_THOUSANDS = {
 
 def ads_spec(crosses: bool = True) -> ModelSpec:
     features = [HashBucket(name, size) for name, size in HASH_SIZES.items()]
-    features += [Vocab(name, tuple(values.split())) for name, values in VOCABULARIES.items()]
+    features += [Vocab(name, values) for name, values in VOCABULARIES.items()]
     features += [Identity(name, size) for name, size in IDENTITY_SIZES.items()]
     features += [
         Continuous(name, "min_max", tuple(map(float, limits)), tuple(map(float, bounds)))
