@@ -109,7 +109,7 @@ def top_k(
     id, a null vector or a component that is null or not finite take no part. Of rows that repeat an id each
     is a candidate; as a query the id counts once, with the smallest of its vectors. Fewer candidates give
     fewer rows, an empty table none. Other columns aren't read. With ``counted`` a column n_searched tells how
-    many vectors the query was compared with.
+    many vectors of searched blocks the query met, itself among them.
     """
     spark = vectors.sparkSession
     named = ["query_id", "rank", "vec_id", "score", *(["n_searched"] if counted else [])]
