@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -9,6 +11,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.functions.heads import log_loss
 from clickloom.operators import ftrl
 
 
@@ -41,3 +44,18 @@ def excess(data: DataFrame, weights: DataFrame, max_ids: int | None, reg: float,
     bound = F.when(F.col("idx") == ftrl.BIAS, 0.0).otherwise(F.lit(reg * mix))
     beyond = F.when(w == 0, F.greatest(F.abs(slope) - bound, F.lit(0.0))).otherwise(F.abs(slope + bound * F.signum(w)))
     return found.select("idx", w.alias("w"), beyond.alias("excess"))
+
+
+def gain(data: DataFrame, weights: DataFrame, max_ids: int | None) -> float:
+    """How much lower the mean weighted log loss is under the weights than under the best bias alone.
+
+    The losses are subtracted row by row: as a difference of two sums, the rounding of many rows would decide
+    about weights that are a bias alone. With one class the best bias has no loss, and nothing is gained.
+    """
+    total, positive = data.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("label"))).first()
+    if not total or not 0 < positive < total:
+        return 0.0
+    scored = ftrl.score(data, weights, max_ids, ["label", "weight"])
+    label, weight = F.col("label"), F.col("weight")
+    alone = log_loss(F.lit(math.log(positive / (total - positive))), label, weight)
+    return scored.agg(F.sum(alone - log_loss(F.col("logit"), label, weight))).first()[0] / total

@@ -203,12 +203,8 @@ def wide_lr_optimum(spark, sf_dir):
     report = solver.excess(data, weights, MAX_IDS, REG, MIX).agg(
         F.count(F.lit(1)).alias("n_ids"), (F.max("excess") < 1e-5).alias("at_minimum")
     )
-    scored = ftrl.score(data, weights, MAX_IDS, ["label", "weight"])
-    share = F.sum(F.col("weight") * F.col("label")) / F.sum("weight")
-    prior = -(share * F.log(share) + (1 - share) * F.log(1 - share))
-    loss = F.sum(heads.log_loss(F.col("logit"), F.col("label"), F.col("weight"))) / F.sum("weight")
-    better = scored.agg(loss < prior).first()[0]
-    return report.withColumn("beats_prior", F.lit(better).cast("boolean"))
+    better = solver.gain(data, weights, MAX_IDS) > 1e-9
+    return report.withColumn("beats_prior", F.lit(better))
 
 
 @query("walk_forward", _walk_forward_sql())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import ftrl, solver
 from clickloom.plans.model_files import DAY, ModelJob, evaluate_files, file_examples, predict_files, train_files
+from clickloom.queries import QUERIES
 from clickloom.sinks.models import load_model
 from clickloom.spec import Cross, HashBucket, Identity, ModelSpec
 
@@ -15,6 +16,7 @@ SPEC = ModelSpec(
 DAYS = ["20240101", "20240102", "20240103"]
 
 
+
 @pytest.fixture(scope="module")
 def logs(tmp_path_factory):
     """Labelled days, and the same days without labels; one row misses its user, one has no label."""
@@ -78,3 +80,18 @@ def test_solver_is_at_its_minimum(spark, logs):
     assert solver.excess(data, fitted, job.max_ids, 0.01, 0.5).agg(F.max("excess")).first()[0] < 1e-5
     moved = fitted.withColumn("w", F.col("w") + 0.1)
     assert solver.excess(data, moved, job.max_ids, 0.01, 0.5).agg(F.max("excess")).first()[0] > 1e-3
+
+
+@pytest.mark.parametrize("n", [100, 1000, 2000])
+def test_a_bias_alone_does_not_beat_itself(spark, tmp_path, n):
+    """All events have the same ids, so that no weight helps: rounding of the summed losses must not decide."""
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"),
+        F.lit("2024-01-01 05:00:00").cast("timestamp").alias("ts"),
+        F.lit(7).cast("bigint").alias("user_id"),
+        F.when(F.col("id") % 5 == 0, "click").otherwise("view").alias("event_type"),
+        F.lit(20.0).alias("value"),
+        F.lit('{"k": 3}').alias("props"),
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["wide_lr_optimum"](spark, str(tmp_path)).collect()] == [(8, True, False)]
