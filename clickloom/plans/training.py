@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,17 +54,25 @@ def walk_forward(
     (train_part, test_part, epoch, metric, value) and the final state. An epoch makes ``batches`` updates.
     """
     results = []
-    with stage(data, part) as data:
+    with stage(data, part) as data, ExitStack() as kept:
         parts = parts_of(data, part)
         if len(parts) < 2:
             raise ValueError("walk-forward needs at least two parts")
-        for train_part, test_part in zip(parts, parts[1:], strict=False):
-            train, test = (data.where(F.col(part) == p).drop(part) for p in (train_part, test_part))
-            with ftrl.placed(train, batches) as rows:
-                for epoch in range(1, epochs + 1):
-                    state = ftrl.train_placed(rows, state, 1, opt, max_ids, batches)
-                    labels = {"train_part": F.lit(train_part), "test_part": F.lit(test_part), "epoch": F.lit(epoch)}
-                    results.append(_labelled(evaluation(test, state, max_ids), labels))
+
+        def place(value):
+            held = kept.enter_context(ExitStack())
+            return held, held.enter_context(ftrl.placed(_part(data, part, value), batches))
+
+        # A part is dealt by id once, and evaluated and then trained on as it lies.
+        (held, train), rest = place(parts[0]), parts[1:]
+        for train_part, test_part in zip(parts, rest, strict=False):
+            next_held, test = place(test_part)
+            for epoch in range(1, epochs + 1):
+                state = ftrl.train_placed(train, state, 1, opt, max_ids, batches)
+                labels = {"train_part": F.lit(train_part), "test_part": F.lit(test_part), "epoch": F.lit(epoch)}
+                results.append(_labelled(evaluation(test, state, max_ids), labels))
+            held.close()
+            held, train = next_held, test
     return reduce(DataFrame.unionByName, results), state
 
 

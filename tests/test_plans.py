@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from clickloom.operators import deep_training, ftrl, order, rates
-from clickloom.plans import scoring
+from clickloom.plans import scoring, training
 from clickloom.session import cut_lineage
 from clickloom.spec import Continuous, Cross, HashBucket, ModelSpec
 
@@ -112,3 +112,17 @@ def test_joint_logits_read_the_rows_once(spark, no_broadcast):
     assert plan.count("Exchange RoundRobinPartitioning") == 1 and plan.count("SortMergeJoin") == 0
     assert len(re.findall(r"Exchange hashpartitioning\(id", plan)) == 1  # the lookup table is proven small
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_walk_forward_deals_each_part_once(spark, monkeypatch):
+    """The part that is evaluated lies dealt by id already, as it does when it is trained on next."""
+    rows = [(i, float(i % 3 == 0), 1.0, [-1, i % 7], i % 4) for i in range(200)]
+    data = spark.createDataFrame(rows, "id long, label double, weight double, ids array<long>, part int")
+    dealt, scored, placed, evaluation = [], [], ftrl.placed, training.evaluation
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    monkeypatch.setattr(ftrl, "placed", lambda rows, *given: dealt.append(1) or placed(rows, *given))
+    monkeypatch.setattr(training, "evaluation", lambda rows, *given: scored.append(rows.storageLevel.useMemory) or evaluation(rows, *given))
+    results, _ = training.walk_forward(data, "part", epochs=2, max_ids=8)
+    assert len(dealt) == 4 and scored == [True] * 6
+    assert results.where("metric = 'n_rows' AND value = 50").count() == 6
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
