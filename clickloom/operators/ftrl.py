@@ -28,6 +28,8 @@ from clickloom.session import cut_lineage, shuffle_partitions
 STATE_SCHEMA = "idx bigint, z double, n double, w double"
 BIAS = -1
 BATCH = "_batch"
+# Examples that a task sorts, and whose ids it adds up gradients for.
+TASK_EXAMPLES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -74,12 +76,15 @@ def logits(data: DataFrame, state: DataFrame, max_ids: int | None, hot: DataFram
 
 
 def score(
-    data: DataFrame, state: DataFrame, max_ids: int | None, keep: list[str], hot: DataFrame | None = None
+    data: DataFrame, state: DataFrame, max_ids: int | None, keep: list[str], hot: DataFrame | None = None, tasks: int | None = None
 ) -> DataFrame:
-    """Only (id, ``keep`` columns, logit): the kept columns ride along, so nothing is joined back."""
+    """Only (id, ``keep`` columns, logit): the kept columns ride along, so nothing is joined back.
+
+    ``tasks`` is how many tasks a join of ids with too many weights for a broadcast is dealt to.
+    """
     pairs = _pairs(data, "id", *keep)
     weights = state.where(F.col("w") != 0).select("idx", "w")
-    found = bounded_lookup(pairs, weights, ["idx"], ["id"], max_ids, hot)
+    found = bounded_lookup(pairs, weights, ["idx"], ["id"], max_ids, hot, tasks=tasks)
     return found.groupBy("id", *keep).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("logit"))
 
 
@@ -112,16 +117,22 @@ def step(data: DataFrame, state: DataFrame, opt: Ftrl = Ftrl(), max_ids: int | N
     return update(state, gradients(data, state, max_ids, hot), opt)
 
 
+def tasks_for(data: DataFrame) -> int:
+    """As many tasks as the session asks for, and more for many examples."""
+    return max(shuffle_partitions(data.sparkSession), -(-data.count() // TASK_EXAMPLES))
+
+
 @contextmanager
 def placed(data: DataFrame, batches: int = 1, parts: tuple[str, ...] = ()):
     """The examples dealt by id and kept on the executors while a training passes over them.
 
     Within a task they lie in order of ``parts``, then of their batch, so that a filter on either skips
-    all other stretches of the kept rows, and every update still runs on all tasks.
+    all other stretches of the kept rows, and every update still runs on all tasks. More examples make more
+    tasks, not larger ones.
     """
     dealt = data if batches == 1 else data.withColumn(BATCH, _batch_of("id", batches))
     order = [*parts, *([] if batches == 1 else [BATCH]), "id"]
-    kept = dealt.repartition(shuffle_partitions(data.sparkSession), "id").sortWithinPartitions(*order).persist()
+    kept = dealt.repartition(tasks_for(data), "id").sortWithinPartitions(*order).persist()
     try:
         yield kept
     finally:

@@ -48,9 +48,18 @@ def hot_keys(rows: DataFrame, keys: list[str], count: Column | None = None) -> D
 
 
 def salted_lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], hot: DataFrame | None = None, how: str = "left"
+    rows: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    spread: list[str],
+    hot: DataFrame | None = None,
+    how: str = "left",
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Join ``rows`` with ``table`` (unique on ``keys``); ``spread`` are columns that tell rows apart."""
+    """Join ``rows`` with ``table`` (unique on ``keys``); ``spread`` are columns that tell rows apart.
+
+    Both are dealt to ``tasks`` tasks if that is given, else to as many as the session asks for.
+    """
     parts = shuffle_partitions(rows.sparkSession)
     hot = hot_keys(rows, keys) if hot is None else hot
     hot = F.broadcast(hot)  # at most 2P rows
@@ -62,6 +71,8 @@ def salted_lookup(
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SALTS), F.lit(1)) - 1)))
         .drop(SALTS)
     )
+    if tasks is not None:
+        salted_rows, salted_table = (df.repartition(tasks, *keys, SALT) for df in (salted_rows, salted_table))
     return salted_rows.join(salted_table, [*keys, SALT], how).drop(SALT)
 
 
@@ -80,11 +91,12 @@ def bounded_lookup(
     max_rows: int | None,
     hot: DataFrame | None = None,
     how: str = "left",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Broadcast when ``max_rows`` (for example a spec's dimension) proves it safe, else salt."""
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
         return broadcast_lookup(rows, table, keys, max_rows, how)
-    return salted_lookup(rows, table, keys, spread, hot, how)
+    return salted_lookup(rows, table, keys, spread, hot, how, tasks)
 
 
 def measured_lookup(

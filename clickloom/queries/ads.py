@@ -92,5 +92,5 @@ def ads_train(spark, sf_dir):
     most = SPEC.wide_dimension + 1
     state = ftrl.train(data, steps=2, max_ids=most)
     # The spec's dimension proves no bound here: ids meet their weights in a salted join.
-    scored = ftrl.score(data, state, most, [])
+    scored = ftrl.score(data, state, most, [], tasks=ftrl.tasks_for(data))
     return scored.select(F.col("id").alias("event_id"), rounded(F.col("logit"), 6).alias("logit"))
