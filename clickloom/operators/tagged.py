@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions.numeric import scale
+from clickloom.operators import lookup
 from clickloom.operators.lookup import bounded_lookup
 from clickloom.operators.networks import Network, Scorer
 from clickloom.operators.sparse import narrow_rows, with_column_ids, with_wide_ids
@@ -24,16 +25,17 @@ from clickloom.spec import ModelSpec
 WIDE = -1
 
 
-def tagged_pairs(rows: DataFrame, spec: ModelSpec, row_id: str, wide: bool, deep: bool, first_ids: list[int], method: str) -> DataFrame:
+def tagged_pairs(rows: DataFrame, spec: ModelSpec, row_id: str, wide: bool, deep: bool, first_ids: list[int], method: str, dealt: bool = False) -> DataFrame:
     """(row id, branch, idx, value) of the branches asked for; a row without any keeps one pair without an id.
 
-    ``first_ids`` are ids that every row has in the sparse model, such as its bias.
+    ``first_ids`` are ids that every row has in the sparse model, such as its bias. ``dealt`` rows lie by row id.
     """
     columns = {c.name: c for c in [*spec.features, *spec.crosses]}
     slots = spec.deep_slots() if deep else []
     ids = {f"_ids_{i}": columns[s.name] for i, s in enumerate(slots) if s.how != "number"}
     scaled = {f"_number_{i}": scale(F.col(s.name), columns[s.name].scale, columns[s.name].params) for i, s in enumerate(slots) if s.how == "number"}
     used = rows.withColumns(scaled) if scaled else rows
+    used = used.repartition(row_id) if dealt else used
     used = with_wide_ids(used, spec, method, "_wide") if wide else used
     used = with_column_ids(used, spec, ids, method) if ids else used
 
@@ -81,12 +83,15 @@ def branch_logits(
 
     ``max_ids`` replaces the spec's bound of the lookup table, for one that is known to be smaller.
     """
-    pairs = tagged_pairs(rows, spec, row_id, weights is not None, bool(networks), first_ids if weights is not None else [], method)
     table, bound = lookup_table(spec, weights, tables if networks else None)
+    bound = bound if max_ids is None else max_ids
+    # If no lookup moves the pairs, rows are dealt before they become pairs with vectors, which are many times larger.
+    dealt = table is None or bound <= lookup.BROADCAST_ROWS
+    pairs = tagged_pairs(rows, spec, row_id, weights is not None, bool(networks), first_ids if weights is not None else [], method, dealt)
     if table is None:
         found = pairs.select("*", F.lit(None).cast("double").alias("w"), F.lit(None).cast("array<double>").alias("vector"))
     else:
-        found = bounded_lookup(pairs, table, ["branch", "idx"], [row_id], bound if max_ids is None else max_ids)
+        found = bounded_lookup(pairs, table, ["branch", "idx"], [row_id], bound)
     wide = F.coalesce(F.sum(F.when(F.col("branch") == WIDE, F.col("w"))), F.lit(0.0))
     if not networks:
         return found.groupBy(row_id).agg(wide.alias("wide")).withColumn("deep", F.lit(None).cast("double"))

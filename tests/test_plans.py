@@ -126,3 +126,13 @@ def test_walk_forward_deals_each_part_once(spark, monkeypatch):
     assert len(dealt) == 4 and scored == [True] * 6
     assert results.where("metric = 'n_rows' AND value = 50").count() == 6
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_joint_logits_deal_rows_before_pairs(spark, no_broadcast):
+    """With a proven small table rows are exchanged, not their pairs and vectors."""
+    spec = ModelSpec(("clk", "u", "age"), (HashBucket("u", 30), Continuous("age", "min_max", (0.0, 10.0), (3.0, 6.0))))
+    log = spark.createDataFrame([(0, "a", 1.0)], "id long, u string, age double")
+    state = spark.createDataFrame([(1, 0.0, 0.1, 0.5)], ftrl.STATE_SCHEMA)
+    tables = {s.name: spark.range(5).select(F.col("id").alias("idx"), F.array(*[F.lit(0.5)] * s.width).alias("vector")) for s in spec.deep_slots() if s.how == "embedding"}
+    plan = initial(plan_of(scoring.joint_logits(log, spec, "id", "joint", state, [deep_training.start(spec.deep_dimension, [3])], tables, "md5")))
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange hashpartitioning(id")
