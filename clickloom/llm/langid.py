@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.llm.hashing import KeyTable
-from clickloom.llm.text import UPPER, sample_below, utf8
+from clickloom.llm.text import AT_ONCE, UPPER, sample_below, utf8
 from clickloom.session import discard, staged
 
 ORDER = 4
@@ -191,20 +191,21 @@ def predictor(spark, trees: ContextTrees):
 
     @F.arrow_udf(RESULT)
     def predict(texts: pa.Array) -> pa.Array:
-        model, data = shared.value, utf8(texts)
-        bits = model.bits(data)
-        langs, scores, best = [], [], []
-        for text, row in zip(data, bits, strict=True):
-            if not model.langs or not any(c.isalpha() for c in text.decode()):
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                best.append(8.0 * len(text))
-                continue
-            j = int(np.argmin(row))
-            langs.append(model.langs[j])
-            scores.append(float(1 / np.exp2(np.minimum(row[j] - row, 0)).sum()))
-            best.append(float(row[j]))
-        sizes = [len(t) for t in data]
+        model = shared.value
+        langs, scores, best, sizes = [], [], [], []
+        for at in range(0, len(texts), AT_ONCE):
+            data = utf8(texts.slice(at, AT_ONCE))
+            sizes += [len(t) for t in data]
+            for text, row in zip(data, model.bits(data), strict=True):
+                if not model.langs or not any(c.isalpha() for c in text.decode()):
+                    langs.append(UNKNOWN)
+                    scores.append(0.0)
+                    best.append(8.0 * len(text))
+                    continue
+                j = int(np.argmin(row))
+                langs.append(model.langs[j])
+                scores.append(float(1 / np.exp2(np.minimum(row[j] - row, 0)).sum()))
+                best.append(float(row[j]))
         columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(best, pa.float64()), pa.array(sizes, pa.int64())]
         return pa.StructArray.from_arrays(columns, names=RESULT.fieldNames())
 

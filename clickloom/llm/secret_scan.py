@@ -14,13 +14,14 @@ import re
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.simhash import classes, simhash
-from clickloom.llm.text import utf8
+from clickloom.llm.simhash import classes, fingerprint
+from clickloom.llm.text import each_utf8
 from clickloom.session import discard, staged
 
 # A secret that more owners than this hold is a copied example.
@@ -51,6 +52,7 @@ NEEDED = {
 ORDER = ("assign", "access", "hex", *ADDED)
 BITS = 3.5
 SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "kind", "end", "first")] + [T.StructField("hash", T.StringType())])
+_CODED = T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("code", T.LongType())])
 _SPANS = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end", "first")] + [("hash", pa.string())]))
 
 
@@ -107,15 +109,26 @@ def _looks_random(secret: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(secret).values()) >= BITS
 
 
+def _found(data: bytes) -> list[dict]:
+    text = data.decode()
+    base = base_spans(text)
+    spans = sorted(base + added_spans(text, base))
+    return [{"start": s, "kind": k, "end": e, "first": e - len(x), "hash": hashlib.sha256(x.encode()).hexdigest()} for s, k, e, x in spans]
+
+
 @F.arrow_udf(T.ArrayType(SPAN))
 def _scan(texts: pa.Array) -> pa.Array:
-    rows = []
-    for data in utf8(texts):
-        text = data.decode()
-        base = base_spans(text)
-        spans = sorted(base + added_spans(text, base))
-        rows.append([{"start": s, "kind": k, "end": e, "first": e - len(x), "hash": hashlib.sha256(x.encode()).hexdigest()} for s, k, e, x in spans])
-    return pa.array(rows, _SPANS)
+    return pa.array([_found(data) for data in each_utf8(texts)], _SPANS)
+
+
+@F.arrow_udf(_CODED)
+def _scan_coded(texts: pa.Array) -> pa.Array:
+    rows, codes = [], []
+    for data in each_utf8(texts):
+        rows.append(_found(data))
+        codes.append(fingerprint(data) if rows[-1] else 0)
+    columns = [pa.array(rows, _SPANS), pa.array(np.array(codes, dtype=np.uint64).view(np.int64))]
+    return pa.StructArray.from_arrays(columns, names=_CODED.fieldNames())
 
 
 def candidates(text: str | Column) -> Column:
@@ -123,6 +136,14 @@ def candidates(text: str | Column) -> Column:
     return _scan.asNondeterministic()(text)
 
 
+def _coded(text: str | Column) -> Column:
+    """The candidates with the ``simhash`` of a text that has any, 0 for the others.
+
+    In one call: of two in a row each runs in a Python worker of its own, and an executor keeps all its workers.
+    """
+    return _scan_coded.asNondeterministic()(text)
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, n_docs, n_owners): in how many distinct documents and with how many distinct owners a secret occurs.
 
@@ -142,9 +163,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     not in ``n_docs``. Null and empty texts have no spans. Repeated rows give repeated rows, and their secrets count once
     per distinct id and owner. Other columns aren't read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(owner).alias("owner"), candidates(F.col(text)).alias("spans"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(owner).alias("owner"), _coded(F.col(text)).alias("found"))
     rows = rows.withColumn("at", F.monotonically_increasing_id())
-    rows = staged(rows.select("at", "doc", "owner", "spans", _code("text")), "spans")
+    rows = staged(rows.select("at", "doc", "owner", "found.*"), "spans")
     judged = _judged(rows)
     none = F.array().cast("array<struct<start: int, kind: int, end: int, first: int, hash: string, n_docs: bigint, n_owners: bigint, live: boolean>>")
     clean = rows.where(F.size("spans") == 0).select(F.col("doc").alias(doc_id), none.alias("spans"))
@@ -152,11 +173,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     return clean.unionByName(held)
 
 
-def _code(text: str) -> Column:
-    """The fingerprint of a text that has spans; the others aren't read for it."""
-    return simhash(F.when(F.size("spans") > 0, F.col(text))).alias("code")
-
-
 def _judged(rows: DataFrame) -> DataFrame:
     """(at, spans) for the written rows (at, doc, owner, spans, code) that have any."""
     found = rows.select("at", "doc", "owner", F.explode("spans").alias("s")).select("at", "doc", "owner", "s.*")
@@ -190,10 +206,9 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     All rows and columns come back, whatever their names; only the rows with candidates are shuffled.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.withColumn("spans", candidates(F.col(f"row.`{text}`")))
-    clean = rows.where(F.size("spans") == 0).select("row.*")
-    held = rows.where(F.size("spans") > 0).withColumn("at", F.monotonically_increasing_id())
-    held = staged(held.select("at", F.col(f"row.`{doc_id}`").alias("doc"), F.col(f"row.`{owner}`").alias("owner"), "spans", "row", _code(f"row.`{text}`")), "held")
+    clean = rows.withColumn("spans", candidates(F.col(f"row.`{text}`"))).where(F.size("spans") == 0).select("row.*")
+    held = rows.withColumn("found", _coded(F.col(f"row.`{text}`"))).where(F.size("found.spans") > 0).withColumn("at", F.monotonically_increasing_id())
+    held = staged(held.select("at", F.col(f"row.`{doc_id}`").alias("doc"), F.col(f"row.`{owner}`").alias("owner"), "found.*", "row"), "held")
     judged = _judged(held.select("at", "doc", "owner", "spans", "code"))
     live = judged.select("at", F.filter("spans", lambda s: s["live"]).alias("live"))
     out = held.join(live, "at").withColumn("hidden", _mask(F.col(f"row.`{text}`"), F.transform("live", lambda s: F.array(s["first"], s["end"]))))

@@ -24,6 +24,9 @@ def _table(separators: bytes) -> bytes:
 SPACED = _table(SPACE)
 ALNUM = _table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
+# Texts of a batch that are held as bytes at once.
+AT_ONCE = 256
+
 # A text is cut into pieces of about this many bytes, so that its list of words stays small.
 PIECE_BYTES = 1 << 20
 
@@ -44,6 +47,12 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
+def each_utf8(texts: pa.Array) -> Iterator[bytes]:
+    """As ``utf8``, one text after the other, so that a worker doesn't hold a batch a second time."""
+    for at in range(0, len(texts), AT_ONCE):
+        yield from utf8(texts.slice(at, AT_ONCE))
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(modulus))

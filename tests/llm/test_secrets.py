@@ -6,6 +6,7 @@ import re
 from odd import odd_docs, plain_docs, rows_of
 
 from clickloom.llm import secret_scan
+from clickloom.session import staged
 
 
 def plain_spans(text):
@@ -89,3 +90,18 @@ def test_long_secrets_have_spans():
     assert [(s, k, e) for s, k, e, _ in secret_scan.added_spans(f"see {token} here", [])] == [(4, 7, 1004)]
     word = "pw-" * 50
     assert [(k, x) for _, k, _, x in secret_scan.added_spans(f"x://{'u' * 65}:{word}@host", [])] == [(6, word)]
+
+
+def test_a_task_needs_one_python_worker(spark, monkeypatch):
+    """Tables that are written without an exchange: each call of Python in their plan is a worker of every task."""
+    calls = {}
+
+    def counted(df, name="stage"):
+        calls[name] = df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return staged(df, name)
+
+    monkeypatch.setattr(secret_scan, "staged", counted)
+    docs = plain_docs(spark, shared_docs())
+    secret_scan.scan(docs)
+    secret_scan.masked(docs)
+    assert (calls["spans"], calls["held"]) == (1, 1)
